@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, packing, pii, quality
+from . import bpe, htmltext, licenses, packing, pii, quality
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -33,6 +37,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_text": op6_html_text,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_pii": op10_pii,
 }
