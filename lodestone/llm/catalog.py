@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, htmltext, licenses, linededup, neardup, packing, pii, quality
+from . import bpe, htmltext, licenses, linededup, neardup, packing, pii, quality, topk
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_html_text": op6_html_text,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_top_k": op8_top_k,
     "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {
