@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, htmltext, licenses, linededup, neardup, packing, pii, quality, topk
+from . import bpe, htmltext, licenses, linededup, neardup, packing, pii, quality, suffixtree, topk
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op6_html_text": op6_html_text,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_top_k": op8_top_k,
+    "op9_suffix_tree": op9_suffix_tree,
     "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {
