@@ -48,6 +48,8 @@ _LEAST = int(SIGNATURE * (SIMILARITY / 100 - SIGMAS * (0.75 * 0.25 / SIGNATURE)
 _SEED = np.random.default_rng(20240)
 _MULTIPLY = (_SEED.integers(1, 2**32, SIGNATURE, dtype=np.uint64) | 1).astype(np.uint32)
 _ADD = _SEED.integers(0, 2**32, SIGNATURE, dtype=np.uint64).astype(np.uint32)
+_FIRST_MULTIPLY = (_SEED.integers(1, 2**32, TREES, dtype=np.uint64) | 1).astype(np.uint32)
+_FIRST_ADD = _SEED.integers(0, 2**32, TREES, dtype=np.uint64).astype(np.uint32)
 _MIX = (_SEED.integers(1, 2**63, WORDS + 1, dtype=np.uint64) * 2 + 1).astype(np.uint64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Hashes of words that a worker remembers.
@@ -86,15 +88,21 @@ def shingles(text: str) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Minwise tokens, 16 bits each."""
+    """Minwise tokens, 16 bits each: enough to compare two sets by."""
     x = (s >> np.uint64(32)).astype(np.uint32)
     low = np.full(SIGNATURE, 2**32 - 1, np.uint32)
-    for i in range(0, len(x), 2048):
-        low = np.minimum(low, (x[i : i + 2048, None] * _MULTIPLY + _ADD).min(0))
+    for i in range(0, len(x), 512):
+        np.minimum(low, (_MULTIPLY[:, None] * x[i : i + 512] + _ADD[:, None]).min(1), out=low)
     return (low ^ (low >> np.uint32(16))).astype("<u2").tobytes()
 
 
-SIGNED = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, signature binary"
+def first_tokens(s: np.ndarray) -> bytes:
+    """The whole minwise shingle of each tree's first position, 64 bits: enough to tell sets apart."""
+    x = (s >> np.uint64(32)).astype(np.uint32)
+    return s[(_FIRST_MULTIPLY[:, None] * x + _FIRST_ADD[:, None]).argmin(1)].tobytes()
+
+
+SIGNED = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, signature binary, first binary"
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -102,10 +110,10 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = pa.int64()
-        out = pa.schema([("doc_id", i), ("text_key", i), ("n_shingles", i), ("set_a", i), ("set_b", i), ("signature", pa.binary())])
+        out = pa.schema([("doc_id", i), ("text_key", i), ("n_shingles", i), ("set_a", i), ("set_b", i), ("signature", pa.binary()), ("first", pa.binary())])
         for whole in batches:
             for b in pieces(whole):
-                n, hi, lo, sig = [], [], [], []
+                n, hi, lo, sig, first = [], [], [], [], []
                 for text in b.column(1).to_pylist():
                     s = shingles(text or "")
                     n.append(len(s))
@@ -114,11 +122,13 @@ def signed(docs: DataFrame) -> DataFrame:
                         hi.append(int(d[0]))
                         lo.append(int(d[1]))
                         sig.append(signature(s))
+                        first.append(first_tokens(s))
                     else:
                         hi.append(None)
                         lo.append(None)
                         sig.append(None)
-                yield arrays(out, [b.column(0), b.column(2), n, hi, lo, sig])
+                        first.append(None)
+                yield arrays(out, [b.column(0), b.column(2), n, hi, lo, sig, first])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(run, SIGNED)
@@ -127,48 +137,51 @@ def signed(docs: DataFrame) -> DataFrame:
 # -- trees --------------------------------------------------------------------
 
 
-def _branch(nodes: np.ndarray, sigs: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+def _child(node: np.ndarray, position: np.ndarray | int, token: np.ndarray) -> np.ndarray:
+    return _mixed(_mixed(node + _MIX[0] * (np.asarray(position).astype(np.uint64) + np.uint64(1))) + token)
+
+
+def _branch(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Children of (node, signature) rows: row numbers and child nodes.
 
     The positions depend on the node alone: one for sure, a second one in a
-    third of the nodes. At the root each tree has one position.
+    third of the nodes.
     """
     each = np.arange(len(nodes))
-    one = _mixed(nodes)
+    one, two = _mixed(nodes), _mixed(nodes + _MIX[1])
     p1 = (one % np.uint64(SIGNATURE)).astype(int)
-    rows, child = [each], [_mixed(one + _MIX[0] * (np.uint64(SIGNATURE + 1) + sigs[each, p1] + (p1.astype(np.uint64) << np.uint64(20))))]
-    if not first:
-        two = _mixed(one + _MIX[1])
-        more = np.flatnonzero((two >> np.uint64(40)) % np.uint64(3) == 0)
-        p2 = (p1[more] + 1 + (two[more] % np.uint64(SIGNATURE - 1)).astype(int)) % SIGNATURE
-        rows.append(more)
-        child.append(_mixed(one[more] + _MIX[0] * (np.uint64(SIGNATURE + 1) + sigs[more, p2] + (p2.astype(np.uint64) << np.uint64(20)))))
-    return np.concatenate(rows), np.concatenate(child)
+    more = np.flatnonzero((two >> np.uint64(40)) % np.uint64(3) == 0)
+    p2 = (p1[more] + 1 + (two[more] % np.uint64(SIGNATURE - 1)).astype(int)) % SIGNATURE
+    return np.concatenate([each, more]), np.concatenate([_child(nodes, p1, sigs[each, p1]), _child(nodes[more], p2, sigs[more, p2])])
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), SIGNATURE).astype(np.uint64)
+def _roots(classes: DataFrame) -> DataFrame:
+    """node, id of the first level: each tree branches all classes by one whole minwise shingle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("node", pa.int64()), ("id", pa.int64())])
+        for b in batches:
+            if b.num_rows:
+                ids = b.column(0).to_numpy()
+                tokens = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(len(ids), TREES)
+                for tree in range(TREES):
+                    yield arrays(out, [_child(np.full(len(ids), tree, np.uint64), SIGNATURE, tokens[:, tree]).view(np.int64), ids])
+
+    return classes.select("id", "first").mapInArrow(run, "node long, id long")
 
-def _descend(rows: DataFrame, first: bool) -> DataFrame:
+
+def _descend(rows: DataFrame) -> DataFrame:
     """node, id, signature -> the children's node, id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("node", pa.int64()), ("id", pa.int64())])
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, sigs = b.column("id").to_numpy(), _signatures(b.column("signature"))
-            if first:
-                for tree in range(TREES):
-                    root = np.full(len(ids), _mixed(np.array([tree + 1], np.uint64) * _MIX[2])[0])
-                    _, child = _branch(root, sigs, True)
-                    yield arrays(out, [child.view(np.int64), ids])
-            else:
-                r, child = _branch(b.column("node").to_numpy().view(np.uint64), sigs, False)
-                yield arrays(out, [child.view(np.int64), ids[r]])
+            if b.num_rows:
+                sigs = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(b.num_rows, SIGNATURE).astype(np.uint64)
+                r, child = _branch(b.column(0).to_numpy().view(np.uint64), sigs)
+                yield arrays(out, [child.view(np.int64), b.column(1).to_numpy()[r]])
 
-    return rows.mapInArrow(run, "node long, id long")
+    return rows.select("node", "id", "signature").mapInArrow(run, "node long, id long")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -181,7 +194,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 def leaves(classes: DataFrame) -> DataFrame:
     """node, id of all nodes with two classes or more that are small enough (or at the last level)."""
-    level = materialize(_descend(classes.select("id", "signature"), True), "nodes")
+    level = materialize(_roots(classes), "nodes")
     out = None
     for depth in range(DEPTH):
         size = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
@@ -196,7 +209,7 @@ def leaves(classes: DataFrame) -> DataFrame:
         if last or not large.limit(1).count():
             return out
         grown = level.join(large, "node").join(classes.select("id", "signature"), "id").select("node", "id", "signature")
-        level = materialize(_descend(grown, False), "nodes")
+        level = materialize(_descend(grown), "nodes")
     return out
 
 
@@ -314,8 +327,8 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # An id of a class is its set's hash; the two halves of 128 bits are folded for the columns that travel.
     rows = rows.withColumn("id", F.xxhash64("set_a", "set_b")).withColumn("id", F.when(F.col("n_shingles") > 0, F.col("id")))
     one = F.min(F.struct("doc_id", "text_key")).alias("one")
-    classes = rows.where("id is not null").groupBy("id").agg(one, F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    return rows, materialize(classes.select("id", "n_shingles", "signature", "one.doc_id", "one.text_key"), "classes")
+    classes = rows.where("id is not null").groupBy("id").agg(one, F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("first").alias("first"))
+    return rows, materialize(classes.select("id", "n_shingles", "signature", "first", "one.doc_id", "one.text_key"), "classes")
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -366,4 +379,4 @@ def groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns unchanged, of which one document of each group stays."""
     kept = groups(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_doc"]), "left_semi")
+    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(kept["_doc"]), "left_semi")
