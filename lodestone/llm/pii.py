@@ -130,8 +130,10 @@ _AT = rf"\s{{0,3}}{_OPEN}\s{{0,3}}(?:at|@|arroba|ät|chez)\s{{0,3}}{_CLOSE}\s{{0
 _DOT = rf"\s{{0,3}}{_OPEN}\s{{0,3}}(?:dot|\.|punkt|point|punto|dt)\s{{0,3}}{_CLOSE}\s{{0,3}}"
 _NUMBER = "(?:" + "|".join(NUMBERS) + ")"
 _RUN = rf"(?<![A-Za-z])(?:plus[\s-]+)?{_NUMBER}(?:[\s,.-]{{1,2}}{_NUMBER}){{{SPELLED - 1},}}(?![A-Za-z])"
-#: name at host dot tld, all in words: "at" counts only with a written-out dot behind it.
-_WORDY = r"(?<=[A-Za-z0-9_])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,63}){0,4}\s{1,3}dot\s{1,3}[A-Za-z]{2,10}(?![A-Za-z]))"
+#: Domains that end an address in words; those that are English words are left out.
+_TOP = "(?:com|org|net|edu|gov|mil|info|biz|io|co|dev|app|ai|de|fr|es|uk|eu|ca|ch|nl|ru|jp|cn|br|au|pl|se|fi|dk|cz|pt|kr|mx|tr)"
+#: name at host dot tld, all in words: "at" counts only with a written-out dot and a known domain behind it.
+_WORDY = r"(?<=[A-Za-z0-9_])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,63}){0,4}\s{1,3}dot\s{1,3}" + _TOP + r"(?![A-Za-z]))"
 _WORDY_DOT = r"(?<=[A-Za-z0-9_])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])"
 _GLYPH_RE = re.compile("[" + "".join(map(re.escape, GLYPHS)) + "]")
 #: A class of few ranges that holds all of them: quick to search, for most texts have none.

@@ -101,7 +101,7 @@ class Best:
         self.id = np.full((n, k), np.iinfo(np.int64).max)
 
     def offer(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        good = scores >= self.score[at, -1][:, None]
+        good = (scores >= self.score[at, -1][:, None]) & (scores > -np.inf)
         for i in np.flatnonzero(good.any(1)):
             g, q = good[i], at[i]
             s, d = np.concatenate([self.score[q], scores[i, g]]), np.concatenate([self.id[q], ids[g]])
