@@ -11,7 +11,8 @@ reaches it). Candidate pairs are confirmed on full sets.
 Most nodes are sparse and hand on all their candidate pairs. A dense node (a
 large group of near copies) first hands on a maximum spanning forest of its
 candidates, so its output is linear; after these links are confirmed and
-merged, only pairs between different components are looked at again.
+merged, its sets are brought together and only pairs between different
+components are confirmed, the likeliest first.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SIGNATURE = 256
 TREES = 12
 #: Classes in a node that is compared exhaustively.
 NODE = 2048
+#: Shingles of the sets that are confirmed together.
+NODE_SHINGLES = 4_000_000
 #: Levels of a tree; a node that is still larger is cut into blocks and all its block pairs are compared.
 DEPTH = 40
 #: Candidate pairs are those whose estimate lies above the threshold less so many standard errors.
@@ -184,9 +187,9 @@ def _descend(rows: DataFrame) -> DataFrame:
     return rows.select("node", "id", "signature").mapInArrow(run, "node long, id long")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """A node that the last level leaves too large, as nodes of two blocks each, so that each pair shares one."""
-    k = F.ceil(F.col("size") * 2 / F.lit(NODE)).cast("int")
+def _blocks(rows: DataFrame, most: int) -> DataFrame:
+    """node, id: nodes of a size above most as nodes of two blocks each, so that each pair shares one."""
+    k = F.when(F.col("size") > most, F.ceil(F.col("size") * 2 / F.lit(most))).otherwise(1).cast("int")
     mine = F.pmod(F.xxhash64("id"), k).cast("int")
     each = rows.select("node", "id", mine.alias("i"), F.explode(F.sequence(F.lit(0), k - 1)).alias("j"))
     return each.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "id")
@@ -202,7 +205,7 @@ def leaves(classes: DataFrame) -> DataFrame:
         last = depth == DEPTH - 1
         done = level.join(size.where(F.col("size") <= NODE), "node").select("node", "id")
         if last:
-            done = done.union(_blocks(level.join(size.where(F.col("size") > NODE), "node")))
+            done = done.union(_blocks(level.join(size.where(F.col("size") > NODE), "node"), NODE))
         done = materialize(done, "leaves")
         out = done if out is None else out.unionByName(done)
         large = size.where(F.col("size") > NODE).select("node")
@@ -241,23 +244,71 @@ def _forest(agree: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _node_pairs(sigs: np.ndarray, sizes: np.ndarray, roots: np.ndarray | None) -> tuple[list[tuple[int, int]], bool]:
-    """Candidate pairs of one node and whether it is dense. With roots: all that join different components."""
-    n = len(sigs)
+def _agreement(sigs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Agreeing tokens of each pair, 0 where the sizes alone rule out a link."""
     agree = _agree(sigs, sigs)
-    fits = 100 * np.minimum(sizes[:, None], sizes) >= SIMILARITY * np.maximum(sizes[:, None], sizes)
-    agree[~fits] = 0
-    if roots is not None:
-        agree[roots[:, None] == roots] = 0
+    agree[100 * np.minimum(sizes[:, None], sizes) < SIMILARITY * np.maximum(sizes[:, None], sizes)] = 0
     np.fill_diagonal(agree, 0)
+    return agree
+
+
+def _node_pairs(sigs: np.ndarray, sizes: np.ndarray) -> tuple[list[tuple[int, int]], bool]:
+    """Candidate pairs of one node and whether it is dense."""
+    agree = _agreement(sigs, sizes)
     a, b = np.nonzero(np.triu(agree >= _LEAST))
-    if roots is None and len(a) > DENSE * n:
+    if len(a) > DENSE * len(sigs):
         return _forest(agree), True
     return list(zip(a.tolist(), b.tolist(), strict=True)), False
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= SIMILARITY * (len(both) - common)
+
+
+def _node_links(sigs: np.ndarray, sizes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Confirmed links of one node that join different components; likely ones first, so that few pairs need confirming."""
+    agree = _agreement(sigs, sizes)
+    agree[roots[:, None] == roots] = 0
+    a, b = np.nonzero(np.triu(agree >= _LEAST))
+    parent = {r: r for r in roots.tolist()}
+
+    def top(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    out = []
+    for k in np.argsort(-agree[a, b].astype(np.int32), kind="stable"):
+        i, j = int(a[k]), int(b[k])
+        x, y = top(int(roots[i])), top(int(roots[j]))
+        if x != y and _linked(sets[i], sets[j]):
+            parent[x] = y
+            out.append((i, j))
+    return out
+
+
+def _resolve(rows: DataFrame, buckets: int) -> DataFrame:
+    """a, b of confirmed links between components. rows: node, id, n_shingles, signature, root, set."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, g in pdf.groupby("node", sort=False):
+            g = g.sort_values("id")
+            ids = g["id"].tolist()
+            sigs = np.frombuffer(b"".join(g["signature"]), "<u2").reshape(len(g), SIGNATURE)
+            sets = [np.frombuffer(x, np.uint64) for x in g["set"]]
+            found += [(ids[i], ids[j]) for i, j in _node_links(sigs, g["n_shingles"].to_numpy(), g["root"].to_numpy(), sets)]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    bucket = F.pmod(F.col("node"), F.lit(buckets)).alias("bucket")
+    return rows.select(bucket, "node", "id", "n_shingles", "signature", "root", "set").groupBy("bucket").applyInPandas(run, "a long, b long")
+
+
 def _compare(rows: DataFrame, buckets: int) -> DataFrame:
-    """a, b, node, dense of candidate pairs. rows: node, id, size, n_shingles, signature, root (null at first)."""
+    """a, b, node, dense of candidate pairs. rows: node, id, n_shingles, signature."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b, out_node, out_dense = [], [], [], []
@@ -266,9 +317,8 @@ def _compare(rows: DataFrame, buckets: int) -> DataFrame:
                 continue
             g = g.sort_values("id")
             ids, sizes = g["id"].to_numpy(), g["n_shingles"].to_numpy()
-            roots = None if g["root"].isna().all() else g["root"].to_numpy()
             sigs = np.frombuffer(b"".join(g["signature"]), "<u2").reshape(len(g), SIGNATURE)
-            pairs, dense = _node_pairs(sigs, sizes, roots)
+            pairs, dense = _node_pairs(sigs, sizes)
             for i, j in pairs:
                 out_a.append(ids[i])
                 out_b.append(ids[j])
@@ -277,7 +327,7 @@ def _compare(rows: DataFrame, buckets: int) -> DataFrame:
         return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64), "node": np.array(out_node, np.int64), "dense": np.array(out_dense, bool)})
 
     bucket = F.pmod(F.col("node"), F.lit(buckets)).alias("bucket")
-    return rows.select(bucket, "node", "id", "n_shingles", "signature", "root").groupBy("bucket").applyInPandas(run, "a long, b long, node long, dense boolean")
+    return rows.select(bucket, "node", "id", "n_shingles", "signature").groupBy("bucket").applyInPandas(run, "a long, b long, node long, dense boolean")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -308,13 +358,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, per_bucket: int = 3000) -> DataF
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         of = {i: np.frombuffer(s, np.uint64) for i, s in zip(right["id"], right["set"], strict=True)}
-        keep = []
-        for a, b in zip(left["a"], left["b"], strict=True):
-            x, y = of[a], of[b]
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(100 * common >= SIMILARITY * (len(both) - common))
+        keep = [_linked(of[a], of[b]) for a, b in zip(left["a"], left["b"], strict=True)]
         return left.loc[np.array(keep, bool), ["a", "b"]]
 
     needed = needed.select(F.col("bucket").alias("part"), "id", "set")
@@ -337,7 +381,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     total = leaf.count()
     buckets = max(1, -(-total // 4096))
     full = leaf.join(classes.select("id", "n_shingles", "signature"), "id")
-    found = materialize(_compare(full.withColumn("root", F.lit(None).cast("long")), buckets), "pairs")
+    found = materialize(_compare(full, buckets), "pairs")
     pairs = materialize(found.groupBy("a", "b").agg(F.min("node").alias("node")), "distinct")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = materialize(classes.select("id", "doc_id", "text_key").join(ends, "id"), "wanted")
@@ -348,13 +392,14 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         return sure
     roots = components(sure)
     rest = leaf.join(dense, "node").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    # What is left in a dense node matters only if it holds several components.
-    mixed = rest.groupBy("node").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("node")
-    rest = materialize(rest.join(mixed, "node").join(classes.select("id", "n_shingles", "signature"), "id"), "rest")
-    buckets = max(1, -(-rest.count() // 4096))
-    more = _compare(rest, buckets).groupBy("a", "b").agg(F.min("node").alias("node"))
-    more = materialize(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    return sure.union(materialize(_confirm(more, sets), "links"))
+    # What is left in a dense node matters only if it holds several components; it is cut so that its sets fit in memory.
+    sized = rest.join(classes.select("id", "n_shingles"), "id")
+    mixed = sized.groupBy("node").agg((F.min("root") != F.max("root")).alias("mixed"), F.sum("n_shingles").alias("size")).where("mixed").drop("mixed")
+    cut = _blocks(rest.join(mixed, "node").select("node", "id", "size"), NODE_SHINGLES)
+    cut = materialize(cut.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rest")
+    n = cut.join(classes.select("id", "n_shingles"), "id").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    full = cut.join(classes.select("id", "n_shingles", "signature"), "id").join(sets, "id")
+    return sure.union(materialize(_resolve(full, max(1, -(-n // NODE_SHINGLES))), "links"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
