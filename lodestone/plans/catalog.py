@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from lodestone import config
 from lodestone.functions import text as T
+from lodestone.functions.chunking import chunked
 from lodestone.operators import dense, lexical, lookup
 from lodestone.plans import library as L
 from lodestone.plans import search as S
 from lodestone.plans.syntax import parse
+from lodestone.schema import Index
+from lodestone.sources import routing, snapshots
+from lodestone.streaming import watch
 
 WORDS = "thanti ores enin"
 TERMS = WORDS.split()
@@ -427,3 +431,199 @@ def safe_files(spark, sf):
 @query("human_sizes", "SELECT o_orderkey, CASE WHEN v < 1024 THEN v || ' B' WHEN v < 1048576 THEN printf('%.1f KB', v / 1024.0) ELSE printf('%.1f MB', v / 1048576.0) END AS size FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey AS BIGINT) AS v FROM orders)")
 def human_sizes(spark, sf):
     return L.table(spark, sf, "orders").select("o_orderkey", T.human_size(F.col("o_orderkey") * F.col("o_orderkey")).alias("size"))
+
+
+# -- reading files ---------------------------------------------------------------------
+
+
+@query("chunks")
+def chunks(spark, sf):
+    """Documents cut along paragraphs and sentences (sequential within a text, so by an Arrow function)."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(d, n, *c) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for n, c in enumerate(chunked(t))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text", "start_line", "end_line"])
+
+    return L.files(spark, sf).select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, text string, start_line int, end_line int")
+
+
+def _page_files(spark, sf):
+    p = L.table(spark, sf, "pages").where("html is not null")
+    path = F.concat(F.lit("/web/page_"), F.col("page_id").cast("string"), F.lit(".html"))
+    return p.select("page_id", path.alias("path"), F.encode("html", "UTF-8").alias("content"), F.octet_length("html").cast("long").alias("size_bytes"), F.lit(L.EPOCH).alias("mtime"))
+
+
+@query("html_chunks")
+def html_chunks(spark, sf):
+    """Pages as .html files through the readers."""
+    return routing.read_files(_page_files(spark, sf)).select("doc_id", "chunk_index", "section_title", "text", "start_line", "end_line")
+
+
+_FAMILY = " ".join(f"WHEN e IN ({', '.join(repr(s) for s in sorted(suffixes))}) THEN '{name}'" for name, (suffixes, _) in routing.FAMILIES.items())
+_KNOWN = ", ".join(f"('{s}')" for s in sorted({*config.SUPPORTED_EXTENSIONS, ".blend", ".unknown"}))
+
+
+@query("parser_routes", f"SELECT e AS extension, CASE {_FAMILY} ELSE 'other' END AS family FROM (VALUES {_KNOWN}) t(e)")
+def parser_routes(spark, sf):
+    e = spark.createDataFrame([(s,) for s in sorted({*config.SUPPORTED_EXTENSIONS, ".blend", ".unknown"})], "extension string")
+    return e.withColumn("family", routing.family(F.col("extension")))
+
+
+@query("companion_subtitles", L.sql("SELECT v.path, list_sort(list(s.filename)) AS companions FROM v JOIN s ON v.source = s.source AND v.lang = s.lang AND starts_with('doc_' || s.doc_id, 'doc_' || v.doc_id) GROUP BY 1", "lib", more="v AS (SELECT doc_id, source, lang, '/lib/' || source || '/' || lang || '/doc_' || doc_id || '.mp4' AS path FROM lib WHERE length(text) >= 1500),\ns AS (SELECT doc_id, source, lang, 'doc_' || doc_id || '.srt' AS filename FROM lib WHERE length(text) < 1500)").replace("list_sort(list(s.filename)) AS companions", "array_to_string(list_sort(list(s.filename)), ',') AS companions"))
+def companion_subtitles(spark, sf):
+    f = L.files(spark, sf)
+    path = F.regexp_replace("path", r"\.[^.]*$", F.when(F.length("text") >= 1500, ".mp4").otherwise(".srt"))
+    files = f.select(path.alias("path"), F.lit(b"").alias("content"))
+    found = routing.with_companions(files).where("companions is not null")
+    return found.select("path", F.array_join("companions.name", ",").alias("companions"))
+
+
+@query("path_keywords", L.sql("SELECT doc_id, 'lib,' || source || ',' || lang || ',doc' || CASE WHEN length(doc_id::VARCHAR) > 1 THEN ',' || doc_id ELSE '' END AS keywords FROM lib", "lib"))
+def path_keywords(spark, sf):
+    return L.files(spark, sf).select("doc_id", F.array_join(T.path_keywords(F.col("path"), 3), ",").alias("keywords"))
+
+
+@query("rtf_text", "SELECT o_orderkey, o_orderpriority || ' ' || o_orderstatus AS text FROM orders")
+def rtf_text(spark, sf):
+    o = L.table(spark, sf, "orders")
+    rtf = F.concat(F.lit("{\\rtf1\\ansi \\b "), "o_orderpriority", F.lit("\\b0\\par "), "o_orderstatus", F.lit("}"))
+    words = F.regexp_replace(rtf, r"\\[a-zA-Z]+(-?\d+)? ?", " ")
+    return o.select("o_orderkey", T.strip(F.regexp_replace(F.regexp_replace(words, r"[{}\\]", ""), r"(?U)\s+", " ")).alias("text"))
+
+
+@query("date_filters", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-20 23:59:59'")
+def date_filters(spark, sf):
+    q = parse("since:10.01.2024 until:2024/01/20")
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return L.table(spark, sf, "events").where((t >= q.after) & (t <= q.before)).select("event_id")
+
+
+# -- keeping an index --------------------------------------------------------------------
+
+
+def _versions(spark, sf):
+    """Documents as indexed before and files as they are now: without Spanish, German ones changed, French ones new, some unreadable."""
+    f = L.files(spark, sf)
+    before = f.where("lang <> 'fr'").select("doc_id", "path", F.sha2("text", 256).alias("sha256"))
+    text = F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    now = f.where("lang <> 'es'").select("path", F.when(F.length("text") < 80, F.lit(None)).otherwise(F.sha2(text, 256)).alias("sha256"))
+    return before, now
+
+
+_STATUS = "SELECT path, CASE WHEN lang = 'es' THEN 'deleted' WHEN length(text) < 80 THEN 'failed' WHEN lang = 'fr' THEN 'new' WHEN lang = 'de' THEN 'changed' ELSE 'unchanged' END AS status FROM lib"
+
+
+@query("file_changes", L.sql(_STATUS, "lib"))
+def file_changes(spark, sf):
+    return snapshots.changes(*_versions(spark, sf), under="/lib/")
+
+
+@query("crawl_counters", L.sql(f"SELECT status, count(*) AS n FROM ({_STATUS}) GROUP BY status", "lib"))
+def crawl_counters(spark, sf):
+    return file_changes(spark, sf).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("deleted_paths", L.sql("SELECT path FROM lib WHERE lang = 'es'", "lib"))
+def deleted_paths(spark, sf):
+    before, now = _versions(spark, sf)
+    return before.select("path").join(now, "path", "left_anti")
+
+
+@query("upserted_documents", L.sql("SELECT doc_id, path, sha256(CASE WHEN lang = 'de' THEN text || '!' ELSE text END) AS sha256 FROM lib WHERE lang <> 'fr'", "lib"))
+def upserted_documents(spark, sf):
+    before, now = _versions(spark, sf)
+    f = L.files(spark, sf).where("lang = 'de'").select("doc_id", "path", F.sha2(F.concat("text", F.lit("!")), 256).alias("sha256"))
+    return snapshots.latest(before, f)
+
+
+def _changed_index(spark, sf) -> tuple[Index, Index]:
+    i = L.index(spark, sf)
+    new = i.having(
+        documents=i.documents.where("extension = '.pdf'"),
+        chunks=i.chunks.join(i.documents.where("extension = '.pdf'"), "doc_id", "left_semi").withColumn("token_count", F.lit(-1)),
+        symbols=i.symbols.limit(0),
+        postings=i.postings.limit(0),
+        vectors=i.vectors.limit(0),
+    )
+    return i, new
+
+
+@query("cascade_delete", L.sql("SELECT 'chunks' AS name, count(*) AS n FROM lib WHERE extension <> '.py' UNION ALL SELECT 'documents', count(*) FROM lib WHERE extension <> '.py' UNION ALL SELECT 'symbols', 0 UNION ALL SELECT 'postings', count(*) FROM tok JOIN lib USING (doc_id) WHERE extension <> '.py' UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM lib WHERE extension = '.py')", *_TOK))
+def cascade_delete(spark, sf):
+    i = L.index(spark, sf)
+    left = snapshots.without(i, i.documents.where("extension = '.py'"))
+    sizes = [getattr(left, n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in ("documents", "chunks", "symbols", "postings", "vectors")]
+    out = sizes[0]
+    for s in sizes[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+@query("atomic_upsert", L.sql("SELECT extension, count(*) AS chunks, count(*) FILTER (WHERE extension = '.pdf') AS replaced FROM lib GROUP BY extension", "lib"))
+def atomic_upsert(spark, sf):
+    u = snapshots.upserted(*_changed_index(spark, sf))
+    both = u.chunks.join(u.documents.select("doc_id", "extension"), "doc_id")
+    return both.groupBy("extension").agg(F.count("*").alias("chunks"), F.count_if(F.col("token_count") == -1).alias("replaced"))
+
+
+@query("posting_upsert", L.sql("SELECT CAST(CASE WHEN starts_with(term, 'th') THEN 7 ELSE 1 END AS INTEGER) AS term_freq, count(*) AS n FROM tok GROUP BY 1", *_TOK))
+def posting_upsert(spark, sf):
+    p = L.index(spark, sf).postings
+    again = p.where(F.col("term").startswith("th")).withColumn("term_freq", F.lit(7))
+    return snapshots.appended_postings(p, again).groupBy("term_freq").agg(F.count("*").alias("n"))
+
+
+@query("candidate_union", L.sql("SELECT DISTINCT doc_id AS chunk_id FROM (SELECT doc_id FROM tok WHERE term IN ('thanti', 'ores', 'enin') UNION ALL SELECT doc_id FROM lib WHERE contains(filename, '_12') UNION ALL SELECT doc_id FROM lib WHERE contains(lower(symbol_name), 'en'))", *_TOK))
+def candidate_union(spark, sf):
+    i = L.index(spark, sf)
+    ids = [lexical.bm25(i.postings, i.chunks, WORDS, None), lookup.by_filename(i, "_12", 10**6), lookup.by_symbol(i, "en", 10**6)]
+    return ids[0].select("chunk_id").union(ids[1].select("chunk_id")).union(ids[2].select("chunk_id")).distinct()
+
+
+# -- event streams ---------------------------------------------------------------------------
+
+
+@query("event_sessions", """WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM e)
+SELECT user_id, min(ts) AS started, count(*) AS events, arg_max(event_type, (ts, event_id)) AS event_type FROM s GROUP BY user_id, n""")
+def event_sessions(spark, sf):
+    e = L.table(spark, sf, "events").withColumn("k", F.struct("event_id", "event_type"))
+    w = F.session_window("ts", "30 minutes")
+    s = e.groupBy("user_id", w).agg(F.min("ts").alias("started"), F.count("*").alias("events"), F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
+    return s.select("user_id", "started", "events", "event_type")
+
+
+@query("debounced_events", "SELECT user_id AS path, arg_max(event_type, (ts, event_id)) AS event FROM events GROUP BY user_id")
+def debounced_events(spark, sf):
+    """The events as a stream of one available batch, folded to the last one of each key."""
+    import uuid
+
+    e = L.table(spark, sf, "events")
+    src = spark.readStream.schema(e.schema).parquet(f"{sf}/events.parquet*")
+    name = f"events_{uuid.uuid4().hex}"
+    folded = src.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event"))
+    folded.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.col("user_id").alias("path"), "event")
+
+
+@query("covered_paths", L.sql("SELECT path, '/lib/' || source AS root FROM lib WHERE source IN ('src1', 'src2')", "lib"))
+def covered_paths(spark, sf):
+    paths = L.files(spark, sf).select("path")
+    roots = spark.createDataFrame([("/lib/src1",), ("/lib/src2/",)], "root string")
+    return watch.covered(paths, roots).select("path", F.regexp_replace("root", "/$", "").alias("root"))
+
+
+@query("presented_results", _hybrid_sql(None, 10).replace("SELECT chunk_id, filename, path, round(score, 9) AS score, round(bm25_score, 9) AS bm25_score, round(semantic_score, 9) AS semantic_score,", "SELECT chunk_id, filename, round(score, 4) AS score, round(bm25_score, 4) AS bm25_score, round(semantic_score, 4) AS semantic_score,").replace(", snippet, code_type FROM r", " FROM r"))
+def presented_results(spark, sf):
+    return S.presented(S.search(L.index(spark, sf), WORDS, NOW, query_vector=L.first_vector(spark, sf))).select("chunk_id", "filename", "score", "bm25_score", "semantic_score", "recency_boost")
+
+
+@query("embedded_chunks")
+def embedded_chunks(spark, sf):
+    """Hashed-word vectors of the documents: the nearest to a text's own words."""
+    i = L.index(spark, sf)
+    v = dense.embed_chunks(i.chunks)
+    return _exact(dense.vector_top(v, dense.embed_query(WORDS), 20), "cosine")
