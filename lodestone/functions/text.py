@@ -30,7 +30,8 @@ def strip(c: Column) -> Column:
 
 
 def _valid(t: Column, remove_stop_words: bool, min_len: int) -> Column:
-    ok = (F.length(t) >= min_len) & t.rlike(ALNUM)
+    """Long enough and no stop word. That a token holds a letter or digit follows from the patterns."""
+    ok = F.length(t) >= min_len
     return ok & ~t.isin(*config.STOP_WORDS) if remove_stop_words else ok
 
 
@@ -38,17 +39,20 @@ def tokens(text: Column, split_symbols: bool = True, remove_stop_words: bool = T
     """Distinct words of a text in order; parts of camel-case and snake-case words too.
 
     If all would be dropped (stop words, short words), the raw words stay.
+    Repeated words go first, so that what follows runs once a distinct word.
     """
     text = F.coalesce(text, F.lit(""))
     good = lambda t: _valid(t, remove_stop_words, min_len)
-    raw = F.filter(F.transform(F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0)), lambda t: F.btrim(t, F.lit("_"))), lambda t: t != "")
+    words = F.array_distinct(F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0)))
+    raw = F.filter(F.transform(words, lambda t: F.btrim(t, F.lit("_"))), lambda t: t != "")
     if split_symbols:
-        camel = F.filter(F.transform(F.regexp_extract_all(text, F.lit(CAMEL), F.lit(0)), fold), good)
-        parts = F.flatten(F.transform(raw, lambda t: F.when(t.contains("_"), F.concat(F.array(t), F.filter(F.split(t, "_"), good))).otherwise(F.filter(F.array(t), good))))
-        kept = F.concat(camel, parts)
+        camel = F.filter(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(CAMEL), F.lit(0))), fold), good)
+        # Few texts have an underscore; for the others raw words are taken as they are.
+        parts = F.flatten(F.transform(raw, lambda t: F.when(t.contains("_"), F.concat(F.array(t), F.filter(F.split(t, "_"), lambda p: (p != "") & good(p)))).otherwise(F.filter(F.array(t), good))))
+        kept = F.concat(camel, F.when(text.contains("_"), parts).otherwise(F.filter(raw, good)))
     else:
         kept = F.filter(raw, good)
-    return F.array_distinct(F.when(F.size(kept) > 0, kept).otherwise(F.filter(raw, lambda t: t.rlike(ALNUM))))
+    return F.array_distinct(F.when(F.size(kept) > 0, kept).otherwise(raw))
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import config
 from lodestone.functions import text as T
+from lodestone.schema import Index
 
 #: Postings that the prefix fallback takes a term.
 PREFIX_ROWS = 100
 
 
+def analysed(chunks: DataFrame) -> DataFrame:
+    """chunks with `tokens`, their distinct words. Written once, it gives both lengths and postings."""
+    return chunks.withColumn("tokens", T.tokens(F.col("text")))
+
+
+def _tokens(chunks: DataFrame):
+    return F.col("tokens") if "tokens" in chunks.columns else T.tokens(F.col("text"))
+
+
 def token_rows(chunks: DataFrame) -> DataFrame:
     """doc_id, chunk_id, term: the distinct words of each chunk."""
-    return chunks.select("doc_id", "chunk_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    return chunks.select("doc_id", "chunk_id", F.explode(_tokens(chunks)).alias("term"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -24,7 +36,24 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def token_counts(chunks: DataFrame) -> DataFrame:
     """chunks with token_count: distinct words, at least 1."""
-    return chunks.withColumn("token_count", F.greatest(F.lit(1), F.size(T.tokens(F.col("text")))))
+    return chunks.withColumn("token_count", F.greatest(F.lit(1), F.size(_tokens(chunks))))
+
+
+def index_stats(index: Index) -> DataFrame:
+    """One row: documents, chunks, symbols, terms, tokens."""
+    parts = (
+        (index.documents, F.count("*").alias("documents")),
+        (index.chunks, F.count("*").alias("chunks")),
+        (index.symbols, F.count("*").alias("symbols")),
+        (index.postings, F.count_distinct("term").alias("terms")),
+        (index.chunks, F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens")),
+    )
+    rows = [df.agg(c) for df, c in parts]
+    out = rows[0]
+    for r in rows[1:]:
+        # One row each.
+        out = out.crossJoin(F.broadcast(r))
+    return out
 
 
 def term_stats(posting_rows: DataFrame) -> DataFrame:
@@ -64,7 +93,7 @@ def prefix_postings(posting_rows: DataFrame, prefixes: list[str], most: int = PR
     if not longer:
         return posting_rows.limit(0).withColumn("prefix", F.lit(""))
     each = F.explode(F.filter(F.array(*map(F.lit, longer)), lambda p: F.col("term").startswith(p)))
-    some = posting_rows.where(F.exists(F.array(*map(F.lit, longer)), lambda p: F.col("term").startswith(p)))
+    some = posting_rows.where(reduce(lambda a, b: a | b, [F.col("term").startswith(p) for p in longer]))
     order = Window.partitionBy("prefix").orderBy("term", "chunk_id")
     return some.withColumn("prefix", each).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
@@ -73,24 +102,22 @@ def bm25(posting_rows: DataFrame, chunks: DataFrame, query: str, top: int | None
     """chunk_id, bm25: Okapi scores of the query's words, best first, ties by chunk_id.
 
     Filters on the terms reach the scan of postings; what is then joined and
-    grouped are the matching rows alone. The prefix fallback applies where no
-    word of the query has a posting; a flag of one row decides in the plan.
+    grouped are the matching rows alone. Whether any word has a posting, on
+    which the prefix fallback depends, is asked first: one small job that
+    stops at the first row.
     """
     spark = posting_rows.sparkSession
     terms = T.tokens_of(query)
     if not terms:
         return spark.createDataFrame([], "chunk_id long, bm25 double")
     summary = corpus_summary(chunks)
-    exact = posting_rows.where(F.col("term").isin(terms)).select("term", "chunk_id", "term_freq")
-    if fallback:
-        none = F.broadcast(exact.agg((F.count("*") == 0).alias("none")))
-        wide = prefix_postings(posting_rows, terms).select("term", "chunk_id", "term_freq").crossJoin(none).where("none").drop("none")
+    hit = F.col("term").isin(terms)
+    exact = posting_rows.where(hit).select("term", "chunk_id", "term_freq")
+    if fallback and exact.isEmpty():
         # A term that several prefixes reach has a row for each, as each word of the query counts.
-        exact = exact.unionByName(wide)
-        df = posting_rows.where(F.exists(F.array(*map(F.lit, terms)), lambda p: F.col("term").startswith(p)))
-    else:
-        df = posting_rows.where(F.col("term").isin(terms))
-    stats = term_stats(df)
+        exact = prefix_postings(posting_rows, terms).select("term", "chunk_id", "term_freq")
+        hit = reduce(lambda a, b: a | b, [F.col("term").startswith(t) for t in terms])
+    stats = term_stats(posting_rows.where(hit))
     lengths = chunks.select("chunk_id", F.col("token_count").cast("double").alias("length"))
     hits = exact.join(stats, "term").join(lengths, "chunk_id", "left").crossJoin(F.broadcast(summary))
     weight = T.idf(F.col("doc_freq"), F.col("n_chunks"))

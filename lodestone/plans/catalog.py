@@ -101,12 +101,7 @@ def corpus_summary(spark, sf):
 
 @query("index_stats", L.sql("SELECT (SELECT count(*) FROM lib) AS documents, (SELECT count(*) FROM lib) AS chunks, (SELECT count(*) FROM lib WHERE code_type IS NOT NULL AND symbol_name <> '') AS symbols, (SELECT count(*) FROM stats) AS terms, (SELECT CAST(sum(token_count) AS BIGINT) FROM len) AS tokens", *_TOK, "len", "stats"))
 def index_stats(spark, sf):
-    i = L.index(spark, sf)
-    one = lambda df, c: F.broadcast(df.agg(c))
-    out = one(i.documents, F.count("*").alias("documents"))
-    for df, c in ((i.chunks, F.count("*").alias("chunks")), (i.symbols, F.count("*").alias("symbols")), (i.postings, F.count_distinct("term").alias("terms")), (i.chunks, F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"))):
-        out = out.crossJoin(one(df, c))
-    return out
+    return lexical.index_stats(L.index(spark, sf))
 
 
 @query("extension_facet", L.sql("SELECT extension, count(*) AS n FROM lib GROUP BY extension ORDER BY n DESC", "lib"))
@@ -222,12 +217,12 @@ def candidates_latest(spark, sf):
     return lookup.candidates(L.index(spark, sf), parse("ext:md"), top=50).select("chunk_id", "doc_id", "mtime")
 
 
-@query("filename_lookup", L.sql("SELECT doc_id AS chunk_id, CASE WHEN filename = 'doc_12.md' THEN 1.0 ELSE 0.85 END AS weight FROM lib WHERE contains(lower(filename), 'oc_12') OR contains(lower(path), 'oc_12') ORDER BY filename = 'OC_12' DESC, length(filename), doc_id LIMIT 100", "lib").replace("filename = 'doc_12.md'", "lower(filename) = 'oc_12'"))
+@query("filename_lookup", L.sql("SELECT doc_id AS chunk_id, CASE WHEN filename = 'doc_12.md' THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END AS weight FROM lib WHERE contains(lower(filename), 'oc_12') OR contains(lower(path), 'oc_12') ORDER BY filename = 'OC_12' DESC, length(filename), doc_id LIMIT 100", "lib").replace("filename = 'doc_12.md'", "lower(filename) = 'oc_12'"))
 def filename_lookup(spark, sf):
     return lookup.by_filename(L.index(spark, sf), "OC_12")
 
 
-@query("symbol_lookup", L.sql("SELECT doc_id AS chunk_id, symbol_name AS name, CASE WHEN lower(symbol_name) = 'en' THEN 0.95 ELSE 0.75 END AS weight FROM lib WHERE contains(lower(symbol_name), 'en') AND code_type IS NOT NULL ORDER BY symbol_name = 'En' DESC, length(symbol_name), doc_id LIMIT 100", "lib"))
+@query("symbol_lookup", L.sql("SELECT doc_id AS chunk_id, symbol_name AS name, CASE WHEN lower(symbol_name) = 'en' THEN 0.95::DOUBLE ELSE 0.75::DOUBLE END AS weight FROM lib WHERE contains(lower(symbol_name), 'en') AND code_type IS NOT NULL ORDER BY symbol_name = 'En' DESC, length(symbol_name), doc_id LIMIT 100", "lib"))
 def symbol_lookup(spark, sf):
     return lookup.by_symbol(L.index(spark, sf), "En")
 
@@ -334,15 +329,15 @@ def paged(spark, sf):
     return _exact(S.page_of(_ranked(spark, sf), 3, 15).select("chunk_id", "score"), "score")
 
 
-@query("recency_boosts", L.sql(f"SELECT doc_id, CASE WHEN {NOW} - mtime <= 604800 THEN 0.08 WHEN {NOW} - mtime <= 2592000 THEN 0.04 ELSE 0.0 END AS boost FROM lib", "lib"))
+@query("recency_boosts", L.sql(f"SELECT doc_id, CASE WHEN {NOW} - mtime <= 604800 THEN 0.08::DOUBLE WHEN {NOW} - mtime <= 2592000 THEN 0.04::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM lib", "lib"))
 def recency_boosts(spark, sf):
     return L.files(spark, sf).select("doc_id", T.recency(F.col("mtime"), NOW).alias("boost"))
 
 
-_REC = f"CASE WHEN {NOW} - mtime <= 604800 THEN 0.08 WHEN {NOW} - mtime <= 2592000 THEN 0.04 ELSE 0.0 END"
+_REC = f"CASE WHEN {NOW} - mtime <= 604800 THEN 0.08::DOUBLE WHEN {NOW} - mtime <= 2592000 THEN 0.04::DOUBLE ELSE 0.0::DOUBLE END"
 
 
-@query("filter_only_search", L.sql(f"SELECT doc_id AS chunk_id, filename, round(least(1.0, 0.70 + {_REC}), 9) AS score, mtime FROM (SELECT * FROM lib WHERE extension = '.md' ORDER BY mtime DESC, doc_id LIMIT 1000) ORDER BY 3 DESC, mtime DESC, doc_id LIMIT 20 OFFSET 20", "lib"))
+@query("filter_only_search", L.sql(f"SELECT doc_id AS chunk_id, filename, round(least(1.0::DOUBLE, 0.70::DOUBLE + {_REC}), 9) AS score, mtime FROM (SELECT * FROM lib WHERE extension = '.md' ORDER BY mtime DESC, doc_id LIMIT 1000) ORDER BY 3 DESC, mtime DESC, doc_id LIMIT 20 OFFSET 20", "lib"))
 def filter_only_search(spark, sf):
     return _exact(S.search(L.index(spark, sf), "ext:md", NOW, 2, 20).select("chunk_id", "filename", "score", "mtime"), "score")
 

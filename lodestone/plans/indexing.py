@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,13 @@ from lodestone.functions import text as T
 COUNTERS = ("scanned", "indexed", "skipped", "deleted", "failed")
 
 
-def analysed(files: DataFrame, embed: dense.Embed | None = dense.hashed_words) -> Index:
-    """The index of the given files alone. files: path, size_bytes, mtime, sha256, content."""
-    parsed = routing.read_files(files)
+def analysed(files: DataFrame, embed: dense.Embed | None = dense.hashed_words, staged: Callable[[DataFrame], DataFrame] = lambda df: df) -> Index:
+    """The index of the given files alone. files: path, size_bytes, mtime, sha256, content.
+
+    staged: keeps the chunks and their words, from which all tables follow, so
+    that files are read once.
+    """
+    parsed = staged(lexical.analysed(routing.read_files(files)))
     documents = files.select(
         routing.document_id(F.col("path")).alias("doc_id"), "path", T.filename(F.col("path")).alias("filename"), T.extension(F.col("path")).alias("extension"),
         "sha256", "size_bytes", "mtime", F.current_timestamp().alias("indexed_at"),
@@ -26,7 +31,7 @@ def analysed(files: DataFrame, embed: dense.Embed | None = dense.hashed_words) -
     each = parsed.select("doc_id", "chunk_id", F.posexplode("symbols").alias("n", "s"))
     symbols = each.select(F.xxhash64("chunk_id", "n").alias("symbol_id"), "doc_id", "chunk_id", "s.name", "s.kind", "s.line_number")
     vectors = dense.embed_chunks(chunks, embed) if embed else files.sparkSession.createDataFrame([], "chunk_id long, embedding array<float>")
-    return Index(documents, chunks.drop("symbols"), symbols, lexical.postings(chunks), dense.normalised(vectors))
+    return Index(documents, chunks.drop("symbols", "tokens"), symbols, lexical.postings(chunks), dense.normalised(vectors))
 
 
 def index_folder(store: snapshots.Store, folder: str, embed: dense.Embed | None = dense.hashed_words, files: DataFrame | None = None) -> dict[str, int]:
@@ -51,7 +56,8 @@ def index_folder(store: snapshots.Store, folder: str, embed: dense.Embed | None
     if indexed or deleted:
         # Companions may be unchanged themselves, so they are looked for among all files.
         whole = routing.with_companions(files).join(fresh.select("path"), "path", "left_semi")
-        store.commit(snapshots.upserted(snapshots.without(index, gone), analysed(whole, embed)))
+        store.commit(snapshots.upserted(snapshots.without(index, gone), analysed(whole, embed, store.staged)))
+        store.unstage()
     marks.unpersist()
     files.unpersist()
     known = sum(v for k, v in count.items() if k != "deleted")

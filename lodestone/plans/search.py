@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from lodestone import config
 from lodestone.functions import text as T
@@ -12,6 +13,11 @@ from lodestone.plans.syntax import Query, parse
 from lodestone.schema import RESULT, Index
 
 
+def _pooled() -> WindowSpec:
+    """All rows of a score table in one task. Score tables are pools: cut to POOL rows or a page's need before they get here."""
+    return Window.partitionBy()
+
+
 def with_names(bm25: DataFrame, names: DataFrame, symbols: DataFrame) -> DataFrame:
     """chunk_id, bm25 with what names and symbols add.
 
@@ -19,12 +25,11 @@ def with_names(bm25: DataFrame, names: DataFrame, symbols: DataFrame) -> DataFra
     of it; names come before symbols, and max is the best lexical score (1 if
     there is none).
     """
-    top = F.broadcast(bm25.agg(F.coalesce(F.max("bm25"), F.lit(1.0)).alias("most")))
     hits = names.select("chunk_id", F.lit(0).alias("kind"), "weight").unionByName(symbols.select("chunk_id", F.lit(1).alias("kind"), "weight"))
     # The first hit is the one of least kind; symbols of one chunk are taken the heaviest first.
     order = Window.partitionBy("chunk_id").orderBy("kind", F.desc("weight"))
     hits = hits.withColumn("n", F.row_number().over(order)).groupBy("chunk_id").agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("n") == 1, F.col("weight"))).alias("first"))
-    both = bm25.join(hits, "chunk_id", "full_outer").crossJoin(top)
+    both = bm25.join(hits, "chunk_id", "full_outer").withColumn("most", F.coalesce(F.max("bm25").over(_pooled()), F.lit(1.0)))
     fresh = (F.col("first") + (F.col("all") - F.col("first")) * 0.5) * F.col("most")
     added = F.when(F.col("all").isNull(), F.col("bm25")).when(F.col("bm25").isNull(), fresh).otherwise(F.col("bm25") + F.col("all") * F.col("most") * 0.5)
     return both.select("chunk_id", added.alias("bm25"))
@@ -32,8 +37,7 @@ def with_names(bm25: DataFrame, names: DataFrame, symbols: DataFrame) -> DataFra
 
 def normalised(scores: DataFrame, column: str) -> DataFrame:
     """The column spread over [0, 1] by the least and greatest of all rows."""
-    span = scores.agg(F.min(column).alias("_low"), F.max(column).alias("_high"), F.count("*").alias("_n"))
-    x = scores.crossJoin(F.broadcast(span))
+    x = scores.withColumns({"_low": F.min(column).over(_pooled()), "_high": F.max(column).over(_pooled()), "_n": F.count("*").over(_pooled())})
     value = F.when(F.col("_high") <= 0, 0.0).otherwise(T.min_max(F.col(column), F.col("_low"), F.col("_high"), F.col("_n")))
     return x.select("chunk_id", value.alias(column))
 

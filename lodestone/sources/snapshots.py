@@ -7,6 +7,8 @@ failed one leaves the last snapshot current. One writer at a time.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,15 @@ class Store:
         self._point(v)
         return v
 
+    def staged(self, df: DataFrame) -> DataFrame:
+        """df, written beside the snapshots and read back: what is dear to compute is computed once a commit."""
+        at = f"{self.root}/staging/{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def unstage(self) -> None:
+        self._fs.delete(self._path(f"{self.root}/staging"), True)
+
     def clear(self) -> int:
         empty = {n: self.spark.createDataFrame([], s) for n, s in TABLES.items()}
         return self.commit(Index(**empty))

@@ -125,9 +125,10 @@ def apply_events(store: snapshots.Store, rows: list[tuple[str, str]], embed=inde
             df = listing.folder(spark, f)
             files = df if files is None else files.union(df)
         files = indexing.routing.with_companions(files).where(F.col("path").isin(here) & F.col("sha256").isNotNull())
-        index = snapshots.upserted(index, indexing.analysed(files, embed))
+        index = snapshots.upserted(index, indexing.analysed(files, embed, store.staged))
     if here or gone:
         store.commit(index)
+        store.unstage()
     return {"indexed": len(here), "deleted": len(gone)}
 
 
