@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -207,7 +208,7 @@ def fit(train: DataFrame, counts: DataFrame, total: int, distinct: int, ends: in
 
     pairs = grams1.where((F.col("n") >= max(LEAST, P_CONTEXT * total)) & (F.col("symbol") >= FIRST)).select("context", "symbol").collect()
     contexts2 = np.unique(np.array([r["context"] * m + r["symbol"] for r in pairs], np.int64))
-    rows2 = []
+    rows2 = rows1.iloc[:0]
     if len(contexts2):
         grams2 = materialize(_count_ngrams(train, ids, contexts2, 2), "grams")
         of = grams1.join(grams1.groupBy("context").agg(F.sum("n").alias("all")), "context").select(F.col("context").alias("last"), "symbol", (F.col("n") / F.col("all")).alias("p"))
@@ -216,30 +217,25 @@ def fit(train: DataFrame, counts: DataFrame, total: int, distinct: int, ends: in
     return _assemble(ids, root, rows1, rows2)
 
 
-def _with_states(grams: DataFrame, states: DataFrame, least: float) -> list:
+def _with_states(grams: DataFrame, states: DataFrame, least: float) -> pd.DataFrame:
     """State contexts with their next words of enough evidence: at most 1 / P_ENTRY rows."""
-    return grams.join(F.broadcast(states.withColumnRenamed("n", "all")), "context").where(F.col("n") >= least).select("context", "all", "symbol", "n").collect()
+    kept = grams.join(F.broadcast(states.withColumnRenamed("n", "all")), "context").where((F.col("n") >= least) & (F.col("symbol") != OTHER))
+    return kept.select("context", "all", "symbol", "n").toPandas()
 
 
-def _assemble(ids: dict[bytes, int], root: np.ndarray, rows1: list, rows2: list) -> Tree:
+def _assemble(ids: dict[bytes, int], root: np.ndarray, rows1: pd.DataFrame, rows2: pd.DataFrame) -> Tree:
+    """States in order of their contexts, the shorter ones first, as the longer ones back off to them."""
     m = len(root)
     one = np.full(m, -1, np.int64)
     tree = Tree(ids, one, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64))
     for rows, order in ((rows1, 1), (rows2, 2)):
-        by: dict[int, list] = {}
-        for r in rows:
-            if r["symbol"] != OTHER:
-                by.setdefault(r["context"], []).append(r)
         keys, values, back, shorter, names = [], [], [], [], []
-        for context, got in sorted(by.items()):
-            symbols = np.array([r["symbol"] for r in got], np.int64)
-            p = (np.array([r["n"] for r in got], float) - DISCOUNT) / got[0]["all"]
-            last = context if order == 1 else context % m
-            up = -1 if order == 1 else int(one[last])
+        for context, got in rows.groupby("context"):
+            symbols = got["symbol"].to_numpy()
+            p = (got["n"].to_numpy() - DISCOUNT) / got["all"].iloc[0]
+            up = -1 if order == 1 else int(one[context % m])
             # The shorter context's probability of the kept words: what backing off must not count again.
-            shorter_p = root[symbols].copy()
-            if up >= 0:
-                shorter_p += _single(tree, up, symbols)
+            shorter_p = root[symbols] + (_single(tree, up, symbols) if up >= 0 else 0.0)
             left, rest = 1 - p.sum(), 1 - np.power(10, shorter_p).sum()
             state = len(tree.back) + len(back)
             back.append(np.log10(max(left, 1e-12) / max(rest, 1e-12)))
@@ -314,7 +310,8 @@ def score(docs: DataFrame) -> DataFrame:
     if total:
         tree = fit(train, counts, total, distinct, ends)
     else:
-        tree = _assemble({}, np.zeros(FIRST), [], [])
+        none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("context", "all", "symbol", "n")})
+        tree = _assemble({}, np.zeros(FIRST), none, none)
     uni = np.zeros(tree.m)
     uni[END] = ends
     for r in counts.where(F.col("n") >= max(LEAST, P_SYMBOL * total)).collect():
@@ -323,7 +320,7 @@ def score(docs: DataFrame) -> DataFrame:
     scored = materialize(_score_pass(rows, tree, logs), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
-    each = rare.join(counts, "word", "left").select("row", (F.col("times") * F.log10((n + 0.5) / F.lit(z))).alias("base"), F.when(n > 0, F.col("times")).otherwise(0).alias("known"))
+    each = rare.join(counts.hint("shuffle_hash"), "word", "left").select("row", (F.col("times") * F.log10((n + 0.5) / F.lit(z))).alias("base"), F.when(n > 0, F.col("times")).otherwise(0).alias("known"))
     rest = each.groupBy("row").agg(F.sum("base").alias("rare_base"), F.sum("known").alias("rare_known"))
     whole = scored.drop("rare", "times").join(rest, "row", "left")
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
