@@ -1,4 +1,4 @@
-"""Command line: index | search | code | symbol | stats | status | rebuild | watch | unwatch | folders."""
+"""Command line: index | search | code | symbol | stats | status | rebuild | watch | unwatch | folders | serve | daemon."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import json
 import os
 import time
 
-from lodestone import config
+from lodestone import config, server
 from lodestone.operators import dense
 from lodestone.plans import indexing, search, syntax
 from lodestone.session import session
@@ -25,6 +25,12 @@ def _vector(query: str) -> list[float] | None:
     return dense.embed_query(text) if text else None
 
 
+def _watch(store: Store, at: str):
+    """The stream of all watched folders; none if there is none."""
+    roots = [r["path"] for r in store.watched().collect()]
+    return watch.watch(store, roots, f"{at}/checkpoints/{watch.name_of(roots)}") if roots else None
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lodestone", description=__doc__)
     p.add_argument("--store", default=os.environ.get("LODESTONE_STORE", os.path.expanduser("~/.lodestone")))
@@ -42,6 +48,12 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--code-only", action="store_true")
     for name in ("stats", "status", "folders"):
         sub.add_parser(name)
+    for name in ("serve", "daemon"):
+        c = sub.add_parser(name)
+        c.add_argument("--host", default="0.0.0.0")
+        c.add_argument("--port", type=int, default=8000)
+        if name == "daemon":
+            c.add_argument("path", nargs="?")
     sub.add_parser("rebuild").add_argument("paths", nargs="+")
     a = p.parse_args(argv)
 
@@ -67,8 +79,16 @@ def main(argv: list[str] | None = None) -> int:
         path = os.path.abspath(a.path)
         print(json.dumps(indexing.index_folder(store, path)))
         store.add_watched(path)
-        roots = [r["path"] for r in store.watched().collect()]
-        watch.watch(store, roots, f"{a.store}/checkpoints/{watch.name_of(roots)}").awaitTermination()
+        _watch(store, a.store).awaitTermination()
+    elif a.command in ("serve", "daemon"):
+        if getattr(a, "path", None):
+            store.add_watched(os.path.abspath(a.path))
+        q = _watch(store, a.store)
+        try:
+            server.serve(server.Api(store), a.host, a.port).serve_forever()
+        finally:
+            if q:
+                q.stop()
     elif a.command == "unwatch":
         print(json.dumps({"removed": store.remove_watched(os.path.abspath(a.path))}))
     elif a.command == "folders":
