@@ -34,6 +34,8 @@ PIVOTS, ROWS_PER_PIVOT = 256, 4096
 #: Rows in a block, about, and in a leaf of a tree.
 BLOCK, LEAF = 2048, 128
 QUERY_BLOCK, QUERY_LEAF = 512, 64
+#: Data blocks that one task searches for a query block.
+PART = 16
 
 
 class CoverTree:
@@ -95,9 +97,11 @@ class CoverTree:
 class Best:
     """The k best of each query so far: higher scores first, then smaller ids."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, floor: np.ndarray | float = -np.inf):
+        """floor: scores of no use below, for each query."""
         self.k = k
         self.score = np.full((n, k), -np.inf)
+        self.score[:] = np.reshape(floor, (-1, 1))
         self.id = np.full((n, k), np.iinfo(np.int64).max)
 
     def offer(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -109,13 +113,10 @@ class Best:
             self.score[q], self.id[q] = s[top], d[top]
 
 
-def search(queries: tuple, data: tuple, floor: np.ndarray, k: int) -> Best:
-    """The dual-tree walk. queries, data: (ids, vectors in the tree's order, tree). floor: scores of no use below."""
+def search(queries: tuple, data: tuple, best: Best) -> None:
+    """The dual-tree walk, which betters `best`. queries, data: (ids, vectors in the tree's order, tree)."""
     q_ids, q_vectors, q_tree = queries
     d_ids, d_vectors, d_tree = data
-    best = Best(len(q_ids), k)
-    best.score[:, -1] = floor
-    best.score[:, :-1] = floor[:, None]
 
     def bound(a: int, b: int) -> float:
         return float(q_tree.centre[a] @ d_tree.centre[b]) + q_tree.norm[a] * d_tree.radius[b] + d_tree.norm[b] * q_tree.radius[a] + q_tree.radius[a] * d_tree.radius[b]
@@ -131,7 +132,6 @@ def search(queries: tuple, data: tuple, floor: np.ndarray, k: int) -> Best:
             s, e = d_tree.range[b]
             scores = q_vectors[lo:hi] @ d_vectors[s:e].T
             scores[q_ids[lo:hi, None] == d_ids[s:e]] = -np.inf
-            scores[scores < floor[lo:hi, None]] = -np.inf
             best.offer(np.arange(lo, hi), scores, d_ids[s:e])
             continue
         if not ds or (qs and q_tree.radius[a] > d_tree.radius[b]):
@@ -139,7 +139,6 @@ def search(queries: tuple, data: tuple, floor: np.ndarray, k: int) -> Best:
         else:
             pairs = [(bound(a, c), a, c) for c in ds]
         stack.extend(sorted(pairs, key=lambda p: p[0]))
-    return best
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
@@ -198,23 +197,30 @@ def _load(payload: bytes) -> tuple:
     return ids, x.astype(np.float64), tree
 
 
-def _search_rows(rows: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score (a double) of each row of query, data, floors; a row is one pair of blocks."""
+FOUND = "query_id long, vec_id long, score double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        for b in batches:
-            for i in range(b.num_rows):
-                q, d, f = (b.column(c)[i].as_py() for c in ("query", "data", "floors"))
-                queries = _load(q)
-                floors = np.full(len(queries[0]), -np.inf)
-                if f is not None:
-                    floors = np.array([-np.inf if x is None else x for x in f])
-                best = search(queries, _load(d), floors, k)
-                at, _ = found = np.nonzero(best.id != np.iinfo(np.int64).max)
-                yield arrays(out, [queries[0][at], best.id[found], best.score[found]])
 
-    return rows.select("query", "data", "floors").mapInArrow(run, "query_id long, vec_id long, score double")
+def _search_blocks(asking: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """FOUND by each row of asking (q_block, part, query, floors) in its blocks (q_block, part, bound, data).
+
+    The blocks of a part are searched one after another, the most promising
+    first, and each betters what the next has to reach.
+    """
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for query, floors in zip(left["query"], left["floors"], strict=True):
+            queries = _load(query)
+            floor = -np.inf if floors is None else np.array([-np.inf if x is None else x for x in floors], float)
+            best = Best(len(queries[0]), k, np.nan_to_num(floor, nan=-np.inf, neginf=-np.inf))
+            for r in right.sort_values("bound", ascending=False).itertuples(index=False):
+                search(queries, _load(r.data), best)
+            found = np.nonzero(best.id != np.iinfo(np.int64).max)
+            out.append(pd.DataFrame({"query_id": queries[0][found[0]], "vec_id": best.id[found], "score": best.score[found]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+
+    right = blocks.select(F.col("q_block").alias("r_block"), F.col("part").alias("r_part"), "bound", "data")
+    return asking.groupBy("q_block", "part").cogroup(right.groupBy("r_block", "r_part")).applyInPandas(run, FOUND)
 
 
 def _bound() -> Column:
@@ -258,16 +264,18 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     pairs = materialize(each.join(d, "d_block").where(F.col("q_dim") == F.col("d_dim")).select("q_block", "d_block", _bound().alias("bound")), "bounds")
     payload = blocks.select(F.col("block").alias("d_block"), F.col("payload").alias("data"))
     asking = queries.select(F.col("block").alias("q_block"), F.col("payload").alias("query"))
-    homes = pairs.groupBy("q_block").agg(F.max_by("d_block", F.struct("bound", "d_block")).alias("d_block"))
-    with_home = homes.join(asking, "q_block").join(payload, "d_block").withColumn("floors", F.lit(None).cast("array<double>"))
-    first = materialize(_search_rows(with_home, k), "first")
+    homes = pairs.groupBy("q_block").agg(F.max_by("d_block", F.struct("bound", "d_block")).alias("d_block"), F.max("bound").alias("bound"))
+    none = F.lit(None).cast("array<double>").alias("floors")
+    first = materialize(_search_blocks(asking.select("q_block", F.lit(0).alias("part"), "query", none), homes.withColumn("part", F.lit(0)).join(payload, "d_block"), k), "first")
     # The kth score in the home block is a floor for the query; a block's floor is the least of its queries'.
     kth = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).select("query_id", "floor")
     floors = materialize(_floors(asking, kth), "floors")
     rest = pairs.join(homes, ["q_block", "d_block"], "left_anti").join(floors.select("q_block", "least"), "q_block")
-    rest = rest.where(F.col("bound") * (1 + 1e-9) + 1e-6 >= F.col("least")).select("q_block", "d_block")
-    rest = rest.join(floors.select("q_block", "query", "floors"), "q_block").join(payload, "d_block")
-    found = first.unionByName(_search_rows(rest, k))
+    rest = rest.where(F.col("bound") * (1 + 1e-9) + 1e-6 >= F.col("least")).select("q_block", "d_block", "bound")
+    by = Window.partitionBy("q_block").orderBy(F.desc("bound"), "d_block")
+    rest = rest.withColumn("part", F.floor((F.row_number().over(by) - 1) / PART).cast("int"))
+    later = rest.select("q_block", "part").distinct().join(floors.select("q_block", "query", "floors"), "q_block")
+    found = first.unionByName(_search_blocks(later.select("q_block", "part", "query", "floors"), rest.join(payload, "d_block"), k))
     return _best_rows(found, k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 
