@@ -36,6 +36,8 @@ MARKS = frozenset("""ad ads adv advert advertisement advertising adsense sponsor
 nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars aside widget widgets footer footnav masthead topbar toolbar skip
 comment comments commentlist disqus replies respond reader-comments share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchform copyright
 complementary contentinfo search-form toc tags hidden""".split())
+#: Words beside a mark that make a name say something of the page, not of the element.
+SAYS = frozenset("no non not has have with without hide free less enabled disabled".split())
 #: Words that mark a container of the article.
 HINTS = frozenset("article articles content post entry story main body text page-content article-body post-content entry-content".split())
 
@@ -59,13 +61,23 @@ def _attributes(attrs: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs.strip(" /") else {}
 
 
-def _words(a: dict[str, str]) -> set[str]:
-    out = set()
+def _marks(a: dict[str, str]) -> tuple[bool, bool]:
+    """Whether class, id or role mark what is not the article; whether they hint at the article.
+
+    A name counts by its first or last word (ad-banner, left-sidebar), but not
+    one that says that something is or isn't there (has-sidebar, ad-free).
+    """
+    marked = hinted = False
     for k in ("class", "id", "role"):
-        if v := a.get(k):
-            out.update(w.lower() for w in v.split())
-            out.update(w.lower() for w in _SPLIT.split(v) if w)
-    return out
+        for name in a.get(k, "").split():
+            words = [w.lower() for w in _SPLIT.split(name) if w]
+            if name.lower() in HINTS or any(w in HINTS for w in words):
+                hinted = True
+            if name.lower() in MARKS:
+                marked = True
+            elif words and words[0] not in SAYS and words[-1] not in SAYS and (words[0] in MARKS or words[-1] in MARKS):
+                marked = True
+    return marked, hinted
 
 
 def _step(tag: str, a: dict[str, str]) -> str:
@@ -156,15 +168,14 @@ def parse(text: str) -> Page:
         if tag in ("body", "html") and any(s[0] == tag for s in stack):
             continue
         a = _attributes(attrs)
-        words = _words(a) if a else set()
+        marked, hinted = _marks(a) if a else (False, False)
         if tag == "body":
             dropped = False
         elif not dropped:
             dropped = (
                 tag in DROPPED
                 or (tag == "header" and not any(s[0] in ("article", "main") for s in stack))
-                or (tag not in ("html", "article", "main") and bool(words & MARKS))
-                or (tag == "article" and bool(words & {"comment", "comments", "ad", "ads", "advert", "sponsored", "related"}))
+                or (tag not in ("html", "main") and marked)
                 or "hidden" in a
                 or a.get("aria-hidden", "").lower() == "true"
                 or "display:none" in a.get("style", "").replace(" ", "").lower()
@@ -172,7 +183,7 @@ def parse(text: str) -> Page:
         if tag in CONTAINERS and not dropped:
             page.paths.append(f"{page.paths[container]}/{_step(tag, a)}")
             page.parents.append(container)
-            page.hinted.append(tag in ("article", "main") or bool(words & HINTS))
+            page.hinted.append(tag in ("article", "main") or hinted)
             container = len(page.paths) - 1
         stack.append((tag, container, dropped, in_link or tag == "a"))
     flush()
@@ -209,16 +220,18 @@ def text_in(page: Page, roots: set[int]) -> str:
 
 
 def extract_page(text: str, winners: list[str]) -> str:
-    """By the first winning path that the page has; by its own best container if that holds under half as much."""
+    """By the first winning path that the page has; by its own best container if that holds under `LEAST` as much."""
     page = parse(text)
     own = text_in(page, {best(page)[0]})
     for path in winners:
         roots = {i for i, p in enumerate(page.paths) if p == path}
-        if roots and len(found := text_in(page, roots)) * 2 >= len(own):
+        if roots and len(found := text_in(page, roots)) >= LEAST * len(own):
             return found
     return own
 
 
+#: Text under a winning path that a page needs, against its own choice; less is taken for another template.
+LEAST = 0.25
 #: A path wins with at least this share of its host's votes.
 SHARE = 0.2
 

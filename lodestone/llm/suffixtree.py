@@ -38,7 +38,7 @@ P_ENTRY = 2e-6
 LEAST = 3
 DISCOUNT = 0.75
 #: Distinct keys that a task counts before it hands them on.
-HOLD = 400_000
+HOLD = 150_000
 
 END, OTHER, BEGIN, FIRST = 0, 1, 2, 3
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -72,17 +72,23 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _symbols(texts: list, ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """All texts' symbols in one array, BEGIN before and END after each; where each text starts; the words."""
-    words = [words_of(t) for t in texts]
-    flat, get = [], ids.get
-    starts = []
-    for w in words:
-        starts.append(len(flat))
-        flat.append(BEGIN)
-        flat.extend([get(x, OTHER) for x in w])
-        flat.append(END)
-    return np.array(flat, np.int64), np.array(starts, np.int64), words
+def _symbols(texts: list, ids: dict[bytes, int], rare: list[Counter] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' symbols in one array, BEGIN before and END after each; where each text starts.
+
+    rare gets, for each text, the words that are no symbols with their numbers.
+    """
+    parts, starts, at, get = [], [], 0, ids.get
+    for t in texts:
+        words = words_of(t)
+        s = np.empty(len(words) + 2, np.int64)
+        s[0], s[-1] = BEGIN, END
+        s[1:-1] = [get(x, OTHER) for x in words]
+        parts.append(s)
+        starts.append(at)
+        at += len(s)
+        if rare is not None:
+            rare.append(Counter([words[i] for i in np.flatnonzero(s[1:-1] == OTHER)]))
+    return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array(starts, np.int64)
 
 
 @dataclass
@@ -147,7 +153,7 @@ def _count_ngrams(train: DataFrame, ids: dict[bytes, int], contexts: np.ndarray,
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for whole in batches:
             for b in pieces(whole):
-                s, _, _ = _symbols(b.column(0).to_pylist(), ids)
+                s, _ = _symbols(b.column(0).to_pylist(), ids)
                 c = s[:-1] if order == 1 else s[:-2] * m + s[1:-1]
                 nxt = s[order:]
                 at = np.minimum(np.searchsorted(contexts, c), len(contexts) - 1)
@@ -277,16 +283,13 @@ def _score_pass(rows: DataFrame, tree: Tree, logs: dict) -> DataFrame:
         root, known = logs["root"], logs["known"]
         for whole in batches:
             for b in pieces(whole):
-                s, starts, words = _symbols(b.column(1).to_pylist(), tree.ids)
+                rare: list[Counter] = []
+                s, starts = _symbols(b.column(1).to_pylist(), tree.ids, rare)
                 inner = s != BEGIN
                 base = np.where(inner & (s != OTHER), root[s], 0.0)
                 sums = [np.add.reduceat(x, starts) for x in (base, tree.corrections(s), (known[s] & inner).astype(np.int64))]
-                rare, times = [], []
-                for w in words:
-                    c = Counter([x for x in w if x not in tree.ids])
-                    rare.append(list(c))
-                    times.append(list(c.values()))
-                yield arrays(out, [b.column(0), b.column(2), b.column(3), [len(w) + 1 for w in words], sums[2], sums[0], sums[1], rare, times])
+                n_tokens = np.diff(np.append(starts, len(s))) - 1
+                yield arrays(out, [b.column(0), b.column(2), b.column(3), n_tokens, sums[2], sums[0], sums[1], list(map(list, rare)), [list(c.values()) for c in rare]])
 
     return rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "text", "held_out", "row").mapInArrow(run, SCORED)
 

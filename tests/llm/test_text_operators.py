@@ -199,6 +199,20 @@ def test_html(spark):
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
+def test_html_names_that_say_something_of_the_page():
+    page = "<body class='has-sidebar'><div class='wrap no-sidebar ad-free'><div class='content-area with-sidebar'><p>{0}</p><div class='left-sidebar'>s</div><div id='ad-1'>a</div><article class='comment'>c</article></div></div></body>"
+    assert htmltext.extract_page(page.format("kept " * 30), []) == ("kept " * 30).strip()
+
+
+def test_html_winning_path_and_own_choice():
+    page = "<div class='a'><p>{}</p></div><div class='b'><p>{}</p></div>"
+    both = page.format("one " * 20, "two " * 20)
+    assert htmltext.extract_page(both, ["/div.b"]) == htmltext.extract_page(both, []).split("\n\n")[1]
+    assert htmltext.extract_page(both, ["/div.c"]) == htmltext.extract_page(both, [])
+    little = page.format("one " * 200, "two")
+    assert htmltext.extract_page(little, ["/div.b"]) != "two"
+
+
 def _pii_base(text):
     text = text or ""
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
