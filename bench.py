@@ -53,7 +53,7 @@ def main() -> None:
             lexical.token_counts(chunks).write.mode("overwrite").parquet(f"{at}/analysed")
             chunks = spark.read.parquet(f"{at}/analysed")
             chunks.drop("tokens").write.mode("overwrite").parquet(f"{at}/chunks")
-            lexical.postings(chunks).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{at}/postings")
+            lexical.postings(chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{at}/postings")
             for name in ("documents", "symbols", "vectors"):
                 getattr(i, name).write.mode("overwrite").parquet(f"{at}/{name}")
 

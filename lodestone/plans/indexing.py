@@ -56,7 +56,7 @@ def index_folder(store: snapshots.Store, folder: str, embed: dense.Embed | None
     if indexed or deleted:
         # Companions may be unchanged themselves, so they are looked for among all files.
         whole = routing.with_companions(files).join(fresh.select("path"), "path", "left_semi")
-        store.commit(snapshots.upserted(snapshots.without(index, gone), analysed(whole, embed, store.staged)))
+        store.apply(analysed(whole, embed, store.staged) if indexed else None, gone if deleted else None)
         store.unstage()
     marks.unpersist()
     files.unpersist()
@@ -66,7 +66,7 @@ def index_folder(store: snapshots.Store, folder: str, embed: dense.Embed | None
 
 def remove_files(store: snapshots.Store, paths: list[str]) -> None:
     gone = store.spark.createDataFrame([(p,) for p in paths], "path string").select(routing.document_id(F.col("path")).alias("doc_id"))
-    store.commit(snapshots.without(store.index, gone))
+    store.apply(gone=gone)
 
 
 def rebuild(store: snapshots.Store, folders: list[str], embed: dense.Embed | None = dense.hashed_words) -> dict[str, int]:

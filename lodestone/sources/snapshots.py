@@ -1,13 +1,19 @@
-"""Index tables as Parquet snapshots; one pointer file names the current one.
-
-A commit writes all tables anew under a new number and then renames the
-pointer into place, so that a reader sees all of a commit or none of it, and a
-failed one leaves the last snapshot current. One writer at a time.
+"""Index tables as Parquet segments; one pointer file names the current version.
+
+A commit writes the rows of the documents that it adds as a new segment, and
+the ids of those that it removes or replaces as a list of deletions, so its
+cost follows the change and not the index. A manifest lists what belongs to a
+version; the pointer is renamed into place last, so that a reader sees all of
+a commit or none of it, and a failed one leaves the last version current. A
+row counts unless its document was deleted after its segment was written.
+Compaction writes the rows that count as one segment. One writer at a time.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +22,12 @@ from lodestone.operators import dense, lexical
 from lodestone.schema import TABLES, WATCHED, Index
 
 POINTER = "CURRENT"
+#: Segments beyond which a commit compacts.
+SEGMENTS = 12
+
+
+def _columns(name: str) -> list[str]:
+    return [f.strip().split(" ")[0] for f in TABLES[name].split(",")]
 
 
 class Store:
@@ -54,31 +66,85 @@ class Store:
 
     # -- tables ------------------------------------------------------------------
 
-    def table(self, name: str) -> DataFrame:
+    def _manifest(self) -> dict:
         v = self.version
         if not v:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.parquet(f"{self.root}/snapshots/{v}/{name}")
+            return {"segments": [], "deletions": []}
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{v}.json", wholetext=True).first()[0])
+
+    def _write(self, path: str, text: str) -> None:
+        out = self._fs.create(self._path(path), True)
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+
+    def _stored(self, name: str, manifest: dict) -> DataFrame | None:
+        """All rows of a table that count, with doc_id; None without a segment."""
+        out = None
+        for n in manifest["segments"]:
+            df = self.spark.read.parquet(f"{self.root}/segments/{n}/{name}").withColumn("_segment", F.lit(n))
+            out = df if out is None else out.unionByName(df)
+        if out is None:
+            return None
+        first = min(manifest["segments"])
+        gone = [self.spark.read.parquet(f"{self.root}/deletions/{n}").withColumn("_at", F.lit(n)) for n in manifest["deletions"] if n > first]
+        if gone:
+            # Spark joins the list by its size: broadcast if small.
+            dead = reduce(DataFrame.union, gone).groupBy(F.col("doc_id").alias("_doc")).agg(F.max("_at").alias("_at"))
+            out = out.join(dead, (F.col("doc_id") == F.col("_doc")) & (F.col("_segment") < F.col("_at")), "left_anti")
+        return out.drop("_segment")
+
+    def table(self, name: str) -> DataFrame:
+        out = self._stored(name, self._manifest())
+        return self.spark.createDataFrame([], TABLES[name]) if out is None else out.select(*_columns(name))
 
     @property
     def index(self) -> Index:
-        return Index(*(self.table(n) for n in ("documents", "chunks", "symbols", "postings", "vectors")))
+        m = self._manifest()
+        tables = {n: self._stored(n, m) for n in TABLES}
+        return Index(**{n: self.spark.createDataFrame([], TABLES[n]) if df is None else df.select(*_columns(n)) for n, df in tables.items()})
 
-    def commit(self, index: Index) -> int:
-        """Write all tables as the next snapshot. Postings are sorted by term, so that a look-up reads few row groups."""
-        v = self.version + 1
-        at = f"{self.root}/snapshots/{v}"
+    def _write_segment(self, n: int, index: Index) -> None:
+        """Postings are ordered by term (and chunk, so that a common term is dealt over many files): a look-up reads few row groups."""
         for name in TABLES:
             df = getattr(index, name)
-            df = df.select(*[f.strip().split(" ")[0] for f in TABLES[name].split(",")])
+            if name == "vectors" and "doc_id" not in df.columns:
+                df = df.join(index.chunks.select("chunk_id", "doc_id"), "chunk_id")
+            df = df.select(*dict.fromkeys([*_columns(name), "doc_id"]))
             if name == "postings":
-                df = df.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
-            df.write.mode("overwrite").parquet(f"{at}/{name}")
+                df = df.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+            df.write.mode("overwrite").parquet(f"{self.root}/segments/{n}/{name}")
+
+    def apply(self, new: Index | None = None, gone: DataFrame | None = None) -> int:
+        """Commit a change: documents to delete (doc_id) and documents to add, which replace those with their ids."""
+        m, v = self._manifest(), self.version + 1
+        lists = [df.select("doc_id") for df in (gone, new.documents if new else None) if df is not None]
+        if m["segments"] and lists:
+            reduce(DataFrame.union, lists).distinct().write.mode("overwrite").parquet(f"{self.root}/deletions/{v}")
+            m["deletions"].append(v)
+        if new is not None:
+            self._write_segment(v, new)
+            m["segments"].append(v)
+        self._finish(v, m)
+        return self.compact() if len(m["segments"]) > SEGMENTS else v
+
+    def _finish(self, v: int, manifest: dict) -> None:
+        self._write(f"{self.root}/manifests/{v}.json", json.dumps(manifest))
         self._point(v)
+
+    def commit(self, index: Index) -> int:
+        """Write all tables anew as one segment."""
+        v = self.version + 1
+        self._write_segment(v, index)
+        self._finish(v, {"segments": [v], "deletions": []})
         return v
 
+    def compact(self) -> int:
+        """The rows that count as one segment."""
+        m = self._manifest()
+        return self.commit(Index(**{n: self._stored(n, m) for n in TABLES})) if m["segments"] else self.version
+
     def staged(self, df: DataFrame) -> DataFrame:
-        """df, written beside the snapshots and read back: what is dear to compute is computed once a commit."""
+        """df, written beside the segments and read back: what is dear to compute is computed once a commit."""
         at = f"{self.root}/staging/{uuid.uuid4().hex}"
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
@@ -91,15 +157,20 @@ class Store:
         return self.commit(Index(**empty))
 
     def vacuum(self, keep: int = 2) -> None:
-        """Delete all but the last snapshots."""
+        """Delete what the last `keep` versions don't need."""
         v = self.version
-        for s in self._fs.listStatus(self._path(f"{self.root}/snapshots")) if v else []:
-            if int(s.getPath().getName()) <= v - keep:
-                self._fs.delete(s.getPath(), True)
+        kept = [json.loads(self.spark.read.text(f"{self.root}/manifests/{n}.json", wholetext=True).first()[0]) for n in range(max(1, v - keep + 1), v + 1)]
+        needed = {"segments": {n for m in kept for n in m["segments"]}, "deletions": {n for m in kept for n in m["deletions"]}}
+        for kind, numbers in needed.items():
+            at = self._path(f"{self.root}/{kind}")
+            for s in self._fs.listStatus(at) if self._fs.exists(at) else []:
+                if int(s.getPath().getName()) not in numbers:
+                    self._fs.delete(s.getPath(), True)
 
     def size_bytes(self) -> int:
-        v = self.version
-        return self._fs.getContentSummary(self._path(f"{self.root}/snapshots/{v}")).getLength() if v else 0
+        m = self._manifest()
+        paths = [f"{self.root}/{kind}/{n}" for kind in ("segments", "deletions") for n in m[kind]]
+        return sum(self._fs.getContentSummary(self._path(p)).getLength() for p in paths)
 
     def stats(self) -> dict:
         """Counts of the tables, distinct terms, tokens, documents by suffix, and the size on disk."""

@@ -8,6 +8,7 @@ import os
 import time
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,21 +114,15 @@ def apply_events(store: snapshots.Store, rows: list[tuple[str, str]], embed=inde
     wanted = [p for p, e in rows if listing.safe(p, None)]
     here = [p for p in wanted if os.path.isfile(p) and dict(rows)[p] != "deleted"]
     gone = [p for p in wanted if p not in set(here)]
-    index = store.index
-    spark = store.spark
+    spark, new, ids = store.spark, None, None
     if gone:
         ids = spark.createDataFrame([(p,) for p in gone], "path string").select(indexing.routing.document_id(F.col("path")).alias("doc_id"))
-        index = snapshots.without(index, ids)
     if here:
-        folders = sorted({os.path.dirname(p) for p in here})
-        files = None
-        for f in subsumed(folders):
-            df = listing.folder(spark, f)
-            files = df if files is None else files.union(df)
+        files = reduce(DataFrame.union, [listing.folder(spark, f) for f in subsumed(sorted({os.path.dirname(p) for p in here}))])
         files = indexing.routing.with_companions(files).where(F.col("path").isin(here) & F.col("sha256").isNotNull())
-        index = snapshots.upserted(index, indexing.analysed(files, embed, store.staged))
+        new = indexing.analysed(files, embed, store.staged)
     if here or gone:
-        store.commit(index)
+        store.apply(new, ids)
         store.unstage()
     return {"indexed": len(here), "deleted": len(gone)}
 

@@ -168,6 +168,28 @@ def test_index_update_and_rebuild(spark, tree, tmp_path):
     assert store.stats()["documents"] == 0
 
 
+def test_segments_and_compaction(spark, tree, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    indexing.index_folder(store, str(tree))
+    for n in range(3):
+        (tree / "notes.md").write_text(f"# V{n}\nversion{n} text\n")
+        indexing.index_folder(store, str(tree))
+    assert store.version == 4 and len(store._manifest()["segments"]) == 4
+    docs = store.index.documents.collect()
+    assert len(docs) == 4 and store.index.postings.where("term like 'version%'").select("term").collect() == [("version2",)]
+    before = {n: sorted(map(tuple, store.table(n).collect()), key=repr) for n in ("documents", "chunks", "symbols", "postings", "vectors")}
+    store.compact()
+    assert len(store._manifest()["segments"]) == 1
+    assert before == {n: sorted(map(tuple, store.table(n).collect()), key=repr) for n in before}
+    store.vacuum(1)
+    assert store.index.chunks.count() == len(before["chunks"])
+    monkeypatch.setattr("lodestone.sources.snapshots.SEGMENTS", 1)
+    (tree / "notes.md").unlink()
+    (tree / "other.md").write_text("other")
+    indexing.index_folder(store, str(tree))
+    assert len(store._manifest()["segments"]) == 1 and {r.filename for r in store.index.documents.collect()} >= {"other.md"}
+
+
 def test_changes(spark):
     docs = spark.createDataFrame([("/a/x", "1"), ("/a/y", "2"), ("/ab/z", "3")], "path string, sha256 string")
     files = spark.createDataFrame([("/a/x", "1"), ("/a/n", "9"), ("/a/f", None)], "path string, sha256 string")
