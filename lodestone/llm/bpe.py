@@ -31,6 +31,8 @@ NONE = np.int64(2**62)
 SHORT = 64
 #: Pre-tokens that a worker remembers; then it forgets all and starts anew.
 REMEMBER = 400_000
+#: Bytes of text whose new pre-tokens are merged together: more of them share each step.
+PIECE = 8_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -238,7 +240,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c = codec(path, pattern)
         out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
         for whole in batches:
-            for b in pieces(whole):
+            for b in pieces(whole, PIECE):
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 n, ids_sha, dec_sha = [], [], []
                 for ids in c.encode_texts(texts):
