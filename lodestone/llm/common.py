@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,24 +20,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temp folder only where none is set (local runs)."""
+    """The folder that driver and executors share; a temp folder, gone at exit, only where none is set (local runs)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
+#: Tables that this process has written and not discarded.
+_written: set[str] = set()
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _written.discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize wrote for tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._written_at)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that operators have left for their results; call it when these have been read."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
 def pieces(batch: pa.RecordBatch, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:

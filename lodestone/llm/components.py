@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,11 +13,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     A round gives each id the least label among its own and its neighbours',
     then follows the label's own label. Rounds end when no label changes;
-    labels are written to the shared folder after each.
+    labels are written to the shared folder after each, and the ones before deleted.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")), "labels")
+    old = labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")), "labels")
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
         stepped = labels.join(near, "id").select("id", F.least("root", "m").alias("root"), F.col("root").alias("was"))
@@ -26,7 +26,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         moved = stepped.join(jump, "root", "left").select("id", F.least("root", F.coalesce("next", "root")).alias("root"), "was")
         after = materialize(moved, "labels")
         changed = after.where("root <> was").limit(1).count()
-        labels = after.select("id", "root")
+        discard(old)
+        old, labels = after, after.select("id", "root")
         if not changed:
+            discard(both)
             return labels
     raise RuntimeError(f"components: labels still change after {most_rounds} rounds")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrays, materialize, pieces
+from .common import arrays, discard, materialize, pieces
 
 P_SYMBOL = 5e-5
 P_CONTEXT = 5e-4
@@ -220,6 +220,8 @@ def fit(train: DataFrame, counts: DataFrame, total: int, distinct: int, ends: in
         of = grams1.join(grams1.groupBy("context").agg(F.sum("n").alias("all")), "context").select(F.col("context").alias("last"), "symbol", (F.col("n") / F.col("all")).alias("p"))
         two = grams2.withColumn("last", F.col("context") % m).join(of, ["last", "symbol"]).select("context", "symbol", "p")
         rows2 = _with_states(grams2, _states(grams2, two, total), least)
+        discard(grams2)
+    discard(grams1)
     return _assemble(ids, root, rows1, rows2)
 
 
