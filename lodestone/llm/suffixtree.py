@@ -1,20 +1,20 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-States are contexts of up to two words. A context is a candidate if its
-probability in the training texts is at least `P_CONTEXT`, and a state if its
-next-word distribution diverges from that of the next shorter one by more
-than its description costs. A state keeps the next words of which it has
-enough evidence, discounted; what is left of its mass goes to the next
+States are contexts of up to two words, of any words. A next word is kept in a
+state if it was seen there at least `LEAST` times, whatever the size of the
+corpus, and a context is a state if its kept next words (and the rest as one)
+diverge from the next shorter context by more than their description costs.
+Kept words are discounted; what is left of a state's mass goes to the next
 shorter context, down to the root: single words with 0.5 added to each count.
 
-Symbols are the words of at least `P_SYMBOL`, so there are at most 1 / P_SYMBOL
-of them; likewise at most 1 / P_CONTEXT states an order and 1 / P_ENTRY next
-words an order: the tree's size has a bound whatever the corpus. The root
-covers all words; counts of rare ones stay in a table and are joined.
-
 Score = sum over tokens of log10 P(token | longest suffix state). As each
-state backs off to the root by a factor, it is the base score plus a
-correction that depends on symbols alone.
+state backs off by a factor, this is the base score plus a sum of weights over
+the word pairs and triples of a text and over its words as contexts. Weights
+are a table, joined with the texts by hash, so the model may grow with the
+corpus. Weights of the most frequent words, pairs and triples travel to the
+workers and need no join (`HOT_SYMBOL`, `HOT_GRAM`: no score depends on them),
+and a bitmap of fixed size (`GATE_BITS`) keeps most grams that have no weight
+from being joined: it lets too many through, never too few.
 """
 
 from __future__ import annotations
@@ -24,24 +24,29 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrays, discard, materialize, pieces
 
-P_SYMBOL = 5e-5
-P_CONTEXT = 5e-4
-P_ENTRY = 2e-6
+#: Shares of all tokens from which words, and pairs and triples of such words, travel to the workers.
+HOT_SYMBOL = 5e-5
+HOT_GRAM = 2e-6
 #: Occurrences that a state's next word needs, at least.
 LEAST = 3
 DISCOUNT = 0.75
 #: Distinct keys that a task counts before it hands them on.
 HOLD = 150_000
+#: log2 of a gate's bits.
+GATE_BITS = 27
 
 END, OTHER, BEGIN, FIRST = 0, 1, 2, 3
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Hashes of words that a worker remembers.
+_REMEMBER = 500_000
+_known: dict[bytes, int] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -91,211 +96,323 @@ def _symbols(texts: list, ids: dict[bytes, int], rare: list[Counter] | None = No
     return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array(starts, np.int64)
 
 
+def _hash(word: bytes) -> int:
+    h = _known.get(word)
+    if h is None:
+        if len(_known) > _REMEMBER:
+            _known.clear()
+        h = _known[word] = xxhash.xxh3_64_intdigest(word)
+    return h
+
+
+def _hashes(texts: list) -> np.ndarray:
+    """All texts' words as 64-bit hashes, BEGIN before and END after each: places as in `_symbols`."""
+    out: list[int] = []
+    for t in texts:
+        out.append(BEGIN)
+        out.extend(map(_hash, words_of(t)))
+        out.append(END)
+    return np.array(out, np.uint64)
+
+
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The key of a gram from that of its front and its last word's hash."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(0xD1B54A32D192ED03)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Gate:
+    """A bitmap of keys by their first bits: has() is true for all of them, and for few others while it is sparse."""
+
+    def __init__(self, keys: DataFrame):
+        """keys: key (a 64-bit hash). The bitmap is made in parts, one for each of the first byte's values."""
+
+        def run(part: pa.Table) -> pa.Table:
+            slot = part.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - GATE_BITS)
+            bits = np.zeros(1 << (GATE_BITS - 8), np.uint8)
+            bits[(slot & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+            return pa.table({"part": pa.array([int(slot[0]) >> (GATE_BITS - 8)], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        parts = keys.select(F.shiftrightunsigned("key", 56).alias("part"), "key").groupBy("part").applyInArrow(run, "part int, bits binary").toArrow()
+        whole = np.zeros((256, 1 << (GATE_BITS - 11)), np.uint8)
+        for part, bits in zip(parts.column(0).to_pylist(), parts.column(1), strict=True):
+            whole[part] = np.frombuffer(bits.as_buffer(), np.uint8)
+        self.bits = whole.reshape(-1)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys >> np.uint64(64 - GATE_BITS)
+        return (self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of wanted are among the sorted keys, and where."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
+
+
 @dataclass
 class Tree:
-    """What scoring needs; keys are sorted."""
+    """Weights of the frequent words, pairs and triples; keys are sorted."""
 
     ids: dict[bytes, int]
-    #: contexts of one and two symbols -> state number
-    one: np.ndarray
-    pair_keys: np.ndarray
-    pair_states: np.ndarray
-    #: state and next symbol -> correction to the root's log10 probability
-    entry_keys: np.ndarray
-    entry_values: np.ndarray
-    #: state -> correction for every other next symbol's chain: its own factor, then the shorter state
+    #: symbol -> factor of its state (0: none)
     back: np.ndarray
-    shorter: np.ndarray
+    #: pairs -> what the second gains after the first; factor of the pair's own state
+    pair_keys: np.ndarray
+    pair_gain: np.ndarray
+    pair_back: np.ndarray
+    #: triples -> what the third gains after the others
+    triple_keys: np.ndarray
+    triple_gain: np.ndarray
 
     @property
     def m(self) -> int:
         return len(self.ids) + FIRST
 
-    def entry(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.entry_keys):
-            return np.zeros(len(state), bool), np.zeros(len(state))
-        k = state * self.m + symbol
-        at = np.minimum(np.searchsorted(self.entry_keys, k), len(self.entry_keys) - 1)
-        hit = (self.entry_keys[at] == k) & (symbol != OTHER)
-        return hit, self.entry_values[at]
-
-    def corrections(self, s: np.ndarray) -> np.ndarray:
-        """For each symbol its state's correction; none for BEGIN."""
-        state = np.full(len(s), -1, np.int64)
-        state[1:] = self.one[s[:-1]]
-        if len(self.pair_keys):
-            k = s[:-2] * self.m + s[1:-1]
-            at = np.minimum(np.searchsorted(self.pair_keys, k), len(self.pair_keys) - 1)
-            found = self.pair_keys[at] == k
-            state[2:][found] = self.pair_states[at[found]]
-        state[s == BEGIN] = -1
-        total, live = np.zeros(len(s)), np.flatnonzero(state >= 0)
-        while len(live):
-            st = state[live]
-            hit, value = self.entry(st, s[live])
-            total[live[hit]] += value[hit]
-            live, st = live[~hit], st[~hit]
-            total[live] += self.back[st]
-            state[live] = self.shorter[st]
-            live = live[state[live] >= 0]
+    def known(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which neighbouring pairs of s, and which triples, are in the tree, each with its places."""
+        pairs = s[:-1] * self.m + s[1:]
+        return *_found(self.pair_keys, pairs), *_found(self.triple_keys, pairs[:-1] * self.m + s[2:])
+
+    def corrections(self, s: np.ndarray, known: tuple | None = None) -> np.ndarray:
+        """For each symbol what the frequent grams add to its log10 probability; none for BEGIN."""
+        total = np.zeros(len(s))
+        pair, at2, triple, at3 = known or self.known(s)
+        total[1:] = self.back[s[:-1]]
+        total[1:][pair] += self.pair_gain[at2[pair]]
+        total[2:][pair[:-1]] += self.pair_back[at2[:-1][pair[:-1]]]
+        total[2:][triple] += self.triple_gain[at3[triple]]
+        total[s == BEGIN] = 0
         return total
 
 
-def _count_ngrams(train: DataFrame, ids: dict[bytes, int], contexts: np.ndarray, order: int) -> DataFrame:
-    """context, symbol, n: what follows the given contexts (sorted keys of `order` symbols)."""
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast((ids, contexts))
+def _count_grams(train: DataFrame, order: int, gate: Gate) -> DataFrame:
+    """g0, g1(, g2), n of the grams of `order` words seen at least LEAST times, as hashes.
+
+    gate: has the grams that are a word shorter and that often, for no other
+    can be part of one.
+    """
+    names = [f"g{k}" for k in range(order)]
+    shared = train.sparkSession.sparkContext.broadcast(gate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("context", pa.int64()), ("symbol", pa.int64()), ("n", pa.int64())])
-        ids, contexts = shared.value
-        m = len(ids) + FIRST
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        out = pa.schema([(x, pa.int64()) for x in [*names, "n"]])
+        held: list[np.ndarray] = []
+
+        def merged() -> np.ndarray:
+            g = np.concatenate(held, axis=1) if held else np.zeros((order + 2, 0), np.uint64)
+            _, first, at = np.unique(g[0], return_index=True, return_inverse=True)
+            n = np.bincount(at, g[-1], len(first)).astype(np.uint64)
+            return np.vstack([g[:-1, first], n])
+
         for whole in batches:
             for b in pieces(whole):
-                s, _ = _symbols(b.column(0).to_pylist(), ids)
-                c = s[:-1] if order == 1 else s[:-2] * m + s[1:-1]
-                nxt = s[order:]
-                at = np.minimum(np.searchsorted(contexts, c), len(contexts) - 1)
-                # A context doesn't reach over a text's end, and what follows is a word or the end.
-                ok = (contexts[at] == c) & (nxt != BEGIN)
-                k, n = np.unique(at[ok] * m + nxt[ok], return_counts=True)
-                keys, counts = np.concatenate([keys, k]), np.concatenate([counts, n])
-                if len(keys) > 4 * HOLD:
-                    keys, counts = _merged(keys, counts)
-                if len(keys) > 2 * HOLD:
-                    yield arrays(out, [contexts[keys // m], keys % m, counts])
-                    keys, counts = keys[:0], counts[:0]
-        keys, counts = _merged(keys, counts)
-        if len(keys):
-            yield arrays(out, [contexts[keys // m], keys % m, counts])
-
-    return train.select("text").mapInArrow(run, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-
-
-def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    k, at = np.unique(keys, return_inverse=True)
-    return k, np.bincount(at, counts, len(k)).astype(np.int64)
-
-
-def _states(grams: DataFrame, parent: DataFrame, total: int) -> DataFrame:
-    """context, n, of the candidates whose divergence from the shorter context pays for their description.
-
-    grams: context, symbol, n; parent: context, symbol, p. The gain in nats is
-    n(context) * KL; the cost half a log of the count for each distinct next symbol.
+                h = _hashes(b.column(0).to_pylist())
+                shorter = h if order == 2 else _key(h[:-1], h[1:])
+                last = h[order - 1 :]
+                ok = gate_has(shorter)
+                ok = ok[:-1] & ok[1:]
+                # A gram doesn't reach over a text's end.
+                for k in range(1, order):
+                    ok &= h[k : len(h) - order + 1 + k] != BEGIN
+                at = np.flatnonzero(ok)
+                keys = _key(shorter[:-1][at], last[at])
+                _, first, n = np.unique(keys, return_index=True, return_counts=True)
+                held.append(np.vstack([keys[first], *[h[at[first] + k] for k in range(order)], n.astype(np.uint64)]))
+                if sum(x.shape[1] for x in held) > 4 * HOLD:
+                    held = [merged()]
+                    if held[0].shape[1] > 2 * HOLD:
+                        yield arrays(out, list(held[0][1:].view(np.int64)))
+                        held = []
+        if held:
+            yield arrays(out, list(merged()[1:].view(np.int64)))
+
+    def gate_has(keys: np.ndarray) -> np.ndarray:
+        return shared.value.has(keys)
+
+    counted = train.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("n"))
+    return _keyed(counted.where(F.col("n") >= LEAST), order)
+
+
+def _keyed(grams: DataFrame, order: int) -> DataFrame:
+    """grams with their key, and that of what comes before (front) and without the first word (tail)."""
+    names = [f"g{k}" for k in range(order)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([(x, pa.int64()) for x in [*names, "n", "key", "front", "tail"]])
+        for b in batches:
+            g = [b.column(k).to_numpy().view(np.uint64) for k in range(order)]
+            front = g[0] if order == 2 else _key(g[0], g[1])
+            tail = g[1] if order == 2 else _key(g[1], g[2])
+            yield arrays(out, [*b.columns, *(x.view(np.int64) for x in (_key(front, g[-1]), front, tail))])
+
+    return grams.select(*names, "n").mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "n", "key", "front", "tail"]))
+
+
+def _states(grams: DataFrame) -> DataFrame:
+    """front, all, back of the contexts whose divergence from the shorter one pays for their description.
+
+    grams: front, n, all (times the context was seen), p (the shorter context's
+    share of the next word), below (its probability in the model). The gain in
+    nats is n(context) * KL, where the words not kept count as one; the cost
+    half a log of the count for each kept one. back is the log10 of the factor
+    by which the shorter context's probabilities of the other words are taken.
     """
-    sums = grams.groupBy("context").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-    x = grams.join(sums, "context").join(parent, ["context", "symbol"])
-    gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("p"))).alias("gain")
-    g = x.groupBy("context", "all", "kinds").agg(gain)
-    return g.where((F.col("all") >= P_CONTEXT * total) & (F.col("gain") > 0.5 * F.col("kinds") * F.log("all"))).select("context", F.col("all").alias("n"))
+    least = F.lit(1e-12)
+    own = (F.col("n") - DISCOUNT) / F.col("all")
+    g = grams.groupBy("front", "all").agg(
+        F.count("*").alias("kinds"),
+        F.sum("n").alias("kept"),
+        F.sum("p").alias("p"),
+        F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("p"))).alias("gain"),
+        F.sum(own).alias("own"),
+        F.sum("below").alias("below"),
+    )
+    rest = F.col("all") - F.col("kept")
+    more = F.when(rest > 0, rest * F.log(rest / F.col("all") / F.greatest(1 - F.col("p"), least))).otherwise(0.0)
+    back = F.log10(F.greatest(1 - F.col("own"), least) / F.greatest(1 - F.col("below"), least))
+    return g.where(F.col("gain") + more > 0.5 * F.col("kinds") * F.log("all")).select("front", back.alias("back"))
 
 
-def fit(train: DataFrame, counts: DataFrame, total: int, distinct: int, ends: int) -> Tree:
-    """Learn the tree. counts: word, n of the training texts; total and distinct with the end token."""
+def _gains(grams: DataFrame, states: DataFrame) -> DataFrame:
+    """grams with gain: what the kept word adds to the shorter context's log10 probability times the factor (0: no state)."""
+    x = grams.join(states, "front", "left")
+    is_state = F.col("back").isNotNull()
+    own = (F.col("n") - DISCOUNT) / F.col("all")
+    x = x.withColumn("prob", F.when(is_state, own).otherwise(F.col("below")))
+    return x.withColumn("gain", F.when(is_state, F.log10(own) - F.log10("below") - F.col("back")).otherwise(0.0)).drop("back")
+
+
+@dataclass
+class Model:
+    """Tables of weights: contexts of one word (key, back), pairs and triples (key, weight); the hot ones as a tree."""
+
+    words: DataFrame
+    grams: DataFrame
+    tree: Tree
+
+
+def learn(train: DataFrame, counts: DataFrame, total: int, distinct: int, ends: int) -> Model:
+    """Learn the model. counts: word, n of the training texts; total and distinct with the end token."""
     spark = train.sparkSession
-    frequent = counts.where(F.col("n") >= max(LEAST, P_SYMBOL * total)).orderBy(F.desc("n"), "word").collect()
+    z = total + 0.5 * (distinct + 1)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("key", pa.int64()), ("all", pa.int64())])
+        for b in batches:
+            yield arrays(out, [np.array([xxhash.xxh3_64_intdigest(w) for w in b.column(0).to_pylist()], np.uint64).view(np.int64), b.column(1)])
+
+    marks = spark.createDataFrame([(BEGIN, ends), (END, ends)], "key long, all long")
+    vocabulary = materialize(counts.where(F.col("n") >= LEAST).mapInArrow(hashed, "key long, all long").unionByName(marks), "vocabulary")
+    pairs = materialize(_count_grams(train, 2, Gate(vocabulary)), "grams")
+    of = vocabulary.select(F.col("key").alias("tail"), (F.col("all") / total).alias("p"), ((F.col("all") + 0.5) / z).alias("below"))
+    two = pairs.join(vocabulary.withColumnRenamed("key", "front"), "front").join(of, "tail")
+    one_word = materialize(_states(two), "states")
+    two = materialize(_gains(two, one_word), "gains")
+    triples = materialize(_count_grams(train, 3, Gate(pairs)), "grams")
+    shorter = two.select(F.col("key").alias("tail"), (F.col("n") / F.col("all")).alias("p"), F.col("prob").alias("below"))
+    three = triples.join(pairs.select(F.col("key").alias("front"), F.col("n").alias("all")), "front").join(shorter, "tail")
+    two_words = materialize(_states(three), "states")
+    three = materialize(_gains(three, two_words), "gains")
+    two = two.join(two_words.withColumnRenamed("front", "key"), "key", "left").withColumn("back", F.coalesce("back", F.lit(0.0)))
+    two = materialize(two.select("g0", "g1", "key", "n", "gain", "back"), "gains")
+    weights = two.select("key", (F.col("gain") + F.col("back")).alias("weight")).union(three.select("key", F.col("gain").alias("weight")))
+    grams = materialize(weights.where("weight != 0"), "weights")
+    words = one_word.withColumnRenamed("front", "key")
+    model = Model(words, grams, _hot(counts, total, words, two, three))
+    discard(vocabulary, pairs, triples, two_words)
+    return model
+
+
+def fit(train: DataFrame, counts: DataFrame, total: int, distinct: int, ends: int) -> Tree:
+    """The frequent part of the model."""
+    return learn(train, counts, total, distinct, ends).tree
+
+
+def _hot(counts: DataFrame, total: int, words: DataFrame, two: DataFrame, three: DataFrame) -> Tree:
+    """What the most frequent words, and pairs and triples of these, weigh: at most 1 / HOT_SYMBOL and 1 / HOT_GRAM of each."""
+    frequent = counts.where(F.col("n") >= max(LEAST, HOT_SYMBOL * total)).orderBy(F.desc("n"), "word").collect()
     ids = {bytes(r["word"]): FIRST + i for i, r in enumerate(frequent)}
     m = len(ids) + FIRST
-    z = total + 0.5 * (distinct + 1)
-    uni = np.zeros(m)
-    uni[FIRST:] = [r["n"] for r in frequent]
-    uni[END] = ends
-    uni[OTHER] = max(0, total - uni.sum())
-    root = np.log10((uni + 0.5) / z)
-
-    contexts1 = np.flatnonzero((uni >= P_CONTEXT * total) & (np.arange(m) != END) & (np.arange(m) != OTHER))
-    contexts1 = np.unique(np.append(contexts1, BEGIN)).astype(np.int64)
-    grams1 = materialize(_count_ngrams(train, ids, contexts1, 1), "grams")
-    p = spark.createDataFrame([(int(i), float(max(u, 0.5) / total)) for i, u in enumerate(uni) if i != BEGIN], "symbol long, p double")
-    one = grams1.select("context", "symbol").join(F.broadcast(p), "symbol")
-    least = max(LEAST, P_ENTRY * total)
-    rows1 = _with_states(grams1, _states(grams1, one, total), least)
-
-    pairs = grams1.where((F.col("n") >= max(LEAST, P_CONTEXT * total)) & (F.col("symbol") >= FIRST)).select("context", "symbol").collect()
-    contexts2 = np.unique(np.array([r["context"] * m + r["symbol"] for r in pairs], np.int64))
-    rows2 = rows1.iloc[:0]
-    if len(contexts2):
-        grams2 = materialize(_count_ngrams(train, ids, contexts2, 2), "grams")
-        of = grams1.join(grams1.groupBy("context").agg(F.sum("n").alias("all")), "context").select(F.col("context").alias("last"), "symbol", (F.col("n") / F.col("all")).alias("p"))
-        two = grams2.withColumn("last", F.col("context") % m).join(of, ["last", "symbol"]).select("context", "symbol", "p")
-        rows2 = _with_states(grams2, _states(grams2, two, total), least)
-        discard(grams2)
-    discard(grams1)
-    return _assemble(ids, root, rows1, rows2)
-
-
-def _with_states(grams: DataFrame, states: DataFrame, least: float) -> pd.DataFrame:
-    """State contexts with their next words of enough evidence: at most 1 / P_ENTRY rows."""
-    kept = grams.join(F.broadcast(states.withColumnRenamed("n", "all")), "context").where((F.col("n") >= least) & (F.col("symbol") != OTHER))
-    return kept.select("context", "all", "symbol", "n").toPandas()
-
-
-def _assemble(ids: dict[bytes, int], root: np.ndarray, rows1: pd.DataFrame, rows2: pd.DataFrame) -> Tree:
-    """States in order of their contexts, the shorter ones first, as the longer ones back off to them."""
-    m = len(root)
-    one = np.full(m, -1, np.int64)
-    tree = Tree(ids, one, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64))
-    for rows, order in ((rows1, 1), (rows2, 2)):
-        keys, values, back, shorter, names = [], [], [], [], []
-        for context, got in rows.groupby("context"):
-            symbols = got["symbol"].to_numpy()
-            p = (got["n"].to_numpy() - DISCOUNT) / got["all"].iloc[0]
-            up = -1 if order == 1 else int(one[context % m])
-            # The shorter context's probability of the kept words: what backing off must not count again.
-            shorter_p = root[symbols] + (_single(tree, up, symbols) if up >= 0 else 0.0)
-            left, rest = 1 - p.sum(), 1 - np.power(10, shorter_p).sum()
-            state = len(tree.back) + len(back)
-            back.append(np.log10(max(left, 1e-12) / max(rest, 1e-12)))
-            shorter.append(up)
-            names.append((context, state))
-            keys.append(state * m + symbols)
-            values.append(np.log10(p) - root[symbols])
-        if names:
-            k, v = np.concatenate([tree.entry_keys, *keys]), np.concatenate([tree.entry_values, *values])
-            by_key = np.argsort(k)
-            tree.entry_keys, tree.entry_values = k[by_key], v[by_key]
-            tree.back, tree.shorter = np.append(tree.back, back), np.append(tree.shorter, shorter).astype(np.int64)
-            if order == 1:
-                for context, state in names:
-                    one[context] = state
-            else:
-                tree.pair_keys = np.array([c for c, _ in names], np.int64)
-                tree.pair_states = np.array([s for _, s in names], np.int64)
-    return tree
-
-
-def _single(tree: Tree, state: int, symbols: np.ndarray) -> np.ndarray:
-    """Corrections of an order-1 state."""
-    hit, value = tree.entry(np.full(len(symbols), state), symbols)
-    return np.where(hit, value, tree.back[state])
-
-
-SCORED = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, correction double, rare array<binary>, times array<int>"
-
-
-def _score_pass(rows: DataFrame, tree: Tree, logs: dict) -> DataFrame:
-    """What symbols give each row; its rare words are handed on with their numbers."""
-    shared = rows.sparkSession.sparkContext.broadcast((tree, logs))
+    number = [(END, END), (BEGIN, BEGIN)] + [(int(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64)), i) for w, i in ids.items()]
+    symbols = F.broadcast(words.sparkSession.createDataFrame(number, "h long, id long"))
+    back = np.zeros(m)
+    for r in words.join(symbols, F.col("key") == F.col("h")).collect():
+        back[r["id"]] = r["back"]
+
+    def hot(grams: DataFrame, order: int, *values: str) -> list[np.ndarray]:
+        x = grams.where(F.col("n") >= max(LEAST, HOT_GRAM * total))
+        for k in range(order):
+            x = x.join(symbols.select(F.col("h").alias(f"g{k}"), F.col("id").alias(f"s{k}")), f"g{k}")
+        got = x.select(*[f"s{k}" for k in range(order)], *values).toArrow()
+        key = np.zeros(got.num_rows, np.int64)
+        for k in range(order):
+            key = key * m + got[f"s{k}"].to_numpy()
+        by = np.argsort(key)
+        return [key[by], *[got[v].to_numpy()[by] for v in values]]
+
+    return Tree(ids, back, *hot(two, 2, "gain", "back"), *hot(three, 3, "gain"))
+
+
+SCORED = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, correction double, rare array<binary>, times array<int>, grams array<long>"
+
+
+def _unjoined(s: np.ndarray, texts: list, known: tuple, gate: Gate, starts: np.ndarray) -> pa.ListArray:
+    """For each text the keys of its pairs and triples that may have a weight and are not in the tree."""
+    h = _hashes(texts)
+    two = _key(h[:-1], h[1:])
+    three = _key(two[:-1], h[2:])
+    inside = s[1:] != BEGIN
+    a = np.flatnonzero(inside & ~known[0] & gate.has(two))
+    b = np.flatnonzero(inside[:-1] & inside[1:] & ~known[2] & gate.has(three))
+    place, key = np.concatenate([a, b]), np.concatenate([two[a], three[b]])
+    by = np.argsort(place, kind="stable")
+    offsets = np.append(np.searchsorted(place[by], starts), len(by)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[by].view(np.int64)))
+
+
+def _score_pass(rows: DataFrame, tree: Tree, logs: dict, gate: Gate) -> DataFrame:
+    """What frequent words and grams give each row; its rare words, and the grams to be joined, are handed on."""
+    shared = rows.sparkSession.sparkContext.broadcast((tree, logs, gate))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, d = pa.int64(), pa.float64()
-        out = pa.schema([("doc_id", i), ("held_out", pa.bool_()), ("row", i), ("n_tokens", i), ("known", i), ("base", d), ("correction", d), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
-        tree, logs = shared.value
+        out = pa.schema([("doc_id", i), ("held_out", pa.bool_()), ("row", i), ("n_tokens", i), ("known", i), ("base", d), ("correction", d), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())), ("grams", pa.list_(i))])
+        tree, logs, gate = shared.value
         root, known = logs["root"], logs["known"]
         for whole in batches:
             for b in pieces(whole):
                 rare: list[Counter] = []
-                s, starts = _symbols(b.column(1).to_pylist(), tree.ids, rare)
+                texts = b.column(1).to_pylist()
+                s, starts = _symbols(texts, tree.ids, rare)
                 inner = s != BEGIN
                 base = np.where(inner & (s != OTHER), root[s], 0.0)
-                sums = [np.add.reduceat(x, starts) for x in (base, tree.corrections(s), (known[s] & inner).astype(np.int64))]
+                hot = tree.known(s)
+                sums = [np.add.reduceat(x, starts) for x in (base, tree.corrections(s, hot), (known[s] & inner).astype(np.int64))]
                 n_tokens = np.diff(np.append(starts, len(s))) - 1
-                yield arrays(out, [b.column(0), b.column(2), b.column(3), n_tokens, sums[2], sums[0], sums[1], list(map(list, rare)), [list(c.values()) for c in rare]])
+                grams = _unjoined(s, texts, hot, gate, starts)
+                yield arrays(out, [b.column(0), b.column(2), b.column(3), n_tokens, sums[2], sums[0], sums[1], list(map(list, rare)), [list(c.values()) for c in rare], grams])
 
     return rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "text", "held_out", "row").mapInArrow(run, SCORED)
 
 
+def _word_backs(counts: DataFrame, words: DataFrame) -> DataFrame:
+    """word, n, back: counts with the factor of the word's own state (null: none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("key", pa.int64())])
+        for b in batches:
+            yield arrays(out, [b.column(0), b.column(1), np.array([xxhash.xxh3_64_intdigest(w) for w in b.column(0).to_pylist()], np.uint64).view(np.int64)])
+
+    # Only words seen LEAST times can be states; the others need no join.
+    often = counts.where(F.col("n") >= LEAST).mapInArrow(run, "word binary, n long, key long").join(words, "key", "left")
+    return often.select("word", "n", "back").unionByName(counts.where(F.col("n") < LEAST).withColumn("back", F.lit(None).cast("double")))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
 
@@ -313,21 +430,29 @@ def score(docs: DataFrame) -> DataFrame:
     total, distinct = s["n"] + ends, s["v"] + (ends > 0)
     z = total + 0.5 * (distinct + 1)
     if total:
-        tree = fit(train, counts, total, distinct, ends)
+        model = learn(train, counts, total, distinct, ends)
+        tree, gate = model.tree, Gate(model.grams)
+        counted = _word_backs(counts, model.words)
     else:
-        none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("context", "all", "symbol", "n")})
-        tree = _assemble({}, np.zeros(FIRST), none, none)
+        none, zero = np.zeros(0, np.int64), np.zeros(0)
+        tree, gate, model = Tree({}, np.zeros(FIRST), none, zero, zero, none, zero), Gate(rows.sparkSession.createDataFrame([], "key long")), None
+        counted = counts.withColumn("back", F.lit(None).cast("double"))
     uni = np.zeros(tree.m)
     uni[END] = ends
-    for r in counts.where(F.col("n") >= max(LEAST, P_SYMBOL * total)).collect():
+    for r in counts.where(F.col("n") >= max(LEAST, HOT_SYMBOL * total)).collect():
         uni[tree.ids[bytes(r["word"])]] = r["n"]
     logs = {"root": np.log10((uni + 0.5) / z), "known": uni > 0}
-    scored = materialize(_score_pass(rows, tree, logs), "scored")
+    scored = materialize(_score_pass(rows, tree, logs, gate), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
-    each = rare.join(counts.hint("shuffle_hash"), "word", "left").select("row", (F.col("times") * F.log10((n + 0.5) / F.lit(z))).alias("base"), F.when(n > 0, F.col("times")).otherwise(0).alias("known"))
-    rest = each.groupBy("row").agg(F.sum("base").alias("rare_base"), F.sum("known").alias("rare_known"))
-    whole = scored.drop("rare", "times").join(rest, "row", "left")
+    # Each word is the context of what follows it, if only of the end.
+    back = F.col("times") * F.coalesce("back", F.lit(0.0))
+    each = rare.join(counted.hint("shuffle_hash"), "word", "left").select("row", (F.col("times") * F.log10((n + 0.5) / F.lit(z))).alias("base"), F.when(n > 0, F.col("times")).otherwise(0).alias("known"), back.alias("weight"))
+    if model:
+        grams = scored.select("row", F.explode("grams").alias("key")).join(model.grams.hint("shuffle_hash"), "key")
+        each = each.unionByName(grams.select("row", F.lit(0.0).alias("base"), F.lit(0).alias("known"), "weight"))
+    rest = each.groupBy("row").agg(F.sum("base").alias("rare_base"), F.sum("known").alias("rare_known"), F.sum("weight").alias("rare_weight"))
+    whole = scored.drop("rare", "times", "grams").join(rest, "row", "left")
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
     return whole.select(
         "doc_id",
@@ -336,5 +461,5 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.col("correction")).alias("score"),
+        (base + F.col("correction") + F.coalesce("rare_weight", F.lit(0.0))).alias("score"),
     )

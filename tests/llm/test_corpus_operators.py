@@ -259,6 +259,22 @@ def test_suffix_tree_distributions_sum_to_one(markov, spark):
         assert abs(p - 1) < 1e-9
 
 
+def test_suffix_tree_keeps_grams_of_rare_words(spark, monkeypatch):
+    """What is evidence (three times) counts in a corpus of any size, and as much joined as sent to the workers."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 5000, 400))) for i in range(300)]
+    rows = [(i, t + " rarely seen words together" if i % 25 == 0 else t) for i, t in rows]
+    docs = spark.createDataFrame([*rows, (1001, "rarely seen words together"), (1002, "together words seen rarely")], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffixtree.score(docs).collect()}
+    gain = {i: got[i].score - got[i].base_score for i in (1001, 1002)}
+    assert gain[1001] > 8 and gain[1001] > gain[1002] + 8
+    # A corpus in which no word and no gram is frequent enough to travel.
+    monkeypatch.setattr(suffixtree, "HOT_SYMBOL", 1.0)
+    monkeypatch.setattr(suffixtree, "HOT_GRAM", 1.0)
+    again = {r.doc_id: r for r in suffixtree.score(docs).collect()}
+    assert all(abs(again[i].score - r.score) < 1e-6 for i, r in got.items())
+
+
 # -- pipeline -----------------------------------------------------------------
 
 
