@@ -171,6 +171,18 @@ def test_quality(spark, docs, no_docs, rows):
     assert all(r.kept != r.base_failed for r in quality.verdicts(docs, none).collect())
 
 
+def test_quality_sees_the_vocabulary_of_the_whole_text():
+    rng = np.random.default_rng(6)
+    start = " ".join(f"w{k:04d}" for k in rng.permutation(9000)[:400])
+    of = lambda tail: dict(zip(quality.COLUMNS, quality.statistics(f"{start} {tail}"), strict=True))
+    few = " ".join(f"t{k:04d}" for k in rng.integers(0, 20, 500))
+    many = " ".join(f"t{k:04d}" for k in rng.permutation(9000)[:500])
+    assert of(few)["distinct_share"] < of(many)["distinct_share"] - 0.3
+    assert of(few)["least_distinct"] <= 20 / 400 < of(many)["least_distinct"]
+    # A partial block at the end counts as well.
+    assert of(few[: 6 * 100])["least_distinct"] < 0.9
+
+
 def test_forest_parts_junk_from_prose():
     rng = np.random.default_rng(2)
     good, bad = rng.normal(0.3, 0.02, (600, 5)), rng.normal(0.3, 0.02, (200, 5))
