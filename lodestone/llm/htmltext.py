@@ -191,7 +191,10 @@ def parse(text: str) -> Page:
 
 
 def best(page: Page) -> tuple[int, float]:
-    """The container that holds the text, and its score: from the root down while one child holds most of it."""
+    """The container that holds the text, and its score: from the root down while one child holds most of it.
+
+    An article or main is taken whole: its title and lead may stand outside the child that holds most of its text.
+    """
     own = [0.0] * len(page.paths)
     for container, block, links in page.blocks:
         own[container] += max(0, len(block) - 2 * links)
@@ -202,7 +205,7 @@ def best(page: Page) -> tuple[int, float]:
     for i in range(1, len(total)):
         children.setdefault(page.parents[i], []).append(i)
     at = 0
-    while at in children:
+    while at in children and page.paths[at].rpartition("/")[2].split(".")[0] not in ("article", "main"):
         score, child = max((total[c] * (1.3 if page.hinted[c] else 1.0), -c) for c in children[at])
         child = -child
         if total[child] <= 0 or total[child] < (0.5 if page.hinted[child] else 0.85) * total[at]:

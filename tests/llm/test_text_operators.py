@@ -225,6 +225,17 @@ def test_html_winning_path_and_own_choice():
     assert htmltext.extract_page(little, ["/div.b"]) != "two"
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_html_takes_an_article_whole(tag):
+    body = "<body><div class='top'>x</div><{0}><h1>Title</h1><p>The lead</p><div class='content'><p>{1}</p></div><section><p>More</p></section></{0}></body>"
+    text = "word " * 200
+    page = body.format(tag, text)
+    want = f"Title\n\nThe lead\n\n{text.strip()}\n\nMore"
+    assert htmltext.extract_page(page, []) == want
+    read = htmltext.parse(page)
+    assert htmltext.extract_page(page, [read.paths[htmltext.best(read)[0]]]) == want
+
+
 def _pii_base(text):
     text = text or ""
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
