@@ -12,7 +12,7 @@ import bisect
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -122,7 +122,7 @@ def _more_lookalikes() -> dict[str, str]:
 GLYPHS = _more_lookalikes() | LOOKALIKES
 #: Digits in words.
 NUMBERS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-#: Consecutive digits in words that are taken as digits.
+#: Consecutive digits in words that are taken as digits, whatever they show.
 SPELLED = 4
 
 _OPEN, _CLOSE = r"[(\[{<]", r"[)\]}>]"
@@ -142,6 +142,10 @@ _BRACKET = re.compile(rf"{_OPEN}\s{{0,3}}(?:at|@|arroba|ät|chez|dot|\.|punkt|po
 _SIGN = re.compile(rf"(?P<at>{_AT}|{_WORDY})|(?P<dot>{_DOT}|{_WORDY_DOT})", re.IGNORECASE)
 _RUN_RE = re.compile(_RUN, re.IGNORECASE)
 _NUMBER_RE = re.compile(_NUMBER, re.IGNORECASE)
+_ITEM = rf"(?:{_NUMBER}(?![A-Za-z])|[0-9]++)"
+_ITEM_RE = re.compile(_ITEM, re.IGNORECASE)
+#: Number words and digits in any order.
+_MIXED_RE = re.compile(rf"(?<![A-Za-z0-9])(?P<plus>plus[\s-]+)?\+?\(?{_ITEM}(?:[\s,.()-]{{1,3}}{_ITEM})++", re.IGNORECASE)
 #: Letters in lower case, a space for all else.
 _LETTERS = bytes(c | 32 if 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 _NUMBER_WORDS = [f" {w} ".encode() for w in NUMBERS]
@@ -156,6 +160,10 @@ class Rewritten:
 
     def then(self, pattern: re.Pattern, by) -> Rewritten:
         """Rewrite what matches; places stay those of the first source."""
+        return self.edit((m.start(), m.end(), new) for m in pattern.finditer(self.text) if (new := by(m)) is not None)
+
+    def edit(self, edits: Iterable[tuple[int, int, str]]) -> Rewritten:
+        """Rewrite pieces (start, end, new text), given in order."""
         out, parts, at, pos = Rewritten(""), [], 0, 0
         out.starts, out.sources, out.changed = [], [], []
 
@@ -178,13 +186,10 @@ class Rewritten:
                     put(self.text[a:e], (s, t) if self.changed[i] else (s + a - self.starts[i], s + e - self.starts[i]), self.changed[i])
                 a, i = e, i + 1
 
-        for m in pattern.finditer(self.text):
-            new = by(m)
-            if new is None:
-                continue
-            copy(pos, m.start())
-            put(new, (self.source(m.start(), m.end())), True)
-            pos = m.end()
+        for start, end, new in edits:
+            copy(pos, start)
+            put(new, self.source(start, end), True)
+            pos = end
         copy(pos, len(self.text))
         out.text = "".join(parts)
         return out
@@ -210,6 +215,44 @@ def _spelled(m: re.Match) -> str:
     return ("+" if word.startswith("plus") else "") + "".join(NUMBERS[w.lower()] for w in _NUMBER_RE.findall(m[0]))
 
 
+def _edits(run: re.Match, dots: bool) -> list[tuple[int, int, str]]:
+    """Number words of a run as digits; what joins two of them goes, but for single dots if they are to stay."""
+    out, before, word = [], run.start(), False
+    if run["plus"]:
+        before += len(run["plus"])
+        out.append((run.start(), before, "+"))
+    for m in _ITEM_RE.finditer(run[0], before - run.start()):
+        start, end = run.start() + m.start(), run.start() + m.end()
+        number = NUMBERS.get(m[0].lower())
+        gap = run.string[before:start]
+        if word and number and gap and not (dots and gap == "."):
+            out.append((before, start, ""))
+        if number:
+            out.append((start, end, number))
+        before, word = end, bool(number)
+    return out
+
+
+def _numbers(text: str) -> list[tuple[int, int, str]]:
+    """Edits of the runs of number words, digits and dots that show an address, card or phone only with words as digits."""
+    out = []
+    for run in _MIXED_RE.finditer(text):
+        if not _NUMBER_RE.search(run[0]):
+            continue
+        had = [len(f(run[0])) for f in (ips, cards, phones)]
+        for dots in (True, False):
+            edits = _edits(run, dots)
+            parts, pos = [], run.start()
+            for start, end, new in edits:
+                parts += [text[pos:start], new]
+                pos = end
+            read = "".join([*parts, text[pos : run.end()]])
+            if any(len(f(read)) > n for f, n in zip((ips, cards, phones), had, strict=True)):
+                out += edits
+                break
+    return out
+
+
 def disguised(text: str) -> list[Span]:
     """Spans that only the rewritten text shows, in places of the source."""
     r = Rewritten(text)
@@ -218,8 +261,10 @@ def disguised(text: str) -> list[Span]:
     letters = b" " + r.text.encode().translate(_LETTERS) + b" "
     if b" dot " in letters or _BRACKET.search(r.text):
         r = r.then(_SIGN, lambda m: "@" if m["at"] else ".")
-    # A run of SPELLED numbers shows at least half of them here, as two neighbours share a space.
-    if sum(map(letters.count, _NUMBER_WORDS)) >= SPELLED // 2:
+    if any(w in letters for w in _NUMBER_WORDS):
+        if edits := _numbers(r.text):
+            r = r.edit(edits)
+        # A long run of words is read as digits in any case; what was rewritten holds no words any more.
         r = r.then(_RUN_RE, _spelled)
     return [(kind, *r.source(s, e)) for kind, s, e in plain(r.text) if r.touched(s, e)] if any(r.changed) else []
 

@@ -285,6 +285,21 @@ def test_pii_disguises_map_back(text, kind, span):
     assert span is None or (kind, span) in found
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("at one nine two dot one six eight dot zero dot one ok", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("at one nine two.one six eight.zero.one ok", "ip", "one nine two.one six eight.zero.one"),
+        ("host 10 dot zero dot 0 dot one up", "ip", "10 dot zero dot 0 dot one"),
+        ("call +1 555 one two three 4567 now", "phone", "+1 555 one two three 4567"),
+        ("rooms one. 2, three and 4; two or 3.", "ip", None),
+        ("card 4111 one one one one 1111 1111 no", "card", "4111 one one one one 1111 1111"),
+    ],
+)
+def test_pii_numbers_partly_in_words(text, kind, span):
+    assert [(k, text[s:e]) for k, s, e in pii.find(text)[1]] == ([(kind, span)] if span else [])
+
+
 def test_pii_leaves_prose_alone_and_is_linear():
     assert pii.find("we met at one dot of ink, look at this; two or three of them.") == ([], [])
     for t in ("1" * 200_000, "a" * 200_000 + "@", "1.1." * 50_000, "one " * 20_000, "+" * 100_000, "1 1-" * 50_000):
