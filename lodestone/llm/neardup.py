@@ -4,19 +4,30 @@ A document's set holds its distinct 5-word shingles. Equal sets are one class
 from the start. Each of several independent trees branches the classes by a
 selected minwise token, recursively: a node of at most `NODE` classes is
 compared exhaustively on signatures; a larger one branches further, along
-positions that a hash of the node selects (4/3 of them in the mean, so that a
-pair at the threshold keeps one path in the mean, and one of many trees
-reaches it). Candidate pairs are confirmed on full sets.
-
-Most nodes are sparse and hand on all their candidate pairs. A dense node (a
-large group of near copies) first hands on a maximum spanning forest of its
-candidates, so its output is linear; after these links are confirmed and
-merged, its sets are brought together and only pairs between different
-components are confirmed, the likeliest first.
+positions that a hash of the node selects (3/2 of them in the mean, so that a
+pair at the threshold keeps 9/8 paths a level in the mean: a tree that has
+the pair in one node of its first level keeps it to any depth with a chance
+of 0.43 or more, and one of 12 trees does so in 99 of 100 cases).
+Candidate pairs are confirmed on full sets.
+
+A large group of near copies would stay together along every path, so a large
+node is relieved of its dense points before it branches (`_relieve`): all its
+classes are compared with a few leaders and confirmed against the most similar
+one; leaders that are linked are one hub. The classes around a hub that holds
+a good part of the node are one component already. They leave the node, after
+a comparison with all other classes that are near enough to a leader to be
+linked with one of them.
+
+Most small nodes are sparse and hand on all their candidate pairs. A dense one
+first hands on a maximum spanning forest of its candidates, so its output is
+linear; after these links are confirmed and merged, its sets are brought
+together and only pairs between different components are confirmed, the
+likeliest first.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrays, materialize, pieces
+from .common import arrays, discard, materialize, pieces
 from .components import components
 
 WORDS = 5
@@ -46,8 +57,14 @@ DEPTH = 40
 SIGMAS = 4
 #: A node with more candidate pairs than so many times its classes is dense.
 DENSE = 4
+#: Classes that all others of a large node are compared with before it branches.
+LEADERS = 8
+#: A hub leaves a large node if it holds at least one in so many of its classes; a smaller one branches on.
+HUB = 16
 
 _LEAST = int(SIGNATURE * (SIMILARITY / 100 - SIGMAS * (0.75 * 0.25 / SIGNATURE) ** 0.5))
+#: Two sets that are linked with a third share half of their union; so the estimate of those that may be is no less than this.
+_NEAR = int(SIGNATURE * (0.5 - SIGMAS * (0.25 / SIGNATURE) ** 0.5))
 _SEED = np.random.default_rng(20240)
 _MULTIPLY = (_SEED.integers(1, 2**32, SIGNATURE, dtype=np.uint64) | 1).astype(np.uint32)
 _ADD = _SEED.integers(0, 2**32, SIGNATURE, dtype=np.uint64).astype(np.uint32)
@@ -141,19 +158,20 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def _child(node: np.ndarray, position: np.ndarray | int, token: np.ndarray) -> np.ndarray:
-    return _mixed(_mixed(node + _MIX[0] * (np.asarray(position).astype(np.uint64) + np.uint64(1))) + token)
+    # At least one dimension: arithmetic on arrays wraps round without a warning.
+    return _mixed(_mixed(node + _MIX[:1] * (np.atleast_1d(position).astype(np.uint64) + np.uint64(1))) + token)
 
 
 def _branch(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Children of (node, signature) rows: row numbers and child nodes.
 
-    The positions depend on the node alone: one for sure, a second one in a
-    third of the nodes.
+    The positions depend on the node alone: one for sure, a second one in
+    half of the nodes.
     """
     each = np.arange(len(nodes))
     one, two = _mixed(nodes), _mixed(nodes + _MIX[1])
     p1 = (one % np.uint64(SIGNATURE)).astype(int)
-    more = np.flatnonzero((two >> np.uint64(40)) % np.uint64(3) == 0)
+    more = np.flatnonzero((two >> np.uint64(40)) % np.uint64(2) == 0)
     p2 = (p1[more] + 1 + (two[more] % np.uint64(SIGNATURE - 1)).astype(int)) % SIGNATURE
     return np.concatenate([each, more]), np.concatenate([_child(nodes, p1, sigs[each, p1]), _child(nodes[more], p2, sigs[more, p2])])
 
@@ -195,10 +213,116 @@ def _blocks(rows: DataFrame, most: int) -> DataFrame:
     return each.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "id")
 
 
-def leaves(classes: DataFrame) -> DataFrame:
-    """node, id of all nodes with two classes or more that are small enough (or at the last level)."""
+def _chunk(count, most: int = NODE):
+    """How many chunks of about `most` rows."""
+    return F.ceil(count / F.lit(most)).cast("int")
+
+
+def _stars(rows: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
+    """node, id, tried, near for the classes of large nodes. rows: node, id, size.
+
+    Up to `LEADERS` classes of a node, the same in every tree that has them
+    together, are compared with all its classes. tried: the most similar
+    leader if the two may be linked (of a leader: itself and all that may be).
+    near: leaders that may be linked with something that this class is linked with.
+    A node is worked on in chunks, to each of which its leaders travel.
+    """
+    members = rows.select("node", "id", _chunk(F.col("size")).alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    slot = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(LEADERS))
+    first = members.groupBy("node", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(2)).alias("by"), "id")).alias("one"), F.first("chunks").alias("chunks"))
+    leaders = first.select("node", F.col("one.id").alias("id"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("leads"))
+    both = members.select("node", "id", "chunk", F.lit(False).alias("leads")).unionByName(leaders)
+    full = both.join(classes.select("id", "n_shingles", "signature"), "id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"node": [], "id": [], "tried": [], "near": []}
+        for (node, _), g in pdf.groupby(["node", "chunk"], sort=False):
+            lead, rest = g[g["leads"]], g[~g["leads"]]
+            if rest.empty:
+                continue
+            names = lead["id"].to_numpy()
+            sizes, theirs = rest["n_shingles"].to_numpy(), lead["n_shingles"].to_numpy()
+            # One row at a time of the fewer: the leaders.
+            agree = _agree(_tokens(lead["signature"]), _tokens(rest["signature"])).T.astype(np.int64)
+            less, more = np.minimum(sizes[:, None], theirs), np.maximum(sizes[:, None], theirs)
+            may = np.where(100 * less >= SIMILARITY * more, agree, 0)
+            near = (agree >= _NEAR) & (100 * less >= (2 * SIMILARITY - 100) * more)
+            best = may.argmax(1)
+            for k, i in enumerate(rest["id"].tolist()):
+                out["node"].append(node)
+                out["id"].append(i)
+                if (names == i).any():
+                    out["tried"].append(names[may[k] >= _LEAST].tolist())
+                else:
+                    out["tried"].append([int(names[best[k]])] if may[k, best[k]] >= _LEAST else [])
+                out["near"].append(names[near[k]].tolist())
+        return pd.DataFrame(out)
+
+    bucket = F.pmod(F.xxhash64("node", "chunk"), F.lit(buckets)).alias("bucket")
+    return full.select(bucket, "node", "chunk", "id", "leads", "n_shingles", "signature").groupBy("bucket").applyInPandas(run, "node long, id long, tried array<long>, near array<long>")
+
+
+def _hubs(links: DataFrame) -> DataFrame:
+    """node, leader, hub: linked leaders of a node as one hub, named by the least. links: node, id, leader, both leaders."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        top = {i: i for i in pdf["id"].tolist()}
+        for _ in top:
+            for i, j in zip(pdf["id"].tolist(), pdf["leader"].tolist(), strict=True):
+                top[i] = top[j] = min(top[i], top[j])
+        return pd.DataFrame({"node": pdf["node"].iloc[0], "leader": list(top), "hub": list(top.values())})
+
+    return links.groupBy("node").applyInPandas(run, "node long, leader long, hub long")
+
+
+def _relieve(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Take the dense points out of large nodes. rows: node, id, size.
+
+    Returns confirmed links (a, b), the nodes in which what leaves is compared
+    with what is near to it (node, id, part), and what remains (node, id, left
+    with the number that remains).
+    """
+    buckets = max(1, -(-rows.count() // 4096))
+    stars = materialize(_stars(rows, classes, buckets), "stars")
+    tried = stars.select("node", "id", F.explode("tried").alias("leader"))
+    # Dealt by the class: what the few leaders hold travels to every bucket, each class to one.
+    pairs = materialize(tried.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct().withColumn("node", F.xxhash64("a")), "tried")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = materialize(_sets(docs, classes.select("id", "doc_id", "text_key").join(wanted, "id")), "sets")
+    sure = materialize(_confirm(pairs, sets), "links")
+    discard(sets)
+    same = tried.join(sure.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.lit(True).alias("sure")), ["id", "leader"], "left")
+    linked = same.where("sure or id = leader").select("node", "id", "leader")
+    leads = linked.where("id = leader").select("node", F.col("id").alias("lead"))
+    hubs = _hubs(linked.join(leads, (linked["node"] == leads["node"]) & (linked["id"] == leads["lead"]), "left_semi"))
+    around = materialize(linked.join(hubs, ["node", "leader"]).groupBy("node", "id").agg(F.min("hub").alias("hub")), "around")
+    size = rows.groupBy("node").agg(F.first("size").alias("size"))
+    held = around.groupBy("node", "hub").agg(F.count("*").alias("held")).join(size, "node").where(F.col("held") * HUB >= F.col("size"))
+    held = materialize(held, "hubs")
+    leaving = materialize(around.join(held.select("node", "hub"), ["node", "hub"]), "leaving")
+    # What is near to a leader of the hub, and not of the hub itself; two hubs are compared once.
+    near = stars.select("node", "id", F.explode("near").alias("leader")).join(hubs, ["node", "leader"]).select("node", "id", "hub").distinct()
+    near = near.join(held.select("node", "hub", "held"), ["node", "hub"]).join(leaving.select("node", "id", F.col("hub").alias("own")), ["node", "id"], "left")
+    near = materialize(near.where("own is null or own > hub").select("node", "hub", "id", "held"), "near")
+    beside = near.groupBy("node", "hub").agg(F.count("*").alias("beside"), F.first("held").alias("held"))
+    i, j = _chunk(F.col("held")), _chunk(F.col("beside"))
+    one = leaving.join(beside, ["node", "hub"]).select("node", "hub", "id", F.pmod(F.xxhash64("id"), i).alias("i"), F.explode(F.sequence(F.lit(0), j - 1)).alias("j"), F.lit(1).alias("part"))
+    two = near.drop("held").join(beside, ["node", "hub"]).select("node", "hub", "id", F.explode(F.sequence(F.lit(0), i - 1)).alias("i"), F.pmod(F.xxhash64("id"), j).alias("j"), F.lit(2).alias("part"))
+    both = one.select("node", "hub", "id", F.col("i").cast("long"), F.col("j").cast("long"), "part").union(two.select("node", "hub", "id", F.col("i").cast("long"), F.col("j").cast("long"), "part"))
+    compared = materialize(both.select(F.xxhash64("node", "hub", "i", "j").alias("node"), "id", "part"), "beside")
+    gone = held.groupBy("node").agg(F.sum("held").alias("gone"))
+    rest = rows.join(leaving.select("node", "id"), ["node", "id"], "left_anti").join(gone, "node", "left")
+    rest = materialize(rest.select("node", "id", (F.col("size") - F.coalesce("gone", F.lit(0))).alias("left")), "rest")
+    return sure, compared, rest
+
+
+def leaves(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """node, id, part of all nodes to compare: with two classes or more, and small enough (or at the last level); links found on the way.
+
+    part is 0, or tells two sides between which alone pairs are compared.
+    """
     level = materialize(_roots(classes), "nodes")
-    out = None
+    out, links = None, []
     for depth in range(DEPTH):
         size = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         size = materialize(size, "sizes")
@@ -206,19 +330,29 @@ def leaves(classes: DataFrame) -> DataFrame:
         done = level.join(size.where(F.col("size") <= NODE), "node").select("node", "id")
         if last:
             done = done.union(_blocks(level.join(size.where(F.col("size") > NODE), "node"), NODE))
+        done = done.withColumn("part", F.lit(0))
+        large = size.where(F.col("size") > NODE)
+        ends = last or not large.limit(1).count()
+        if not ends:
+            sure, compared, rest = _relieve(docs, level.join(large, "node"), classes)
+            links.append(sure)
+            done = done.union(compared).union(rest.where((F.col("left") > 1) & (F.col("left") <= NODE)).select("node", "id", F.lit(0).alias("part")))
         done = materialize(done, "leaves")
         out = done if out is None else out.unionByName(done)
-        large = size.where(F.col("size") > NODE).select("node")
-        if last or not large.limit(1).count():
-            return out
-        grown = level.join(large, "node").join(classes.select("id", "signature"), "id").select("node", "id", "signature")
+        if ends:
+            return out, links
+        grown = rest.where(F.col("left") > NODE).join(classes.select("id", "signature"), "id").select("node", "id", "signature")
         level = materialize(_descend(grown), "nodes")
-    return out
+    return out, links
 
 
 # -- comparing nodes ----------------------------------------------------------
 
 
+def _tokens(signatures: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), "<u2").reshape(len(signatures), SIGNATURE)
+
+
 def _agree(sigs: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Agreeing tokens of each row with each other row."""
     out = np.empty((len(sigs), len(others)), np.uint16)
@@ -244,17 +378,23 @@ def _forest(agree: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _agreement(sigs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Agreeing tokens of each pair, 0 where the sizes alone rule out a link."""
-    agree = _agree(sigs, sigs)
+def _agreement(sigs: np.ndarray, sizes: np.ndarray, parts: np.ndarray | None = None) -> np.ndarray:
+    """Agreeing tokens of each pair, 0 where the sizes alone rule out a link, or both are on one side."""
+    if parts is not None and parts.any():
+        one, two = np.flatnonzero(parts == 1), np.flatnonzero(parts == 2)
+        agree = np.zeros((len(sigs), len(sigs)), np.uint16)
+        agree[np.ix_(one, two)] = _agree(sigs[one], sigs[two])
+        agree = np.maximum(agree, agree.T)
+    else:
+        agree = _agree(sigs, sigs)
     agree[100 * np.minimum(sizes[:, None], sizes) < SIMILARITY * np.maximum(sizes[:, None], sizes)] = 0
     np.fill_diagonal(agree, 0)
     return agree
 
 
-def _node_pairs(sigs: np.ndarray, sizes: np.ndarray) -> tuple[list[tuple[int, int]], bool]:
+def _node_pairs(sigs: np.ndarray, sizes: np.ndarray, parts: np.ndarray | None = None) -> tuple[list[tuple[int, int]], bool]:
     """Candidate pairs of one node and whether it is dense."""
-    agree = _agreement(sigs, sizes)
+    agree = _agreement(sigs, sizes, parts)
     a, b = np.nonzero(np.triu(agree >= _LEAST))
     if len(a) > DENSE * len(sigs):
         return _forest(agree), True
@@ -298,7 +438,7 @@ def _resolve(rows: DataFrame, buckets: int) -> DataFrame:
         for _, g in pdf.groupby("node", sort=False):
             g = g.sort_values("id")
             ids = g["id"].tolist()
-            sigs = np.frombuffer(b"".join(g["signature"]), "<u2").reshape(len(g), SIGNATURE)
+            sigs = _tokens(g["signature"])
             sets = [np.frombuffer(x, np.uint64) for x in g["set"]]
             found += [(ids[i], ids[j]) for i, j in _node_links(sigs, g["n_shingles"].to_numpy(), g["root"].to_numpy(), sets)]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
@@ -308,7 +448,7 @@ def _resolve(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def _compare(rows: DataFrame, buckets: int) -> DataFrame:
-    """a, b, node, dense of candidate pairs. rows: node, id, n_shingles, signature."""
+    """a, b, node, dense of candidate pairs. rows: node, id, part, n_shingles, signature."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b, out_node, out_dense = [], [], [], []
@@ -317,8 +457,7 @@ def _compare(rows: DataFrame, buckets: int) -> DataFrame:
                 continue
             g = g.sort_values("id")
             ids, sizes = g["id"].to_numpy(), g["n_shingles"].to_numpy()
-            sigs = np.frombuffer(b"".join(g["signature"]), "<u2").reshape(len(g), SIGNATURE)
-            pairs, dense = _node_pairs(sigs, sizes)
+            pairs, dense = _node_pairs(_tokens(g["signature"]), sizes, g["part"].to_numpy())
             for i, j in pairs:
                 out_a.append(ids[i])
                 out_b.append(ids[j])
@@ -327,7 +466,7 @@ def _compare(rows: DataFrame, buckets: int) -> DataFrame:
         return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64), "node": np.array(out_node, np.int64), "dense": np.array(out_dense, bool)})
 
     bucket = F.pmod(F.col("node"), F.lit(buckets)).alias("bucket")
-    return rows.select(bucket, "node", "id", "n_shingles", "signature").groupBy("bucket").applyInPandas(run, "a long, b long, node long, dense boolean")
+    return rows.select(bucket, "node", "id", "part", "n_shingles", "signature").groupBy("bucket").applyInPandas(run, "a long, b long, node long, dense boolean")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -377,7 +516,7 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: confirmed links between classes that join them to their components."""
-    leaf = leaves(classes)
+    leaf, found_before = leaves(docs, classes)
     total = leaf.count()
     buckets = max(1, -(-total // 4096))
     full = leaf.join(classes.select("id", "n_shingles", "signature"), "id")
@@ -386,12 +525,12 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = materialize(classes.select("id", "doc_id", "text_key").join(ends, "id"), "wanted")
     sets = materialize(_sets(docs, wanted), "sets")
-    sure = materialize(_confirm(pairs, sets), "links")
+    sure = functools.reduce(DataFrame.union, found_before, materialize(_confirm(pairs, sets), "links"))
     dense = materialize(found.where("dense").select("node").distinct(), "dense")
     if not dense.limit(1).count():
         return sure
     roots = components(sure)
-    rest = leaf.join(dense, "node").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rest = leaf.select("node", "id").join(dense, "node").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     # What is left in a dense node matters only if it holds several components; it is cut so that its sets fit in memory.
     sized = rest.join(classes.select("id", "n_shingles"), "id")
     mixed = sized.groupBy("node").agg((F.min("root") != F.max("root")).alias("mixed"), F.sum("n_shingles").alias("size")).where("mixed").drop("mixed")
@@ -402,26 +541,52 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return sure.union(materialize(_resolve(full, max(1, -(-n // NODE_SHINGLES))), "links"))
 
 
+def _rooted(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, root of each row of docs; root is the component, null for an empty set."""
+    rows, classes = classes_of(docs)
+    roots = components(links(docs, classes))
+    rows = rows.select("doc_id", "text_key", "n_shingles", "id").join(roots, "id", "left")
+    return materialize(rows.select("doc_id", "text_key", "n_shingles", F.coalesce("root", "id").alias("root")), "rooted")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
     In: doc_id, text (further columns are not read). A null or empty text has
     an empty set, is linked with nothing and is its own component. Rows with
     equal sets are one class, whatever their number. component_id is the
-    least doc_id of the component (nulls last); kept where it is the row's
+    least doc_id of the component, nulls aside; kept where it is the row's
     own. Repeated rows of one doc_id each give a row.
     """
-    rows, classes = classes_of(docs)
-    roots = components(links(docs, classes))
-    rows = rows.select("doc_id", "n_shingles", "id").join(roots, "id", "left")
-    rows = materialize(rows.select("doc_id", "n_shingles", F.coalesce("root", "id").alias("root")), "rooted")
+    rows = _rooted(docs)
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "root", "left")
     component = F.coalesce("least", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return rows.join(least, "root", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns unchanged, of which one document of each group stays."""
-    kept = groups(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(kept["_doc"]), "left_semi")
+    """One row of docs for each component, that of its least doc_id, all columns unchanged.
+
+    Rows without words are linked with nothing and all stay. A null doc_id
+    stands only for a component that has no other. Of rows of the least doc_id
+    with different texts the one whose text has the least hash stays; of wholly
+    repeated rows, or those that differ in other columns alone, any one. docs is read twice.
+    """
+    rows = _rooted(docs.select("doc_id", "text"))
+    own = rows.where("root is not null")
+    first = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("one"))
+    times = own.groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
+    one = first.select(F.col("one.doc_id").alias("_doc"), F.col("one.text_key").alias("_text"))
+    same = times["doc_id"].eqNullSafe(one["_doc"]) & (times["text_key"] == one["_text"])
+    one = times.join(one, same).select("_doc", "_text", "times")
+    bare = rows.where("root is null").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), F.lit(1).cast("long").alias("times")).distinct()
+    kept = materialize(one.union(bare), "kept")
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")))
+
+    def held(which: DataFrame) -> DataFrame:
+        same = keyed["_key.doc"].eqNullSafe(which["_doc"]) & (keyed["_key.text"] == which["_text"])
+        return keyed.join(which.hint("shuffle_hash"), same, "left_semi")
+
+    more = kept.where("times > 1")
+    out = held(kept.where("times = 1")).drop("_key")
+    return out.unionByName(held(more).dropDuplicates(["_key"]).drop("_key")) if more.limit(1).count() else out
