@@ -15,6 +15,7 @@ unfilled, so padding stays below 1 / (per_bucket * mean piece / window).
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -33,30 +34,58 @@ PER_BUCKET = 1500
 END_ID = 1
 
 
+#: How a ByteLevel pre-tokenizer with use_regex splits: fixed by the file's format.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What a file must hold besides its vocabulary for tiktoken to give its ids.
+_PLAIN = {"normalizer": None, "post_processor": None, "truncation": None, "padding": None}
+
+
+@functools.lru_cache(2)
+def _tokenizer(vocabulary: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary)
+
+
 @functools.lru_cache(2)
 def _encoder(vocabulary: str):
-    """The vocabulary of a byte-level BPE tokenizers file, run by tiktoken.
+    """The vocabulary of a plain byte-level BPE tokenizers file, run by tiktoken; None for any other file.
 
     Both libraries split and merge alike here and give the same ids (the tests
     hold one against the other); tiktoken takes a quarter of the CPU time. The
     file's added tokens are recognised in texts, as tokenizers does.
     """
-    import json
-
     import tiktoken
 
-    spec = json.loads(open(vocabulary, encoding="utf-8").read())
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec["pre_tokenizer"] or {}
+    level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    odd = any(spec.get(k) != v for k, v in _PLAIN.items()) or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+    if not level or odd or spec["model"]["type"] != "BPE":
+        return None
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in visible]
     to_byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_ids(text: str, vocabulary: str) -> list[int]:
-    return _encoder(vocabulary).encode(text, allowed_special="all")
+    """The ids that tokenizers gives for the text.
+
+    tiktoken's pattern backtracks over each run of white space and gives up on
+    very long ones (about a million characters); such a text is left to
+    tokenizers itself.
+    """
+    encoder = _encoder(vocabulary)
+    if encoder is not None:
+        try:
+            return encoder.encode(text, allowed_special="all")
+        except ValueError:
+            pass
+    return _tokenizer(vocabulary).encode(text, add_special_tokens=False).ids
 
 
 class BestFit:
@@ -143,7 +172,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, per_bucket: int
 
     In: doc_id, text (further columns are not read). A null or empty text is
     one piece holding the end id; a null doc_id keeps its pieces; repeated
-    rows are packed each. An empty table gives no row. Out: see PACKED;
+    rows are packed each; a text of any length is cut, long runs of one
+    character included. An empty table gives no row. Out: see PACKED;
     sequence_id is unique, and pieces lie in a sequence without gaps from
     offset 0.
     """

@@ -75,6 +75,36 @@ def test_packing_ids_as_tokenizers():
         assert packing.token_ids(x, JSON) == t.encode(x, add_special_tokens=False).ids
 
 
+LONG = [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "^" * 1_000_000, "x y" + " \n" * 600_000 + "<|endoftext|>" + "\u3000" * 1_000_000 + "end", "<|endoftext|>" * 1000]
+
+
+def test_packing_very_long_texts(spark):
+    """Runs that tiktoken's pattern can't take, through the operator: ids as tokenizers gives them."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    got = packing.pack(spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string").repartition(len(LONG)), JSON).toPandas()
+    want = set()
+    for i, text in enumerate(LONG):
+        ids = np.array(t.encode(text, add_special_tokens=False).ids + [1], "<u4")
+        want |= {(i, s, min(2048, len(ids) - s), zlib.crc32(ids[s : s + 2048].tobytes()), len(ids)) for s in range(0, len(ids), 2048)}
+    cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert set(got[cols].itertuples(index=False, name=None)) == want and len(got) == len(want)
+
+
+def test_packing_reads_what_the_file_says(tmp_path):
+    """A file that splits otherwise is left to tokenizers; the pattern is public_tokenizers' own."""
+    import json
+
+    assert packing.BYTE_LEVEL == P.PATTERN and packing._encoder(JSON) is not None
+    spec = json.load(open(JSON, encoding="utf-8"))
+    spec["normalizer"] = {"type": "Lowercase"}
+    other = tmp_path / "lower.json"
+    other.write_text(json.dumps(spec))
+    assert packing._encoder(str(other)) is None
+    assert packing.token_ids("Ab CD", str(other)) == packing.token_ids("ab cd", JSON)
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 101, 400)
