@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +23,7 @@ from .common import arrays, materialize, pieces
 #: Elements whose text is not read.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea title xmp noembed noframes".split())
 #: Elements that are not the article, with all they hold.
-DROPPED = frozenset("head nav footer aside form menu button select datalist dialog".split())
+DROPPED = frozenset("head nav footer aside menu button select datalist dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html body main article section div td center".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
@@ -47,15 +48,46 @@ _SPLIT = re.compile(r"[\s_:]+|-+|(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 
 
+#: What stands between the steps of a path; no tag or class holds it.
+JOINT = " "
+
+
 @dataclass
 class Page:
-    """Containers (path and parent) and blocks (container, text, characters in links) in page order."""
+    """Containers (last step of the path, hash of the whole path, parent) and blocks (container, text, characters in links) in page order.
+
+    A path is only written out for the container that a page votes for: all of
+    them would take the square of the depth.
+    """
 
-    paths: list[str] = field(default_factory=lambda: [""])
+    steps: list[str] = field(default_factory=lambda: [""])
+    keys: list[int] = field(default_factory=lambda: [0])
     parents: list[int] = field(default_factory=lambda: [0])
     hinted: list[bool] = field(default_factory=lambda: [False])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
+    def add(self, parent: int, step: str, hinted: bool) -> int:
+        self.steps.append(step)
+        self.keys.append(hash((self.keys[parent], step)))
+        self.parents.append(parent)
+        self.hinted.append(hinted)
+        return len(self.steps) - 1
+
+    def path(self, at: int) -> str:
+        steps = []
+        while at:
+            steps.append(self.steps[at])
+            at = self.parents[at]
+        return JOINT.join(reversed(steps))
+
+
+def path_key(path: str) -> int:
+    """The hash that a container of that path has in a Page (of the same process: strings' hashes differ between them)."""
+    key = 0
+    for step in path.split(JOINT) if path else ():
+        key = hash((key, step))
+    return key
+
 
 def _attributes(attrs: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs.strip(" /") else {}
@@ -82,14 +114,22 @@ def _marks(a: dict[str, str]) -> tuple[bool, bool]:
 
 def _step(tag: str, a: dict[str, str]) -> str:
     """A step of a path: the tag and its classes, numbers generalised."""
-    names = sorted({_DIGITS.sub("#", c.lower()) for c in a.get("class", "").split()})[:3]
+    names = sorted({_DIGITS.sub("#", c.lower()) for c in a.get("class", "").split()})
     return ".".join([tag, *names])
 
 
 def parse(text: str) -> Page:
+    """Containers and blocks of a page, without what is never the article.
+
+    A form's text goes with it, unless it is half of the page's or more: some
+    sites wrap whole pages in a form.
+    """
     page = Page()
-    #: tag, its container, whether its text is dropped, whether it is in a link
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    #: tag, its container, whether its text is dropped, whether it is in a link, the form it is in
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+    opened: Counter[str] = Counter()
+    #: Characters in each form (0: in none), those in forms within it not among them; the form of each block.
+    forms, form_of = [0], []
     buffer: list[str] = []
     links = 0
 
@@ -99,16 +139,25 @@ def parse(text: str) -> Page:
             block = " ".join("".join(buffer).split())
             if block:
                 page.blocks.append((stack[-1][1], block, min(links, len(block))))
+                form_of.append(stack[-1][4])
+                forms[stack[-1][4]] += len(block)
             buffer.clear()
         links = 0
 
+    def cut(k: int) -> None:
+        for s in stack[k:]:
+            opened[s[0]] -= 1
+        del stack[k:]
+
     def close(tag: str) -> None:
         """Pop up to the last open one of that tag; an inline end tag doesn't reach across a container."""
+        if not opened[tag]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] == tag:
                 if tag in BLOCKS or tag in CELLS:
                     flush()
-                del stack[k:]
+                cut(k)
                 return
             if stack[k][0] in BOUNDARY and tag not in BOUNDARY:
                 return
@@ -149,23 +198,23 @@ def parse(text: str) -> Page:
             continue
         if tag in BLOCKS:
             flush()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened["p"] else ():
                 if stack[k][0] == "p":
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] in BOUNDARY:
                     break
         elif tag in CELLS:
             buffer.append(" ")
-        if tag in ENDS:
+        if tag in ENDS and any(opened[t] for t in ENDS[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in ENDS[tag]:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] in BOUNDARY and not (tag in CELLS and stack[k][0] in CELLS):
                     break
-        _, container, dropped, in_link = stack[-1]
-        if tag in ("body", "html") and any(s[0] == tag for s in stack):
+        _, container, dropped, in_link, form = stack[-1]
+        if tag in ("body", "html") and opened[tag]:
             continue
         a = _attributes(attrs)
         marked, hinted = _marks(a) if a else (False, False)
@@ -174,19 +223,24 @@ def parse(text: str) -> Page:
         elif not dropped:
             dropped = (
                 tag in DROPPED
-                or (tag == "header" and not any(s[0] in ("article", "main") for s in stack))
+                or (tag == "label" and form > 0)
+                or (tag == "header" and not opened["article"] and not opened["main"])
                 or (tag not in ("html", "main") and marked)
                 or "hidden" in a
                 or a.get("aria-hidden", "").lower() == "true"
                 or "display:none" in a.get("style", "").replace(" ", "").lower()
             )
         if tag in CONTAINERS and not dropped:
-            page.paths.append(f"{page.paths[container]}/{_step(tag, a)}")
-            page.parents.append(container)
-            page.hinted.append(tag in ("article", "main") or hinted)
-            container = len(page.paths) - 1
-        stack.append((tag, container, dropped, in_link or tag == "a"))
+            container = page.add(container, _step(tag, a), tag in ("article", "main") or hinted)
+        if tag == "form":
+            forms.append(0)
+            form = len(forms) - 1
+        stack.append((tag, container, dropped, in_link or tag == "a", form))
+        opened[tag] += 1
     flush()
+    if len(forms) > 1:
+        half = sum(forms) / 2
+        page.blocks = [b for b, f in zip(page.blocks, form_of, strict=True) if not f or forms[f] >= half]
     return page
 
 
@@ -195,7 +249,7 @@ def best(page: Page) -> tuple[int, float]:
 
     An article or main is taken whole: its title and lead may stand outside the child that holds most of its text.
     """
-    own = [0.0] * len(page.paths)
+    own = [0.0] * len(page.steps)
     for container, block, links in page.blocks:
         own[container] += max(0, len(block) - 2 * links)
     total = own[:]
@@ -205,7 +259,7 @@ def best(page: Page) -> tuple[int, float]:
     for i in range(1, len(total)):
         children.setdefault(page.parents[i], []).append(i)
     at = 0
-    while at in children and page.paths[at].rpartition("/")[2].split(".")[0] not in ("article", "main"):
+    while at in children and page.steps[at].split(".")[0] not in ("article", "main"):
         score, child = max((total[c] * (1.3 if page.hinted[c] else 1.0), -c) for c in children[at])
         child = -child
         if total[child] <= 0 or total[child] < (0.5 if page.hinted[child] else 0.85) * total[at]:
@@ -216,7 +270,7 @@ def best(page: Page) -> tuple[int, float]:
 
 def text_in(page: Page, roots: set[int]) -> str:
     """The blocks under any of the containers, in page order."""
-    inside = [i in roots for i in range(len(page.paths))]
+    inside = [i in roots for i in range(len(page.steps))]
     for i in range(1, len(inside)):
         inside[i] = inside[i] or inside[page.parents[i]]
     return "\n\n".join(block for container, block, _ in page.blocks if inside[container])
@@ -227,14 +281,15 @@ def extract_page(text: str, winners: list[str]) -> str:
     page = parse(text)
     own = text_in(page, {best(page)[0]})
     for path in winners:
-        roots = {i for i, p in enumerate(page.paths) if p == path}
+        key = path_key(path)
+        roots = {i for i, k in enumerate(page.keys) if k == key}
         if roots and len(found := text_in(page, roots)) >= LEAST * len(own):
             return found
     return own
 
 
 #: Text under a winning path that a page needs, against its own choice; less is taken for another template.
-LEAST = 0.25
+LEAST = 0.75
 #: A path wins with at least this share of its host's votes.
 SHARE = 0.2
 
@@ -254,7 +309,7 @@ def votes(pages: DataFrame) -> DataFrame:
                 page = parse(text or "")
                 at, score = best(page)
                 if score > 0:
-                    c = count.setdefault((host, page.paths[at]), [0, 0])
+                    c = count.setdefault((host, page.path(at)), [0, 0])
                     c[0] += 1
                     c[1] += int(score)
             if count:

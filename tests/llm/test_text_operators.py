@@ -1,6 +1,7 @@
 """BPE, packing, licenses, quality, HTML and PII, against brute force or an exact round trip."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -248,11 +249,49 @@ def test_html_names_that_say_something_of_the_page():
 
 def test_html_winning_path_and_own_choice():
     page = "<div class='a'><p>{}</p></div><div class='b'><p>{}</p></div>"
+    mostly = page.format("one " * 20, "two " * 80)
+    assert htmltext.extract_page(mostly, ["div.b"]) == htmltext.extract_page(mostly, []).split("\n\n")[1]
+    assert htmltext.extract_page(mostly, ["div.c"]) == htmltext.extract_page(mostly, [])
     both = page.format("one " * 20, "two " * 20)
-    assert htmltext.extract_page(both, ["/div.b"]) == htmltext.extract_page(both, []).split("\n\n")[1]
-    assert htmltext.extract_page(both, ["/div.c"]) == htmltext.extract_page(both, [])
-    little = page.format("one " * 200, "two")
-    assert htmltext.extract_page(little, ["/div.b"]) != "two"
+    assert htmltext.extract_page(both, ["div.b"]) == htmltext.extract_page(both, [])
+
+
+def test_html_page_in_a_form():
+    text = "Words of the article. " * 30
+    page = "<body><form id='aspnetForm'><label>Find</label><input name=q><button>Go</button><div class='wrap'><form class='q'>inner</form><h1>Head</h1><p>{}</p></div></form><form>Sign here</form></body>"
+    assert htmltext.extract_page(page.format(text), []) == f"Head\n\n{text.strip()}"
+    assert htmltext.extract_page(f"<article><p>{text}</p><form><p>Your name and mail</p></form></article>", []) == text.strip()
+
+
+def test_html_deep_page_takes_memory_in_proportion():
+    import tracemalloc
+
+    tracemalloc.start()
+    page = "<div class='x y'>" * 100_000 + "<p>deep text" + "</i></section>" * 1000
+    assert htmltext.extract_page(page, ["div.x.y"]) == "deep text"
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_html_votes_and_winners_by_count(spark):
+    """Hosts with several templates: votes and winners as a plain count gives them, every page by the winner that suits it."""
+    rng = random.Random(5)
+    rows, votes = [], {}
+    for i in range(400):
+        host, kind = f"h{rng.randint(0, 4)}.org", rng.choice("aaaabbbcd")
+        text = " ".join(rng.choice(["lorem", "ipsum", "dolor"]) for _ in range(rng.randint(30, 90)))
+        path = f"html body div.w div.{kind}#"
+        rows.append((i, f"https://{host.upper()}/{i}", f"<html><body><div class=w><div class='{kind}{i}'><p>{text}</p></div><p>tail</p></div></body></html>", text))
+        n, chars = votes.get((host, path), (0, 0))
+        votes[host, path] = (n + 1, chars + len(text))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(4)
+    assert {(r.host, r.path): (r.votes, r.chars) for r in htmltext.votes(df).collect()} == votes
+    want = {}
+    for host, path in sorted(votes, key=lambda k: (-votes[k][0], -votes[k][1], k[1])):
+        if votes[host, path][0] >= htmltext.SHARE * sum(n for (h, _), (n, _) in votes.items() if h == host):
+            want.setdefault(host, []).append(path)
+    assert {r.host: r.winners for r in htmltext.consensus(df).collect()} == want and any(len(w) > 1 for w in want.values())
+    assert {r.page_id: r.text for r in htmltext.extract(df).collect()} == {r[0]: r[3] for r in rows}
 
 
 @pytest.mark.parametrize("tag", ["article", "main"])
@@ -263,7 +302,7 @@ def test_html_takes_an_article_whole(tag):
     want = f"Title\n\nThe lead\n\n{text.strip()}\n\nMore"
     assert htmltext.extract_page(page, []) == want
     read = htmltext.parse(page)
-    assert htmltext.extract_page(page, [read.paths[htmltext.best(read)[0]]]) == want
+    assert htmltext.extract_page(page, [read.path(htmltext.best(read)[0])]) == want
 
 
 def _pii_base(text):
