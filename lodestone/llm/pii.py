@@ -135,11 +135,23 @@ _TOP = "(?:com|org|net|edu|gov|mil|info|biz|io|co|dev|app|ai|de|fr|es|uk|eu|ca|c
 #: name at host dot tld, all in words: "at" counts only with a written-out dot and a known domain behind it.
 _WORDY = r"(?<=[A-Za-z0-9_])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,63}){0,4}\s{1,3}dot\s{1,3}" + _TOP + r"(?![A-Za-z]))"
 _WORDY_DOT = r"(?<=[A-Za-z0-9_])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])"
+#: "at" before a host written with dots: prose has it too (look at example.com), so what stands before it decides (`_is_name`).
+_HOST = r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}\." + _TOP + r"(?![A-Za-z0-9-])"
+_PERHAPS = rf"(?<=[A-Za-z0-9_])\s{{1,3}}at\s{{1,3}}(?={_HOST})"
+_PERHAPS_RE = re.compile(rf"\bat\s{{1,3}}{_HOST}", re.IGNORECASE)
+_HOST_RE = re.compile(_HOST, re.IGNORECASE)
+#: What may be the name before "at": its last word, and the words before it on the line.
+_NAME_RE = re.compile(r"(?P<before>[^\n]*?)(?P<name>[A-Za-z0-9._%+-]+(?:\s{1,3}dot\s{1,3}[A-Za-z0-9._%+-]+)*)\Z", re.IGNORECASE)
+#: Words that announce an address, and words that stand before "at" in prose.
+_CUES = frozenset("mail email e-mail mails contact contacts write reach address addr mailto send courriel correo".split())
+_PROSE = frozenset("""a an and are arrive available based be been blog book buy came code come contact docs download email found free get go good had hand has help here him her hosted i information is it join
+join launched learn live located look looked looking mail me meet more now off on online only open or order out page pages published read register report see shop sign site start stay store
+support team that the them there these they this time today up us video visit was watch we website were with work working write you""".split())
 _GLYPH_RE = re.compile("[" + "".join(map(re.escape, GLYPHS)) + "]")
 #: A class of few ranges that holds all of them: quick to search, for most texts have none.
 _RARE = re.compile("[\xa0\xad\u0131\u0250-\U0010ffff]")
 _BRACKET = re.compile(rf"{_OPEN}\s{{0,3}}(?:at|@|arroba|ät|chez|dot|\.|punkt|point|punto|dt)\s{{0,3}}{_CLOSE}", re.IGNORECASE)
-_SIGN = re.compile(rf"(?P<at>{_AT}|{_WORDY})|(?P<dot>{_DOT}|{_WORDY_DOT})", re.IGNORECASE)
+_SIGN = re.compile(rf"(?P<at>{_AT}|{_WORDY})|(?P<perhaps>{_PERHAPS})|(?P<dot>{_DOT}|{_WORDY_DOT})", re.IGNORECASE)
 _RUN_RE = re.compile(_RUN, re.IGNORECASE)
 _NUMBER_RE = re.compile(_NUMBER, re.IGNORECASE)
 _ITEM = rf"(?:{_NUMBER}(?![A-Za-z])|[0-9]++)"
@@ -210,6 +222,30 @@ class Rewritten:
         return any(self.changed[self._at(start) : self._at(end - 1) + 1])
 
 
+def _is_name(m: re.Match) -> bool:
+    """Whether what stands before an "at" in words is a user's name: by its form, a word that announces it, or as it stands alone."""
+    name = _NAME_RE.search(m.string, max(0, m.start() - 80), m.start())
+    if not name:
+        return False
+    word = name["name"].strip(".-")
+    if re.search("[A-Za-z]", word) and re.search(r"[0-9._%+-]|\sdot\s", word, re.IGNORECASE):
+        return True
+    if word.lower() in _PROSE or not re.search("[A-Za-z]", word):
+        return False
+    before = re.findall(r"[^\s:;,()<>\[\]\"']+", name["before"].lower())[-3:]
+    if any(w in _CUES for w in before):
+        return True
+    end = _HOST_RE.match(m.string, m.end()).end()
+    after = m.string[end : end + 2].lstrip(".")[:1]
+    return name["before"].strip(" \t(<[\"':") == "" and (after in ")>]\"'\n")
+
+
+def _sign(m: re.Match) -> str | None:
+    if m["perhaps"]:
+        return "@" if _is_name(m) else None
+    return "@" if m["at"] else "."
+
+
 def _spelled(m: re.Match) -> str:
     word = m[0].lower()
     return ("+" if word.startswith("plus") else "") + "".join(NUMBERS[w.lower()] for w in _NUMBER_RE.findall(m[0]))
@@ -227,6 +263,8 @@ def _edits(run: re.Match, dots: bool) -> list[tuple[int, int, str]]:
         gap = run.string[before:start]
         if word and number and gap and not (dots and gap == "."):
             out.append((before, start, ""))
+        elif (word or number) and "," in gap:
+            out.append((before, start, " "))
         if number:
             out.append((start, end, number))
         before, word = end, bool(number)
@@ -259,8 +297,8 @@ def disguised(text: str) -> list[Span]:
     if not text.isascii() and _RARE.search(text) and _GLYPH_RE.search(text):
         r = r.then(_GLYPH_RE, lambda m: GLYPHS[m[0]])
     letters = b" " + r.text.encode().translate(_LETTERS) + b" "
-    if b" dot " in letters or _BRACKET.search(r.text):
-        r = r.then(_SIGN, lambda m: "@" if m["at"] else ".")
+    if b" dot " in letters or _BRACKET.search(r.text) or (b" at " in letters and _PERHAPS_RE.search(r.text)):
+        r = r.then(_SIGN, _sign)
     if any(w in letters for w in _NUMBER_WORDS):
         if edits := _numbers(r.text):
             r = r.edit(edits)

@@ -361,6 +361,15 @@ def test_pii_disguises_map_back(text, kind, span):
         ("at one nine two.one six eight.zero.one ok", "ip", "one nine two.one six eight.zero.one"),
         ("host 10 dot zero dot 0 dot one up", "ip", "10 dot zero dot 0 dot one"),
         ("call +1 555 one two three 4567 now", "phone", "+1 555 one two three 4567"),
+        ("user at mail.example.org", "email", "user at mail.example.org"),
+        ("or write to bob at example.com today", "email", "bob at example.com"),
+        ("jane dot doe at example.com", "email", "jane dot doe at example.com"),
+        ("ask j_doe77 at example.net please", "email", "j_doe77 at example.net"),
+        ("look at example.com", "email", None),
+        ("In 2020 at example.com the team met at noon", "email", None),
+        ("find more at www.example.org. Or mail us at example.org", "email", None),
+        ("he works at example.com", "email", None),
+        ("pay 4111, one one one one, 1111 1111 now", "card", "4111, one one one one, 1111 1111"),
         ("rooms one. 2, three and 4; two or 3.", "ip", None),
         ("card 4111 one one one one 1111 1111 no", "card", "4111 one one one one 1111 1111"),
     ],
