@@ -112,9 +112,77 @@ name|3|0.8|NAME
 #: label | keyword | priority | weight | regex: texts of licenses and notices that name none
 TEXTS = r"""
 mit|permission is hereby granted|4|0.95|permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit|above copyright notice|4|0.9|the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software
+mit|provided as is|3|0.8|the software is provided as is without warranty of any kind
+mit|authors or copyright|3|0.8|in no event shall the authors or copyright holders be liable for any claim damages or other liability
 isc|permission to use copy|4|0.9|permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+isc|disclaims all|4|0.85|the software is provided as is and (?:the author|\w+) disclaims all warranties with regard to this software
+0bsd|permission to use copy|4|0.85|permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software
 bsd|redistribution and use|4|0.9|redistribution and use in source and binary forms with or without modification are permitted
+bsd|redistributions of source|4|0.85|redistributions of source code must retain the (?:above )?copyright notice this list of conditions and the following disclaimer
+bsd|redistributions in binary|4|0.85|redistributions in binary form must reproduce the (?:above )?copyright notice this list of conditions and the following disclaimer
+bsd-3-clause|endorse or promote|4|0.9|neither the names? of (?:\S+ ){1,15}may be used to endorse or promote products derived from this software without specific prior written permission
+bsd-4-clause|advertising materials|4|0.9|all advertising materials mentioning features or use of this software must display the following acknowledg?ement
+bsd|this software is provided by|4|0.8|this software is provided by (?:\S+ ){1,6}as is and any express or implied warranties
+apache-2.0|may not use this file|4|0.9|you may not use this file except in compliance with the licen[cs]e
+apache-2.0|unless required by applicable|4|0.9|unless required by applicable law or agreed to in writing (?:software|licensor) (?:\S+ ){1,10}on an as is basis
+apache-2.0|terms and conditions for use|4|0.85|terms and conditions for use reproduction and distribution
+apache-2.0|grant of patent|3|0.8|grant of patent licen[cs]e subject to the terms and conditions of this licen[cs]e each contributor hereby grants to you
+apache-2.0|contributor license agreement|1|0.4|apache (?:\S+ ){0,3}contributor license agreement
 gpl|free software foundation|3|0.8|under the terms of the gnu general public licen[cs]e as published by the free software foundation
+gpl-1.0-or-later|any later version|4|0.9|(?:either )?version 1 (?:of the licen[cs]e )?or at your option any later version
+gpl-2.0-or-later|any later version|4|0.9|(?:either )?version 2 (?:of the licen[cs]e )?or at your option any later version
+gpl-3.0-or-later|any later version|4|0.9|(?:either )?version 3 (?:of the licen[cs]e )?or at your option any later version
+lgpl-2.1-or-later|any later version|4|0.9|(?:either )?version 2 1 (?:of the licen[cs]e )?or at your option any later version
+gpl-2.0-or-later|gpl|6|0.9|(?:gnu )?gpl ?(?:version |v ?)?2(?: 0)? or (?:any )?later(?: version)?
+gpl-3.0-or-later|gpl|6|0.9|(?:gnu )?gpl ?(?:version |v ?)?3(?: 0)? or (?:any )?later(?: version)?
+lgpl-2.1-or-later|gpl|6|0.9|(?:gnu )?lgpl ?(?:version |v ?)?2 1 or (?:any )?later(?: version)?
+lgpl-3.0-or-later|gpl|6|0.9|(?:gnu )?lgpl ?(?:version |v ?)?3(?: 0)? or (?:any )?later(?: version)?
+agpl-3.0-or-later|gpl|6|0.9|(?:gnu )?agpl ?(?:version |v ?)?3(?: 0)? or (?:any )?later(?: version)?
+gpl|in the hope that|4|0.8|this program is distributed in the hope that it will be useful but without any warranty
+lgpl|in the hope that|4|0.8|this library is distributed in the hope that it will be useful but without any warranty
+gpl|you should have received|4|0.8|you should have received a copy of the gnu general public licen[cs]e
+lgpl|you should have received|4|0.8|you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e
+agpl|you should have received|4|0.8|you should have received a copy of the gnu affero general public licen[cs]e
+gpl-2.0|copying distribution and modification|4|0.85|terms and conditions for copying distribution and modification
+gpl-3.0|copyleft|4|0.85|the gnu general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works
+agpl-3.0|copyleft|4|0.85|the gnu affero general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works
+agpl-3.0|interacting with it remotely|3|0.8|all users interacting with it remotely through a computer network
+gpl|everyone is permitted to copy|3|0.7|everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed
+gfdl|permission is granted to copy|4|0.9|permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e
+mpl-1.1|contents of this file|4|0.9|the contents of this file are subject to the mozilla public licen[cs]e version 1 1
+mpl-2.0|source code form|4|0.9|this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0
+mpl-2.0|incompatible with secondary|3|0.8|this source code form is incompatible with secondary licen[cs]es as defined by the mozilla public licen[cs]e
+epl-2.0|accompanying materials|4|0.9|this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e (?:v ?)?2 0
+epl-1.0|accompanying materials|4|0.9|this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v1 0
+cddl-1.0|common development|4|0.9|the contents of this file are subject to the terms of the common development and distribution licen[cs]e
+zlib|altered source versions|4|0.9|altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+zlib|express or implied warranty|4|0.85|this software is provided as is without any express or implied warranty in no event will the authors be held liable
+bsl-1.0|person or organization obtaining|4|0.9|permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+unlicense|free and unencumbered|4|0.9|this is free and unencumbered software released into the public domain
+wtfpl|do what the fuck|4|0.9|you just do what the fuck you want to(?: public licen[cs]e)?
+wtfpl|do what the fuck|4|0.9|do what the fuck you want to public licen[cs]e
+cc0-1.0|affirmer|4|0.9|affirmer hereby overtly fully permanently irrevocably and unconditionally waives
+cc0-1.0|dedicated the work|4|0.9|has dedicated the work to the public domain by waiving all of his or her rights to the work
+cc0-1.0|waived all copyright|4|0.9|waived all copyright and related (?:or|and) neighbou?ring rights
+cc-by-4.0|attribution 4 0 international|4|0.9|creative commons attribution 4 0 international (?:public )?licen[cs]e
+cc-by-sa-4.0|sharealike 4 0|4|0.9|creative commons attribution sharealike 4 0 international (?:public )?licen[cs]e
+cc-by-sa|build upon|3|0.7|if you (?:alter transform or build upon this work|remix transform or build upon the material) you (?:may|must) distribute
+cc-by-nc|commercial advantage|3|0.7|primarily intended for or directed toward(?:s)? commercial advantage or (?:private )?monetary compensation
+cc|appropriate credit|2|0.5|you must give appropriate credit provide a link to the licen[cs]e and indicate if changes were made
+cc|to view a copy|2|0.5|to view a copy of this licen[cs]e visit (?:http|https) creativecommons org licen[cs]es(?: \S+){1,3}
+ofl-1.1|reserved font name|4|0.9|(?:with|no modified version of the font software may use the) reserved font names?
+ofl-1.1|font software|4|0.9|this font software is licen[cs]ed under the sil open font licen[cs]e
+artistic-2.0|given free software package|3|0.8|this licen[cs]e establishes the terms under which a given free software package may be copied modified distributed and or redistributed
+psf-2.0|python software foundation|4|0.9|this licen[cs]e agreement is between the python software foundation psf and the individual or organization
+openssl|openssl|4|0.9|this product includes software developed by the openssl project for use in the openssl toolkit
+ncsa|with the software without restriction|4|0.85|to deal with the software without restriction
+x11|x consortium|4|0.85|except as contained in this notice the name of the x consortium shall not be used in advertising
+busl-1.1|change date|4|0.85|effective on the change date or the fourth anniversary of the first publicly available distribution
+elastic-2.0|hosted or managed service|4|0.85|you may not provide the software to third parties as a hosted or managed service
+commons-clause|commons clause|4|0.85|(?:the )?commons clause(?: licen[cs]e)? condition
+beerware|beer|4|0.85|if we meet some day and you think this stuff is worth it you can buy me a beer
+json|good not evil|4|0.85|the software shall be used for good not evil
 gpl|gnu gpl|2|0.6|gnu gpl
 lgpl|lgpl|2|0.6|(?:gnu )?lgpl
 agpl|agpl|2|0.6|(?:gnu )?agpl

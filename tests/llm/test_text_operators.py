@@ -172,6 +172,108 @@ def test_license_suppression():
     assert [(d.start, d.end, d.rule.priority) for d in kept] == [(0, 10, 3), (2, 12, 2), (20, 30, 1)]
 
 
+#: Label and a passage of a license's own text, or of the notices that go with it.
+PASSAGES = """
+mit|Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+mit|The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+mit|THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED
+mit|IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY
+isc|Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+isc|THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+0bsd|Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE
+bsd|Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+bsd|Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+bsd|Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+bsd-3-clause|Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+bsd-4-clause|All advertising materials mentioning features or use of this software must display the following acknowledgement:
+bsd|THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES
+apache-2.0|you may not use this file except in compliance with the License.
+apache-2.0|Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+apache-2.0|TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+apache-2.0|Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby grants to You
+apache-2.0|the Apache Individual Contributor License Agreement
+gpl|under the terms of the GNU General Public License as published by the Free Software Foundation;
+gpl-1.0-or-later|either version 1, or (at your option) any later version.
+gpl-2.0-or-later|either version 2 of the License, or (at your option) any later version.
+gpl-3.0-or-later|either version 3 of the License, or (at your option) any later version.
+lgpl-2.1-or-later|either version 2.1 of the License, or (at your option) any later version.
+gpl-2.0-or-later|SPDX: GPL-2.0-or-later
+gpl-3.0-or-later|GPLv3 or later
+lgpl-2.1-or-later|LGPL-2.1-or-later
+lgpl-3.0-or-later|GNU LGPL 3 or any later version
+agpl-3.0-or-later|AGPL-3.0-or-later
+gpl|This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+lgpl|This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+gpl|You should have received a copy of the GNU General Public License along with this program.
+lgpl|You should have received a copy of the GNU Lesser General Public License along with
+agpl|You should have received a copy of the GNU Affero General Public License along with
+gpl-2.0|TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+gpl-3.0|The GNU General Public License is a free, copyleft license for software and other kinds of works.
+agpl-3.0|The GNU Affero General Public License is a free, copyleft license for software and other kinds of works,
+agpl-3.0|prominently offer all users interacting with it remotely through a computer network
+gpl|Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
+gfdl|Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License
+mpl-1.1|The contents of this file are subject to the Mozilla Public License Version 1.1
+mpl-2.0|This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
+mpl-2.0|This Source Code Form is "Incompatible With Secondary Licenses", as defined by the Mozilla Public License
+epl-2.0|This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+epl-1.0|This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0
+cddl-1.0|The contents of this file are subject to the terms of the Common Development and Distribution License
+zlib|Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+zlib|This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+bsl-1.0|Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation
+unlicense|This is free and unencumbered software released into the public domain.
+wtfpl|0. You just DO WHAT THE FUCK YOU WANT TO.
+wtfpl|DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+cc0-1.0|Affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives
+cc0-1.0|The person has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide
+cc0-1.0|To the extent possible, the author has waived all copyright and related or neighboring rights to this work.
+cc-by-4.0|Creative Commons Attribution 4.0 International Public License
+cc-by-sa-4.0|Creative Commons Attribution-ShareAlike 4.0 International License
+cc-by-sa|If you remix, transform, or build upon the material, you must distribute your contributions under the same license
+cc-by-nc|primarily intended for or directed towards commercial advantage or monetary compensation.
+cc|You must give appropriate credit, provide a link to the license, and indicate if changes were made.
+cc|To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/ or send
+ofl-1.1|Copyright (c) the authors, with Reserved Font Name Lode.
+ofl-1.1|This Font Software is licensed under the SIL Open Font License, Version 1.1.
+artistic-2.0|This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed.
+psf-2.0|This LICENSE AGREEMENT is between the Python Software Foundation ("PSF"), and the Individual or Organization
+openssl|This product includes software developed by the OpenSSL Project for use in the OpenSSL Toolkit
+ncsa|to deal with the Software without restriction, including without limitation
+x11|Except as contained in this notice, the name of the X Consortium shall not be used in advertising
+busl-1.1|Effective on the Change Date, or the fourth anniversary of the first publicly available distribution
+elastic-2.0|You may not provide the software to third parties as a hosted or managed service
+commons-clause|"Commons Clause" License Condition v1.0
+beerware|If we meet some day, and you think this stuff is worth it, you can buy me a beer in return.
+json|The Software shall be used for Good, not Evil.
+gpl|GNU GPL
+lgpl|the LGPL
+agpl|AGPL code
+gpl|a General Public License
+apache|the Apache License
+cc|a Creative Commons license
+public-domain|placed into the public domain
+proprietary|All rights reserved.
+proprietary|Proprietary and confidential
+other|licensed under the Lode License
+copyright|Copyright (c) 2024
+"""
+
+
+def test_license_passages():
+    """Each rule is met by a passage, and each passage gets its label."""
+    lines = [line.split("|", 1) for line in PASSAGES.strip().splitlines()]
+    unmet = {r for r in licenses.rules() if r.regex.pattern.removeprefix("(?<= )(?:").removesuffix(")(?= )") in licenses.TEXTS}
+    assert len(unmet) > 75
+    for label, text in lines:
+        normal = licenses.normalise(text)[0].decode()
+        assert label in {d.rule.label for d in licenses.detect(normal)}, (label, text)
+        unmet -= {r for r in unmet if r.keyword in normal and r.regex.search(normal)}
+    assert not unmet
+    for prose in ("She was granted permission to use the pool, provided that she paid.", "The public dominated the main works of a license holder in the hope of rain.", "You may not use this door."):
+        assert licenses.detect(licenses.normalise(prose)[0].decode()) == []
+
+
 def _quality_base(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
