@@ -16,7 +16,8 @@ from .common import materialize
 
 #: Sites that make a line boilerplate.
 MIN_SITES = 5
-#: Shorter lines (in words) are left alone: any prose shares them.
+#: Sites that make a line boilerplate if it has fewer than MIN_WORDS words: prose shares such lines sooner.
+SHORT_SITES = 50
 MIN_WORDS = 3
 #: log2 of a sketch's registers, and its standard error.
 LOG_K = 10
@@ -32,25 +33,27 @@ def _text() -> Column:
 
 
 def _lines(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id, text_key, pos, line_a, line_b (128 bits of hash) of lines that are long enough, and more."""
+    """doc_id, text_key, pos, line_a, line_b (128 bits of hash) of lines that hold a word, whether they are short, and more."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text()).alias("text_key"), *more, F.posexplode(F.split(_text(), "\n")).alias("pos", "raw"))
-    rows = rows.withColumn("line", F.btrim("raw", F.lit(_SPACE))).where(F.col("line").rlike(rf"^(?:[^{_SPACE}]+[{_SPACE}]+){{{MIN_WORDS - 1}}}[^{_SPACE}]"))
-    return rows.select("doc_id", "text_key", "pos", F.xxhash64("line").alias("line_a"), F.xxhash64(F.lit(1), "line").alias("line_b"), *[c for c in rows.columns if c == "site"])
+    rows = rows.withColumn("line", F.btrim("raw", F.lit(_SPACE))).where("line <> ''")
+    short = ~F.col("line").rlike(rf"^(?:[^{_SPACE}]+[{_SPACE}]+){{{MIN_WORDS - 1}}}[^{_SPACE}]")
+    return rows.select("doc_id", "text_key", "pos", F.xxhash64("line").alias("line_a"), F.xxhash64(F.lit(1), "line").alias("line_b"), short.alias("short"), *[c for c in rows.columns if c == "site"])
 
 
-def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, short_sites: int = SHORT_SITES) -> DataFrame:
     """line_a, line_b, first_doc of the lines on at least that many sites (a null site counts as one site)."""
     lines = _lines(docs, F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"))
     spread = lines.groupBy("line_a", "line_b").agg(
         F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"),
         F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("first_doc"),
+        F.when(F.bool_or("short"), short_sites).otherwise(min_sites).alias("least"),
     )
-    spread = materialize(spread.withColumn("sites", F.hll_sketch_estimate("sketch")).drop("sketch").where(F.col("sites") >= int(min_sites * (1 - NEAR * ERROR))), "lines")
-    near = F.col("sites") <= -int(-min_sites * (1 + NEAR * ERROR) // 1)
+    spread = materialize(spread.withColumn("sites", F.hll_sketch_estimate("sketch")).drop("sketch").where(F.col("sites") >= F.floor(F.col("least") * (1 - NEAR * ERROR))), "lines")
+    near = F.col("sites") <= F.ceil(F.col("least") * (1 + NEAR * ERROR))
     exact = lines.join(spread.where(near).select("line_a", "line_b"), ["line_a", "line_b"], "left_semi")
-    exact = exact.select("line_a", "line_b", "site").distinct().groupBy("line_a", "line_b").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
+    exact = exact.select("line_a", "line_b", "site").distinct().groupBy("line_a", "line_b").agg(F.count("*").alias("n"))
     sure = spread.where(~near).select("line_a", "line_b", "first_doc")
-    counted = spread.where(near).join(exact, ["line_a", "line_b"]).select("line_a", "line_b", "first_doc")
+    counted = spread.where(near).join(exact, ["line_a", "line_b"]).where(F.col("n") >= F.col("least")).select("line_a", "line_b", "first_doc")
     return materialize(sure.unionByName(counted), "boilerplate")
 
 
@@ -91,8 +94,8 @@ _ORACLE_LINES = f"""
 l AS (SELECT doc_id, coalesce(source, '') AS site, generate_subscripts(a, 1) AS pos, unnest(a) AS raw FROM (SELECT doc_id, source, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)),
 t AS (SELECT doc_id, site, pos, raw, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
 w AS (SELECT *, regexp_matches(line, '^(?:[^ \\t\\x0b\\x0c\\r]+[ \\t\\x0b\\x0c\\r]+){{{MIN_WORDS - 1}}}[^ \\t\\x0b\\x0c\\r]') AS long FROM t),
-b AS (SELECT line, min(doc_id) AS first_doc FROM w WHERE long GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
-f AS (SELECT w.*, (long AND b.line IS NOT NULL AND w.doc_id <> b.first_doc) AS gone FROM w LEFT JOIN b USING (line))
+b AS (SELECT line, min(doc_id) AS first_doc FROM w WHERE long GROUP BY line HAVING line <> '' AND count(DISTINCT site) >= CASE WHEN bool_or(long) THEN {MIN_SITES} ELSE {SHORT_SITES} END),
+f AS (SELECT w.*, (b.line IS NOT NULL AND w.doc_id <> b.first_doc) AS gone FROM w LEFT JOIN b USING (line))
 """
 
 ORACLE = f"""WITH {_ORACLE_LINES}
