@@ -5,13 +5,16 @@ and each cell is cut into blocks; every block holds a cover tree. A pair of
 nodes, one of queries with centre q and covering radius r, one of data with
 centre d and radius s, can hold no score above q.d + |q|s + |d|r + rs; it is
 left out if that is below the worst kth score of the node's queries. The same
-bound first prunes pairs of whole blocks: each query block is searched in the
-data block that promises most, and only data blocks that can still reach its
-worst kth score are joined to it.
+bound first prunes cells and then blocks: each query block is searched in the
+block that promises most in the cell that promises most; then only cells that
+can still reach its worst kth score are opened, and of their blocks only those
+that can are joined to it. Blocks of queries are searched in groups, so that a
+data block travels once for each group.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -34,55 +37,63 @@ PIVOTS, ROWS_PER_PIVOT = 256, 4096
 #: Rows in a block, about, and in a leaf of a tree.
 BLOCK, LEAF = 2048, 128
 QUERY_BLOCK, QUERY_LEAF = 512, 64
-#: Data blocks that one task searches for a query block.
-PART = 16
+#: Rows that a node's children hold in the mean, at least.
+THIN = 8
+#: Query blocks that are searched together, and the data blocks that one task searches for them.
+GROUP, PART = 8, 16
 
 
 class CoverTree:
-    """A cover tree over the rows of a block.
-
-    A node's points lie within its radius of its centre (one of its points).
-    Its children are chosen greedily, each the point farthest from those
-    before, until every point lies within half the radius of one: the covering
-    and separation of a cover tree. Rows are reordered so that a node's points
-    are one range.
+    """A cover tree over the rows of a block, without the levels at which a node has one child.
+
+    A node of level l holds points within 2**l of its centre, which is one of
+    them (covering). Its children's centres lie more than 2**(l - 1) from each
+    other (separation), and each point goes to the nearest of them, not
+    farther than that: a child is of level l - 1 or less. They are chosen
+    greedily, each the point farthest from those before. A node of few rows,
+    or one whose children would hold fewer than `THIN` rows in the mean, is a
+    leaf: below, bounds cost more than the scores that they spare. Rows are
+    reordered so that a node's points are one range.
     """
 
     def __init__(self, points: np.ndarray, leaf: int):
         self.order = np.arange(len(points))
-        self.centre: list[np.ndarray] = []
-        self.radius: list[float] = []
-        self.norm: list[float] = []
         self.range: list[tuple[int, int]] = []
+        self.level: list[int | None] = []
         self.children: list[list[int]] = []
         self._points, self._leaf = points, leaf
+        self._centres: list[int] = []
+        self._radii: list[float] = []
         if len(points):
             mean = points.mean(0)
             self._build(0, len(points), int(np.argmin(((points - mean) ** 2).sum(1))))
-        del self._points
+        self.centre = points[self._centres]
+        self.radius = np.array(self._radii)
+        self.norm = np.sqrt((self.centre**2).sum(1))
+        del self._points, self._centres, self._radii
 
     def _build(self, lo: int, hi: int, centre: int) -> int:
         rows = self.order[lo:hi]
         p = self._points[rows]
-        c = self._points[centre]
-        dist = np.sqrt(((p - c) ** 2).sum(1))
-        me = len(self.centre)
-        self.centre.append(c)
-        self.radius.append(float(dist.max()) * (1 + 1e-12))
-        self.norm.append(float(np.sqrt((c**2).sum())))
+        dist = np.sqrt(((p - self._points[centre]) ** 2).sum(1))
+        me, far = len(self._centres), float(dist.max())
+        self._centres.append(centre)
+        self._radii.append(far * (1 + 1e-12))
         self.range.append((lo, hi))
         self.children.append([])
-        if hi - lo <= self._leaf or self.radius[me] == 0:
+        self.level.append(math.ceil(math.log2(far)) if far else None)
+        if hi - lo <= self._leaf or not far:
             return me
+        reach = 2.0 ** (self.level[me] - 1)
         picks, near, who = [centre], dist.copy(), np.zeros(hi - lo, np.int64)
-        while near.max() > self.radius[me] / 2 and len(picks) < 16:
-            far = int(np.argmax(near))
-            d = np.sqrt(((p - p[far]) ** 2).sum(1))
+        while near.max() > reach:
+            if (len(picks) + 1) * THIN > hi - lo:
+                return me
+            pick = int(np.argmax(near))
+            d = np.sqrt(((p - p[pick]) ** 2).sum(1))
             closer = d < near
             near[closer], who[closer] = d[closer], len(picks)
-            picks.append(int(rows[far]))
-        if len(picks) == 1:
-            return me
+            picks.append(int(rows[pick]))
         by = np.argsort(who, kind="stable")
         self.order[lo:hi] = rows[by]
         ends = np.cumsum(np.bincount(who, minlength=len(picks)))
@@ -118,10 +129,12 @@ def search(queries: tuple, data: tuple, best: Best) -> None:
     q_ids, q_vectors, q_tree = queries
     d_ids, d_vectors, d_tree = data
 
-    def bound(a: int, b: int) -> float:
-        return float(q_tree.centre[a] @ d_tree.centre[b]) + q_tree.norm[a] * d_tree.radius[b] + d_tree.norm[b] * q_tree.radius[a] + q_tree.radius[a] * d_tree.radius[b]
+    def bounds(a: list[int], b: list[int]) -> np.ndarray:
+        """No score between the nodes a and the nodes b lies above (one of the two lists holds one node)."""
+        r, s = q_tree.radius[a], d_tree.radius[b]
+        return (q_tree.centre[a] * d_tree.centre[b]).sum(1) + q_tree.norm[a] * s + d_tree.norm[b] * r + r * s
 
-    stack = [(bound(0, 0), 0, 0)]
+    stack = [(float(bounds([0], [0])[0]), 0, 0)]
     while stack:
         most, a, b = stack.pop()
         lo, hi = q_tree.range[a]
@@ -135,9 +148,9 @@ def search(queries: tuple, data: tuple, best: Best) -> None:
             best.offer(np.arange(lo, hi), scores, d_ids[s:e])
             continue
         if not ds or (qs and q_tree.radius[a] > d_tree.radius[b]):
-            pairs = [(bound(c, b), c, b) for c in qs]
+            pairs = [(x, c, b) for x, c in zip(bounds(qs, [b]).tolist(), qs, strict=True)]
         else:
-            pairs = [(bound(a, c), a, c) for c in ds]
+            pairs = [(x, a, c) for x, c in zip(bounds([a], ds).tolist(), ds, strict=True)]
         stack.extend(sorted(pairs, key=lambda p: p[0]))
 
 
@@ -171,7 +184,7 @@ def _cells(rows: DataFrame, pivots: list[np.ndarray]) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, counts: dict[tuple[int, int], int], size: int, leaf: int) -> tuple[DataFrame, int]:
-    """A row a block: block, dim, centre, radius, norm, payload; and how many block numbers there are."""
+    """A row a block: block, dim, cell, centre, radius, norm, payload; and how many block numbers there are."""
     offset, first, parts = 0, {}, {}
     for key, n in sorted(counts.items()):
         first[key], parts[key] = offset, -(-n // size)
@@ -187,9 +200,9 @@ def _blocks(rows: DataFrame, counts: dict[tuple[int, int], int], size: int, leaf
         tree = CoverTree(x, leaf)
         ids, x = pdf["vec_id"].to_numpy()[tree.order], x[tree.order]
         kind = np.float32 if len(x[0]) == 0 or np.abs(x).max() < 2**24 else np.float64
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "centre": [tree.centre[0].tolist()], "radius": [tree.radius[0]], "norm": [tree.norm[0]], "payload": [pickle.dumps((ids, x.astype(kind), tree))]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "cell": [pdf["cell"].iloc[0]], "centre": [tree.centre[0].tolist()], "radius": [tree.radius[0]], "norm": [tree.norm[0]], "payload": [pickle.dumps((ids, x.astype(kind), tree))]})
 
-    return dealt.select("vec_id", "v", "dim", "block").groupBy("block").applyInPandas(run, "block int, dim int, centre array<double>, radius double, norm double, payload binary"), offset
+    return dealt.select("vec_id", "v", "dim", "cell", "block").groupBy("block").applyInPandas(run, "block int, dim int, cell int, centre array<double>, radius double, norm double, payload binary"), offset
 
 
 def _load(payload: bytes) -> tuple:
@@ -201,7 +214,7 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def _search_blocks(asking: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """FOUND by each row of asking (q_block, part, query, floors) in its blocks (q_block, part, bound, data).
+    """FOUND by each row of asking (q_group, part, query, floors, home) in the blocks of its group and part (q_group, part, d_block, bound, data), home left out.
 
     The blocks of a part are searched one after another, the most promising
     first, and each betters what the next has to reach.
@@ -209,23 +222,46 @@ def _search_blocks(asking: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for query, floors in zip(left["query"], left["floors"], strict=True):
+        right = right.sort_values("bound", ascending=False)
+        data = [(block, _load(x)) for block, x in zip(right["d_block"], right["data"], strict=True)]
+        for query, floors, home in zip(left["query"], left["floors"], left["home"], strict=True):
             queries = _load(query)
             floor = -np.inf if floors is None else np.array([-np.inf if x is None else x for x in floors], float)
             best = Best(len(queries[0]), k, np.nan_to_num(floor, nan=-np.inf, neginf=-np.inf))
-            for r in right.sort_values("bound", ascending=False).itertuples(index=False):
-                search(queries, _load(r.data), best)
+            for block, d in data:
+                if block != home:
+                    search(queries, d, best)
             found = np.nonzero(best.id != np.iinfo(np.int64).max)
             out.append(pd.DataFrame({"query_id": queries[0][found[0]], "vec_id": best.id[found], "score": best.score[found]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-    right = blocks.select(F.col("q_block").alias("r_block"), F.col("part").alias("r_part"), "bound", "data")
-    return asking.groupBy("q_block", "part").cogroup(right.groupBy("r_block", "r_part")).applyInPandas(run, FOUND)
+    right = blocks.select(F.col("q_group").alias("r_group"), F.col("part").alias("r_part"), "d_block", "bound", "data")
+    return asking.groupBy("q_group", "part").cogroup(right.groupBy("r_group", "r_part")).applyInPandas(run, FOUND)
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def _bound() -> Column:
-    dot = F.aggregate(F.zip_with("q_centre", "d_centre", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return dot + F.col("q_norm") * F.col("d_radius") + F.col("d_norm") * F.col("q_radius") + F.col("q_radius") * F.col("d_radius")
+    return _dot("q_centre", "d_centre") + F.col("q_norm") * F.col("d_radius") + F.col("d_norm") * F.col("q_radius") + F.col("q_radius") * F.col("d_radius")
+
+
+def _reach() -> Column:
+    """The bound with room for rounding."""
+    return F.col("bound") + F.abs("bound") * 1e-9 + 1e-6
+
+
+def _cover(blocks: DataFrame) -> DataFrame:
+    """dim, cell, centre, radius, norm: a ball round all blocks of a cell, its centre that of one of them."""
+    one = blocks.groupBy("dim", "cell").agg(F.min_by("centre", "block").alias("middle"))
+    away = F.sqrt(F.aggregate(F.zip_with("centre", "middle", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    both = blocks.select("dim", "cell", "block", "centre", "radius").join(one, ["dim", "cell"])
+    return both.groupBy("dim", "cell").agg(F.first("middle").alias("centre"), (F.max(away + F.col("radius")) * (1 + 1e-9)).alias("radius"), F.sqrt(F.first(_dot("middle", "middle"))).alias("norm"))
+
+
+def _named(df: DataFrame, side: str, *more: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{side}_{c}") for c in (*more, "dim", "centre", "radius", "norm")])
 
 
 def _best_rows(found: DataFrame, k: int) -> DataFrame:
@@ -258,24 +294,38 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     if not n_queries or not n_blocks:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks, queries = materialize(blocks, "blocks"), materialize(queries, "queries")
-    d = blocks.select(F.col("block").alias("d_block"), F.col("dim").alias("d_dim"), F.col("centre").alias("d_centre"), F.col("radius").alias("d_radius"), F.col("norm").alias("d_norm"))
-    q = queries.select(F.col("block").alias("q_block"), F.col("dim").alias("q_dim"), F.col("centre").alias("q_centre"), F.col("radius").alias("q_radius"), F.col("norm").alias("q_norm"))
-    each = q.withColumn("d_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = materialize(each.join(d, "d_block").where(F.col("q_dim") == F.col("d_dim")).select("q_block", "d_block", _bound().alias("bound")), "bounds")
+    cells = materialize(_cover(blocks), "cells")
+    q, d, c = _named(queries, "q", "block"), _named(blocks, "d", "block", "cell"), _named(cells, "d", "cell")
+    # A row for each query block and cell: cells are at most PIVOTS for each length of vectors.
+    far = materialize(q.join(c, F.col("q_dim") == F.col("d_dim")).select("q_block", F.col("d_dim").alias("dim"), F.col("d_cell").alias("cell"), _bound().alias("bound")), "bounds")
+
+    def opened(chosen: DataFrame) -> DataFrame:
+        """q_block, d_block, bound of all blocks in the chosen cells (q_block, dim, cell)."""
+        same = (F.col("dim") == F.col("d_dim")) & (F.col("cell") == F.col("d_cell"))
+        return chosen.select("q_block", "dim", "cell").join(d, same).join(q.drop("q_dim"), "q_block").select("q_block", "d_block", _bound().alias("bound"))
+
     payload = blocks.select(F.col("block").alias("d_block"), F.col("payload").alias("data"))
     asking = queries.select(F.col("block").alias("q_block"), F.col("payload").alias("query"))
-    homes = pairs.groupBy("q_block").agg(F.max_by("d_block", F.struct("bound", "d_block")).alias("d_block"), F.max("bound").alias("bound"))
+    nearest = far.groupBy("q_block").agg(F.max_by(F.struct("dim", "cell"), F.struct("bound", "cell")).alias("x")).select("q_block", "x.dim", "x.cell")
+    homes = materialize(opened(nearest).groupBy("q_block").agg(F.max_by("d_block", F.struct("bound", "d_block")).alias("d_block"), F.max("bound").alias("bound")), "homes")
     none = F.lit(None).cast("array<double>").alias("floors")
-    first = materialize(_search_blocks(asking.select("q_block", F.lit(0).alias("part"), "query", none), homes.withColumn("part", F.lit(0)).join(payload, "d_block"), k), "first")
+    home = homes.select(F.col("q_block").cast("long").alias("q_group"), F.lit(0).alias("part"), "d_block", "bound").join(payload, "d_block")
+    first = materialize(_search_blocks(asking.select(F.col("q_block").cast("long").alias("q_group"), F.lit(0).alias("part"), "query", none, F.lit(-1).alias("home")), home, k), "first")
     # The kth score in the home block is a floor for the query; a block's floor is the least of its queries'.
     kth = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).select("query_id", "floor")
     floors = materialize(_floors(asking, kth), "floors")
-    rest = pairs.join(homes, ["q_block", "d_block"], "left_anti").join(floors.select("q_block", "least"), "q_block")
-    rest = rest.where(F.col("bound") * (1 + 1e-9) + 1e-6 >= F.col("least")).select("q_block", "d_block", "bound")
-    by = Window.partitionBy("q_block").orderBy(F.desc("bound"), "d_block")
-    rest = rest.withColumn("part", F.floor((F.row_number().over(by) - 1) / PART).cast("int"))
-    later = rest.select("q_block", "part").distinct().join(floors.select("q_block", "query", "floors"), "q_block")
-    found = first.unionByName(_search_blocks(later.select("q_block", "part", "query", "floors"), rest.join(payload, "d_block"), k))
+    least = floors.select("q_block", "least")
+    rest = opened(far.join(least, "q_block").where(_reach() >= F.col("least"))).join(homes, ["q_block", "d_block"], "left_anti")
+    rest = rest.join(least, "q_block").where(_reach() >= F.col("least"))
+    # Neighbours by number are of one cell or the next; blocks of different lengths stay apart.
+    group = (F.col("q_dim").cast("long") * 2**32 + F.floor(F.col("q_block") / GROUP)).alias("q_group")
+    lengths = q.select("q_block", "q_dim")
+    rest = rest.join(lengths, "q_block").groupBy(group, "d_block").agg(F.max("bound").alias("bound"))
+    by = Window.partitionBy("q_group").orderBy(F.desc("bound"), "d_block")
+    rest = materialize(rest.withColumn("part", F.floor((F.row_number().over(by) - 1) / PART).cast("int")), "pairs")
+    searched = floors.join(lengths, "q_block").join(homes.select("q_block", F.col("d_block").alias("home")), "q_block")
+    later = rest.select("q_group", "part").distinct().join(searched.select(group, "query", "floors", "home"), "q_group")
+    found = first.unionByName(_search_blocks(later.select("q_group", "part", "query", "floors", "home"), rest.join(payload, "d_block"), k))
     return _best_rows(found, k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 

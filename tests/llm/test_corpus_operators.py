@@ -25,19 +25,20 @@ def _words(t):
 
 
 def _line_dedup(rows, least=5):
-    sites, first = {}, {}
+    sites, first, need = {}, {}, {}
     strip = " \t\v\f\r"
     for i, t, _, source, _ in rows:
         for raw in (t or "").split("\n"):
             line = raw.strip(strip)
-            if len(re.findall(r"[^ \t\v\f\r]+", line)) >= 3:
+            if line:
+                need[line] = least if len(re.findall(r"[^ \t\v\f\r]+", line)) >= 3 else 50
                 sites.setdefault(line, set()).add(source or "")
                 first[line] = min(first.get(line, math.inf), math.inf if i is None else i)
     out = Counter()
     for i, t, *_ in rows:
         lines = (t or "").split("\n")
         mine = math.inf if i is None else i
-        keep = [x for x in lines if len(sites.get(x.strip(strip), ())) < least or first[x.strip(strip)] == mine]
+        keep = [x for x in lines if len(sites.get(x.strip(strip), ())) < need.get(x.strip(strip), 1) or first[x.strip(strip)] == mine]
         text = "\n".join(keep)
         n = 0 if t is None else len(lines)
         out[(i, n, len(lines) - len(keep), len(text), hashlib.sha256(text.encode()).hexdigest())] += 1
@@ -62,6 +63,14 @@ def test_line_dedup_counts_near_lines_exactly(spark):
     assert bad.count() == 6  # 6 to 11 sites
 
 
+def test_line_dedup_short_lines_need_more_sites(spark):
+    rows = [(i, "Read more\nAll about it here", f"site{i % 40}") for i in range(60)] + [(100 + i, "Sign in\nno", f"site{i}") for i in range(55)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(map(tuple, linededup.digest(df).collect()))
+    assert got == _line_dedup([(*r[:2], "en", r[2], 0) for r in rows])
+    assert {k[2] for k in got if k[0] >= 101} == {2} and {k[2] for k in got if 0 < k[0] < 60} == {1}
+
+
 # -- near duplicates ----------------------------------------------------------
 
 
@@ -245,16 +254,55 @@ def test_top_k_of_few(spark):
     assert {tuple(r) for r in topk.top_k(df).collect()} == {(20, 1, 21, 4096), (20, 2, 40, 2048), (40, 1, 20, 2048), (40, 2, 21, 2048)}
 
 
-def test_cover_tree_covers():
-    x = np.random.default_rng(0).normal(size=(300, 6))
+@pytest.mark.parametrize("spread", [0.02, 0.3, 5.0])
+def test_cover_tree_covers_and_separates(spread):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(c, spread, (60, 6)) for c in rng.normal(size=(20, 6))])
     t = topk.CoverTree(x, 10)
-    assert sorted(t.order) == list(range(300))
-    for c, r, (lo, hi), kids in zip(t.centre, t.radius, t.range, t.children, strict=True):
-        assert np.sqrt(((x[t.order[lo:hi]] - c) ** 2).sum(1)).max() <= r
-        assert not kids or [t.range[k][0] for k in kids] == [lo, *[t.range[k][1] for k in kids[:-1]]]
-
-
-# -- suffix tree --------------------------------------------------------------
+    assert sorted(t.order) == list(range(len(x)))
+    inner = 0
+    for k, (lo, hi) in enumerate(t.range):
+        kids = t.children[k]
+        away = np.sqrt(((x[t.order[lo:hi]] - t.centre[k]) ** 2).sum(1))
+        assert away.max() <= t.radius[k]
+        assert t.level[k] is None or away.max() <= 2.0 ** t.level[k]
+        if kids:
+            inner += 1
+            assert [t.range[c][0] for c in kids] == [lo, *[t.range[c][1] for c in kids[:-1]]] and t.range[kids[-1]][1] == hi
+            assert all(t.level[c] is None or t.level[c] < t.level[k] for c in kids)
+            centres = t.centre[kids]
+            apart = np.sqrt(((centres[:, None] - centres) ** 2).sum(2))
+            assert apart[~np.eye(len(kids), dtype=bool)].min() > 2.0 ** (t.level[k] - 1)
+    assert inner or spread > 1
+
+
+def test_top_k_opens_few_blocks_of_clustered_data(spark, monkeypatch):
+    """Block pairs stay in proportion to the blocks where vectors lie in clusters, and results are exact."""
+    for name, value in (("BLOCK", 64), ("QUERY_BLOCK", 16), ("ROWS_PER_PIVOT", 64), ("LEAF", 16), ("QUERY_LEAF", 8)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(60, 16))
+    middle *= 4 / np.sqrt((middle**2).sum(1))[:, None]
+    x = np.concatenate([rng.normal(m, 0.05, (100, 16)) for m in middle])
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    sizes, write = {}, topk.materialize
+
+    def counting(df, label="t"):
+        out = write(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(topk, "materialize", counting)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = [tuple(r) for r in topk.top_k(df).orderBy("query_id", "rank").collect()]
+    v = np.floor(x * 64)
+    want = []
+    for i in range(0, len(v), 20):
+        scores = v @ v[i]
+        order = [j for j in np.lexsort((np.arange(len(v)), -scores)) if j != i][:20]
+        want += [(i, n + 1, int(j), int(scores[j])) for n, j in enumerate(order)]
+    assert got == want
+    assert sizes["blocks"] > 90 and sizes["pairs"] < 64 * sizes["blocks"]
 
 
 def test_suffix_tree_base(docs, no_docs, rows):
