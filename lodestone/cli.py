@@ -25,10 +25,11 @@ def _vector(query: str) -> list[float] | None:
     return dense.embed_query(text) if text else None
 
 
-def _watch(store: Store, at: str):
-    """The stream of all watched folders; none if there is none."""
-    roots = [r["path"] for r in store.watched().collect()]
-    return watch.watch(store, roots, f"{at}/checkpoints/{watch.name_of(roots)}") if roots else None
+def _watcher(store: Store, at: str) -> watch.Watcher:
+    """Follows all watched folders."""
+    w = watch.Watcher(store, f"{at}/checkpoints")
+    w.follow([r["path"] for r in store.watched().collect()])
+    return w
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -50,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
         sub.add_parser(name)
     for name in ("serve", "daemon"):
         c = sub.add_parser(name)
-        c.add_argument("--host", default="0.0.0.0")
+        c.add_argument("--host", default="127.0.0.1")
         c.add_argument("--port", type=int, default=8000)
         if name == "daemon":
             c.add_argument("path", nargs="?")
@@ -79,16 +80,15 @@ def main(argv: list[str] | None = None) -> int:
         path = os.path.abspath(a.path)
         print(json.dumps(indexing.index_folder(store, path)))
         store.add_watched(path)
-        _watch(store, a.store).awaitTermination()
+        _watcher(store, a.store).query.awaitTermination()
     elif a.command in ("serve", "daemon"):
         if getattr(a, "path", None):
             store.add_watched(os.path.abspath(a.path))
-        q = _watch(store, a.store)
+        w = _watcher(store, a.store)
         try:
-            server.serve(server.Api(store), a.host, a.port).serve_forever()
+            server.serve(server.Api(store, watcher=w), a.host, a.port).serve_forever()
         finally:
-            if q:
-                q.stop()
+            w.stop()
     elif a.command == "unwatch":
         print(json.dumps({"removed": store.remove_watched(os.path.abspath(a.path))}))
     elif a.command == "folders":

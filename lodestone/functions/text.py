@@ -161,6 +161,11 @@ def fold_text(s: str) -> str:
     return "".join("i" if c == "İ" else "ı" if c == "I" else c.lower() for c in s)
 
 
+def camel_parts(text: str) -> list[str]:
+    """The parts of names in camel case, as they are written."""
+    return _PY_CAMEL.findall(text)
+
+
 def tokens_of(text: str, split_symbols: bool = True, remove_stop_words: bool = True, min_len: int = MIN_LEN) -> list[str]:
     """What `tokens` gives, for a string on the driver."""
     stop = frozenset(config.STOP_WORDS) if remove_stop_words else frozenset()
@@ -168,7 +173,7 @@ def tokens_of(text: str, split_symbols: bool = True, remove_stop_words: bool = T
     raw = [t for t in (w.strip("_") for w in re.findall(WORD, fold_text(text or ""))) if t]
     out: list[str] = []
     if split_symbols:
-        out += [t for t in map(fold_text, _PY_CAMEL.findall(text or "")) if good(t)]
+        out += [t for t in map(fold_text, camel_parts(text or "")) if good(t)]
     for t in raw:
         if split_symbols and "_" in t:
             out += [t, *[p for p in t.split("_") if p and good(p)]]

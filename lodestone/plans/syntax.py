@@ -11,6 +11,7 @@ from datetime import UTC, datetime, tzinfo
 
 from lodestone import config
 
+# The form of a filter, dates that filters take, and the filters' names.
 _PAIR = re.compile(r'(-?\w+):(?:"([^"]+)"|(\S+))')
 #: Formats of a day, then those with a time.
 DAYS = ("%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%d.%m.%Y", "%d-%m-%Y")

@@ -49,10 +49,10 @@ def _rows(df) -> list[dict]:
 
 
 class Api:
-    """The answers, apart from HTTP. One writer at a time; readers see whole snapshots."""
+    """The answers, apart from HTTP. Readers see whole snapshots. With a watcher, folders are followed as they are indexed."""
 
-    def __init__(self, store: Store, embed: dense.Embed = dense.hashed_words):
-        self.store, self.embed = store, embed
+    def __init__(self, store: Store, embed: dense.Embed = dense.hashed_words, watcher: watch.Watcher | None = None):
+        self.store, self.embed, self.watcher = store, embed, watcher
         self.writing = threading.Lock()
 
     def _vector(self, q: str) -> list[float] | None:
@@ -87,17 +87,24 @@ class Api:
         with self.writing:
             counters = indexing.index_folder(self.store, path, self.embed)
             self.store.add_watched(path)
+            self._follow()
         return {"path": path, **counters}
 
+    def _follow(self) -> None:
+        if self.watcher:
+            self.watcher.follow([r["path"] for r in self.store.watched().collect()])
+
     def folders(self, _: dict[str, str]) -> dict:
-        """Watched folders; one under another is covered by it."""
+        """Watched folders, and whether they are being followed; one under another is covered by it."""
         paths = [r["path"] for r in self.store.watched().collect()]
         roots = watch.subsumed(paths)
-        return {"folders": [{"path": p, "root": next(r for r in roots if watch.covers(r, p))} for p in paths]}
+        return {"folders": [{"path": p, "root": next(r for r in roots if watch.covers(r, p)), "active": bool(self.watcher and self.watcher.watches(p))} for p in paths]}
 
     def unwatch(self, p: dict[str, str]) -> dict:
         with self.writing:
-            return {"removed": self.store.remove_watched(os.path.abspath(p.get("path") or ""))}
+            removed = self.store.remove_watched(os.path.abspath(p.get("path") or ""))
+            self._follow()
+        return {"removed": removed}
 
     @property
     def routes(self) -> dict[tuple[str, str], Callable[[dict[str, str]], dict]]:
@@ -121,7 +128,7 @@ class Api:
             return 400, {"detail": str(e)}
 
 
-def serve(api: Api, host: str = "0.0.0.0", port: int = 8000) -> ThreadingHTTPServer:
+def serve(api: Api, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
     """A server; call serve_forever() on it."""
 
     class Handler(BaseHTTPRequestHandler):

@@ -9,6 +9,8 @@ import xml.etree.ElementTree as ET
 from datetime import UTC, datetime
 from pathlib import PurePosixPath
 
+from lodestone.functions.text import camel_parts
+
 from . import texts
 from .base import Chunk, File, decoded
 
@@ -79,6 +81,7 @@ def _picture(content: bytes, suffix: str) -> list[str]:
     return out + [f"{label}: {exif[k]}" for k, label in labels.items() if k in exif]
 
 
+# Fixed values, here and below: the labels that descriptions are made of.
 def image(f: File) -> list[Chunk]:
     if f.path.suffix.lower() == ".svg":
         return [_svg(f)]
@@ -148,7 +151,7 @@ def anything(f: File) -> list[Chunk]:
     mime = mimetypes.guess_type(f.path.name)[0]
     kind = FORMATS.get(suffix) or (f"{mime} ({suffix})" if mime else f"{suffix.upper().lstrip('.')} Dosyası" if suffix else "Bilinmeyen Dosya")
     folders = _folders(f.path, 4)
-    words = re.findall(r"[A-Z]?[a-z0-9ğüşıöç]+|[A-Z]+(?=[A-Z][a-z]|\b)", f.path.stem)
+    words = camel_parts(f.path.stem)
     keys = dict.fromkeys(w.lower() for w in words + folders if len(w) > 1 and not w.isdigit())
     when = datetime.fromtimestamp(f.mtime, UTC).strftime("%Y-%m-%d %H:%M:%S")
     sample = _sample(f.content) if f.size <= 1024 * 1024 else ""

@@ -1,20 +1,27 @@
-"""Index tables as Parquet segments; one pointer file names the current version.
+"""Index tables as Parquet segments; manifests, numbered without gaps, are the versions.
 
 A commit writes the rows of the documents that it adds as a new segment, and
 the ids of those that it removes or replaces as a list of deletions, so its
 cost follows the change and not the index. A manifest lists what belongs to a
-version; the pointer is renamed into place last, so that a reader sees all of
-a commit or none of it, and a failed one leaves the last version current. A
-row counts unless its document was deleted after its segment was written.
-Compaction writes the rows that count as one segment. One writer at a time.
+version and is renamed into place under the next number, which only one
+writer can take: another one finds it taken, reads the new manifest and adds
+its change to that. So a reader sees all of a commit or none of it, a failed
+one leaves the last version current, and writers need no lock. A pointer file
+spares readers the count from one. A row counts unless its document was
+deleted by a later version than the one that its segment came with.
+Compaction writes the rows that count as one segment, in the place of those
+that it read.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,57 +43,70 @@ class Store:
         jvm = spark._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.root))
+        self._fs.mkdirs(self._path(f"{self.root}/manifests"))
+        self._mine = threading.local()
 
     # -- the pointer -----------------------------------------------------------
 
     @property
     def version(self) -> int:
-        """The current snapshot's number; 0 before the first commit."""
+        """The current snapshot's number; 0 before the first commit. The pointer may lag behind the manifests, not lead."""
         p = f"{self.root}/{POINTER}"
-        if not self._fs.exists(self._path(p)):
-            return 0
-        return int(self.spark.read.text(p).first()[0])
+        v = int(self.spark.read.text(p).first()[0]) if self._fs.exists(self._path(p)) else 0
+        while self._fs.exists(self._path(self._manifest_path(v + 1))):
+            v += 1
+        return v
+
+    def _manifest_path(self, version: int) -> str:
+        return f"{self.root}/manifests/{version}.json"
 
-    def _point(self, version: int) -> None:
-        new, now = self._path(f"{self.root}/{POINTER}.new"), self._path(f"{self.root}/{POINTER}")
+    def _put(self, path: str, text: str, overwrite: bool) -> bool:
+        """Write a file whole: beside its place, then renamed (one step in file systems whose rename is one). False if another is there."""
+        new, now = self._path(f"{path}.{uuid.uuid4().hex}"), self._path(path)
         out = self._fs.create(new, True)
-        out.write(bytearray(str(version), "ascii"))
+        out.write(bytearray(text, "utf-8"))
         out.close()
-        # Rename with overwrite: one step in file systems whose rename is one.
         jvm = self.spark._jvm
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(self._fs.makeQualified(new), self._fs.makeQualified(now), self._overwrite())
+        rename = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE if overwrite else rename.NONE
+        try:
+            context.rename(self._fs.makeQualified(new), self._fs.makeQualified(now), how)
+        except Py4JJavaError as e:
+            if overwrite or "FileAlreadyExistsException" not in str(e.java_exception):
+                raise
+            self._fs.delete(new, False)
+            return False
+        return True
 
-    def _overwrite(self):
-        rename = getattr(self.spark._jvm, "org.apache.hadoop.fs.Options$Rename")
-        a = self.spark.sparkContext._gateway.new_array(rename, 1)
-        a[0] = rename.OVERWRITE
-        return a
+    def _commit(self, change: Callable[[dict, int], dict]) -> int:
+        """Make the next version: change(manifest, number) of the current one, again if another writer took the number."""
+        while True:
+            v = self.version
+            if self._put(self._manifest_path(v + 1), json.dumps(change(self._manifest(v), v + 1)), overwrite=False):
+                self._put(f"{self.root}/{POINTER}", str(v + 1), overwrite=True)
+                return v + 1
 
     # -- tables ------------------------------------------------------------------
 
-    def _manifest(self) -> dict:
-        v = self.version
+    def _manifest(self, version: int | None = None) -> dict:
+        """Segments and deletions, each as version and folder."""
+        v = self.version if version is None else version
         if not v:
             return {"segments": [], "deletions": []}
-        return json.loads(self.spark.read.text(f"{self.root}/manifests/{v}.json", wholetext=True).first()[0])
-
-    def _write(self, path: str, text: str) -> None:
-        out = self._fs.create(self._path(path), True)
-        out.write(bytearray(text, "utf-8"))
-        out.close()
+        return json.loads(self.spark.read.text(self._manifest_path(v), wholetext=True).first()[0])
 
     def _stored(self, name: str, manifest: dict) -> DataFrame | None:
         """All rows of a table that count, with doc_id; None without a segment."""
         out = None
-        for n in manifest["segments"]:
-            df = self.spark.read.parquet(f"{self.root}/segments/{n}/{name}").withColumn("_segment", F.lit(n))
+        for n, at in manifest["segments"]:
+            df = self.spark.read.parquet(f"{self.root}/segments/{at}/{name}").withColumn("_segment", F.lit(n))
             out = df if out is None else out.unionByName(df)
         if out is None:
             return None
-        first = min(manifest["segments"])
-        gone = [self.spark.read.parquet(f"{self.root}/deletions/{n}").withColumn("_at", F.lit(n)) for n in manifest["deletions"] if n > first]
+        first = min(n for n, _ in manifest["segments"])
+        gone = [self.spark.read.parquet(f"{self.root}/deletions/{at}").withColumn("_at", F.lit(n)) for n, at in manifest["deletions"] if n > first]
         if gone:
             # Spark joins the list by its size: broadcast if small.
             dead = reduce(DataFrame.union, gone).groupBy(F.col("doc_id").alias("_doc")).agg(F.max("_at").alias("_at"))
@@ -103,8 +123,9 @@ class Store:
         tables = {n: self._stored(n, m) for n in TABLES}
         return Index(**{n: self.spark.createDataFrame([], TABLES[n]) if df is None else df.select(*_columns(n)) for n, df in tables.items()})
 
-    def _write_segment(self, n: int, index: Index) -> None:
-        """Postings are ordered by term (and chunk, so that a common term is dealt over many files): a look-up reads few row groups."""
+    def _write_segment(self, index: Index) -> str:
+        """The folder of a new segment. Postings are ordered by term (and chunk, so that a common term is dealt over many files): a look-up reads few row groups."""
+        at = uuid.uuid4().hex
         for name in TABLES:
             df = getattr(index, name)
             if name == "vectors" and "doc_id" not in df.columns:
@@ -112,45 +133,56 @@ class Store:
             df = df.select(*dict.fromkeys([*_columns(name), "doc_id"]))
             if name == "postings":
                 df = df.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
-            df.write.mode("overwrite").parquet(f"{self.root}/segments/{n}/{name}")
+            df.write.parquet(f"{self.root}/segments/{at}/{name}")
+        return at
 
     def apply(self, new: Index | None = None, gone: DataFrame | None = None) -> int:
         """Commit a change: documents to delete (doc_id) and documents to add, which replace those with their ids."""
-        m, v = self._manifest(), self.version + 1
         lists = [df.select("doc_id") for df in (gone, new.documents if new else None) if df is not None]
-        if m["segments"] and lists:
-            reduce(DataFrame.union, lists).distinct().write.mode("overwrite").parquet(f"{self.root}/deletions/{v}")
-            m["deletions"].append(v)
-        if new is not None:
-            self._write_segment(v, new)
-            m["segments"].append(v)
-        self._finish(v, m)
-        return self.compact() if len(m["segments"]) > SEGMENTS else v
-
-    def _finish(self, v: int, manifest: dict) -> None:
-        self._write(f"{self.root}/manifests/{v}.json", json.dumps(manifest))
-        self._point(v)
+        dead = uuid.uuid4().hex if lists else None
+        if dead:
+            reduce(DataFrame.union, lists).distinct().write.parquet(f"{self.root}/deletions/{dead}")
+        added = self._write_segment(new) if new is not None else None
+
+        def change(m: dict, n: int) -> dict:
+            return {"segments": m["segments"] + ([[n, added]] if added else []), "deletions": m["deletions"] + ([[n, dead]] if dead and m["segments"] else [])}
+
+        v = self._commit(change)
+        return self.compact() if len(self._manifest(v)["segments"]) > SEGMENTS else v
 
     def commit(self, index: Index) -> int:
         """Write all tables anew as one segment."""
-        v = self.version + 1
-        self._write_segment(v, index)
-        self._finish(v, {"segments": [v], "deletions": []})
-        return v
+        at = self._write_segment(index)
+        return self._commit(lambda _, n: {"segments": [[n, at]], "deletions": []})
 
     def compact(self) -> int:
-        """The rows that count as one segment."""
-        m = self._manifest()
-        return self.commit(Index(**{n: self._stored(n, m) for n in TABLES})) if m["segments"] else self.version
+        """The rows that count as one segment; what others commit meanwhile stays beside it."""
+        v = self.version
+        m = self._manifest(v)
+        if not m["segments"]:
+            return v
+        at = self._write_segment(Index(**{n: self._stored(n, m) for n in TABLES}))
+
+        def change(now: dict, _: int) -> dict:
+            if any(s not in now["segments"] for s in m["segments"]):
+                # Written anew or compacted by another writer.
+                return now
+            return {"segments": [[v, at], *(s for s in now["segments"] if s not in m["segments"])], "deletions": [d for d in now["deletions"] if d[0] > v]}
+
+        return self._commit(change)
 
     def staged(self, df: DataFrame) -> DataFrame:
         """df, written beside the segments and read back: what is dear to compute is computed once a commit."""
         at = f"{self.root}/staging/{uuid.uuid4().hex}"
         df.write.parquet(at)
+        self._mine.at = [*getattr(self._mine, "at", ()), at]
         return self.spark.read.schema(df.schema).parquet(at)
 
     def unstage(self) -> None:
-        self._fs.delete(self._path(f"{self.root}/staging"), True)
+        """Delete what this thread has staged."""
+        for at in getattr(self._mine, "at", ()):
+            self._fs.delete(self._path(at), True)
+        self._mine.at = []
 
     def clear(self) -> int:
         empty = {n: self.spark.createDataFrame([], s) for n, s in TABLES.items()}
@@ -159,17 +191,20 @@ class Store:
     def vacuum(self, keep: int = 2) -> None:
         """Delete what the last `keep` versions don't need."""
         v = self.version
-        kept = [json.loads(self.spark.read.text(f"{self.root}/manifests/{n}.json", wholetext=True).first()[0]) for n in range(max(1, v - keep + 1), v + 1)]
-        needed = {"segments": {n for m in kept for n in m["segments"]}, "deletions": {n for m in kept for n in m["deletions"]}}
-        for kind, numbers in needed.items():
-            at = self._path(f"{self.root}/{kind}")
-            for s in self._fs.listStatus(at) if self._fs.exists(at) else []:
-                if int(s.getPath().getName()) not in numbers:
-                    self._fs.delete(s.getPath(), True)
+        kept = [self._manifest(n) for n in range(max(1, v - keep + 1), v + 1)]
+        gone = [n for n in range(1, v - keep + 1) if self._fs.exists(self._path(self._manifest_path(n)))]
+        older = [self._manifest(n) for n in gone]
+        for kind in ("segments", "deletions"):
+            needed = {at for m in kept for _, at in m[kind]}
+            # Only what an older version names: a folder that none names may be a commit under way.
+            for at in {at for m in older for _, at in m[kind]} - needed:
+                self._fs.delete(self._path(f"{self.root}/{kind}/{at}"), True)
+        for n in gone:
+            self._fs.delete(self._path(self._manifest_path(n)), False)
 
     def size_bytes(self) -> int:
         m = self._manifest()
-        paths = [f"{self.root}/{kind}/{n}" for kind in ("segments", "deletions") for n in m[kind]]
+        paths = [f"{self.root}/{kind}/{at}" for kind in ("segments", "deletions") for _, at in m[kind]]
         return sum(self._fs.getContentSummary(self._path(p)).getLength() for p in paths)
 
     def stats(self) -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import threading
 import time
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -140,6 +141,48 @@ def watch(store: snapshots.Store, roots: list[str], checkpoint: str, start: str
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=poll)).start()
 
 
+class Watcher:
+    """The stream over a set of folders that may change while it runs. A changed set is a new stream; one that ran before goes on where it stopped."""
+
+    def __init__(self, store: snapshots.Store, checkpoints: str, quiet: float = QUIET_SECONDS, poll: str = "500 milliseconds"):
+        self.store, self.checkpoints, self.quiet, self.poll = store, checkpoints, quiet, poll
+        self.roots: list[str] = []
+        self.query: StreamingQuery | None = None
+        self._changing = threading.Lock()
+
+    def follow(self, paths: list[str], timeout: float = 10.0) -> None:
+        """Watch these folders and no others."""
+        with self._changing:
+            roots = subsumed(paths)
+            if roots != self.roots or not self.active:
+                self._end(timeout)
+                self.roots = roots
+                if roots:
+                    self.query = watch(self.store, roots, f"{self.checkpoints}/{name_of(roots)}", quiet=self.quiet, poll=self.poll)
+
+    @property
+    def active(self) -> bool:
+        return self.query is not None and self.query.isActive
+
+    def watches(self, path: str) -> bool:
+        return self.active and any(covers(r, path) for r in self.roots)
+
+    def stop(self, timeout: float = 10.0) -> bool:
+        """End the stream; whether it did within so many seconds."""
+        with self._changing:
+            return self._end(timeout)
+
+    def _end(self, timeout: float) -> bool:
+        query, self.query = self.query, None
+        if query is None:
+            return True
+        # stop() waits for the batch under way, so it gets a thread of its own.
+        t = threading.Thread(target=query.stop, daemon=True)
+        t.start()
+        t.join(timeout)
+        return not t.is_alive()
+
+
 # -- the set of watched folders ----------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ import io
 import json
 import os
 import tarfile
+import time
 import zipfile
 from pathlib import PurePosixPath
 
@@ -235,3 +236,61 @@ def test_sessions(spark):
     e = spark.createDataFrame([("p", "a", 0), ("p", "b", 1), ("p", "c", 9)], "path string, event string, s int").withColumn("ts", F.timestamp_seconds("s"))
     assert [(r.events, r.event) for r in watch.sessions(e, "path", "2 seconds", "event").orderBy("started").collect()] == [(2, "b"), (1, "c")]
     assert watch.latest_events(e).first().event == "c"
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """A commit whose number another writer takes is made on top of that one; staged tables go with their own thread."""
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    for n in "abc":
+        (folder / f"{n}.txt").write_text(f"text of file {n} here")
+    one, two = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    indexing.index_folder(one, str(folder))
+    put, taken = one._put, []
+
+    def late(path, text, overwrite):
+        if not taken and not overwrite:
+            taken.append(path)
+            indexing.remove_files(two, [str(folder / "a.txt")])
+        return put(path, text, overwrite)
+
+    one._put = late
+    v = one.version
+    indexing.remove_files(one, [str(folder / "b.txt")])
+    assert one.version == two.version == v + 2 and taken
+    assert [r.filename for r in one.index.documents.collect()] == ["c.txt"]
+    # A compaction keeps what was committed while it ran.
+    taken.clear()
+
+    def later(path, text, overwrite):
+        if not taken and not overwrite:
+            taken.append(path)
+            indexing.index_folder(two, str(folder))
+        return put(path, text, overwrite)
+
+    one._put = later
+    one.compact()
+    assert sorted(r.filename for r in two.index.documents.collect()) == ["a.txt", "b.txt", "c.txt"]
+    assert len(two._manifest()["segments"]) == 2
+
+
+def test_watcher_takes_folders_as_it_runs(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    a, b = tmp_path / "a", tmp_path / "b"
+    a.mkdir(), b.mkdir()
+    w = watch.Watcher(store, str(tmp_path / "checkpoints"), quiet=0.2, poll="200 milliseconds")
+    try:
+        assert w.stop() and not w.active
+        w.follow([str(a)])
+        assert w.watches(str(a)) and not w.watches(str(b))
+        w.follow([str(a), str(b)])
+        assert w.watches(str(b / "x.txt"))
+        deadline = time.time() + 60
+        while not w.query.recentProgress and time.time() < deadline:
+            time.sleep(0.2)
+        (b / "x.txt").write_text("written while the stream runs")
+        while not store.index.documents.count() and time.time() < deadline:
+            time.sleep(0.5)
+        assert [r.filename for r in store.index.documents.collect()] == ["x.txt"]
+    finally:
+        assert w.stop(30) and not w.active

@@ -67,7 +67,7 @@ def test_http(spark, folder, store_path):
         assert status == 200 and found["total"] >= 1 and found["results"][0]["filename"] == "nodes.csv" and "raw_score" not in found["results"][0]
         assert call("/api/symbol?q=memory")[1]["results"][0]["name"] == "MemoryManager"
         assert call("/api/code?q=allocate")[0] == 200 and call("/api/stats")[1]["documents"] == 3
-        assert call("/api/watched-folders")[1]["folders"] == [{"path": str(folder), "root": str(folder)}]
+        assert call("/api/watched-folders")[1]["folders"] == [{"path": str(folder), "root": str(folder), "active": False}]
         assert call(f"/api/watched-folders?path={folder}", "DELETE")[1] == {"removed": True}
         for bad in ("/api/search", "/api/search?q=a&limit=101", "/api/search?q=a&alpha=2", "/api/search?q=a&page=x"):
             assert call(bad)[0] == 400
