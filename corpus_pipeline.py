@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, PII and packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of documents.
+last return the columns of documents, whatever further ones there are and
+whatever they are called. An empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -14,27 +15,27 @@ from lodestone.llm.common import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the isolation forest reject go."""
+    """Documents that the base rules or the isolation forest reject go. A null or empty text has no words, so it goes; repeated rows fare alike."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sites share stay in one document only."""
+    """Lines that many sites share stay in the document of the least doc_id (a null one counts as the greatest). A null text stays null."""
     return linededup.clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One row of each group of near duplicates stays, that of the least doc_id, however often it is repeated; rows without words all stay."""
     return neardup.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data give way to their kind in brackets."""
+    """Personal data give way to their kind in brackets; every row stays, and a null text stays null."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents become pieces of packed sequences."""
+    """Documents become pieces of packed sequences; a null or empty text is one piece with the end id, and repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
