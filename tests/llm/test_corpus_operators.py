@@ -413,3 +413,11 @@ def test_pipeline_of_no_rows(spark, no_docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     no_docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_recall_does_not_fall_with_depth():
+    """Pairs at the threshold, if every node on their way were too large to compare."""
+    from recall_by_depth import recall
+
+    got = recall(0.75, pairs=300)
+    assert got[0] == 1 and min(got.values()) >= 0.95
