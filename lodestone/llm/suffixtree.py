@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import arrays, discard, materialize, pieces
 
-#: Shares of all tokens from which words, and pairs and triples of such words, travel to the workers.
-HOT_SYMBOL = 5e-5
-HOT_GRAM = 2e-6
+#: Shares of all tokens from which words, and pairs and triples of such words, travel to the workers: at most the inverse of each.
+HOT_SYMBOL = 2e-6
+HOT_GRAM = 1e-6
 #: Occurrences that a state's next word needs, at least.
 LEAST = 3
 DISCOUNT = 0.75
@@ -44,6 +44,8 @@ GATE_BITS = 27
 
 END, OTHER, BEGIN, FIRST = 0, 1, 2, 3
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: With this seed xxh64 gives what Spark's xxhash64 does.
+SPARK_SEED = 42
 #: Hashes of words that a worker remembers.
 _REMEMBER = 500_000
 _known: dict[bytes, int] = {}
@@ -77,11 +79,8 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _symbols(texts: list, ids: dict[bytes, int], rare: list[Counter] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' symbols in one array, BEGIN before and END after each; where each text starts.
-
-    rare gets, for each text, the words that are no symbols with their numbers.
-    """
+def _symbols(texts: list, ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' symbols in one array, BEGIN before and END after each; where each text starts."""
     parts, starts, at, get = [], [], 0, ids.get
     for t in texts:
         words = words_of(t)
@@ -91,8 +90,6 @@ def _symbols(texts: list, ids: dict[bytes, int], rare: list[Counter] | None = No
         parts.append(s)
         starts.append(at)
         at += len(s)
-        if rare is not None:
-            rare.append(Counter([words[i] for i in np.flatnonzero(s[1:-1] == OTHER)]))
     return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array(starts, np.int64)
 
 
@@ -101,7 +98,7 @@ def _hash(word: bytes) -> int:
     if h is None:
         if len(_known) > _REMEMBER:
             _known.clear()
-        h = _known[word] = xxhash.xxh3_64_intdigest(word)
+        h = _known[word] = xxhash.xxh64_intdigest(word, SPARK_SEED)
     return h
 
 
@@ -159,6 +156,8 @@ class Tree:
     """Weights of the frequent words, pairs and triples; keys are sorted."""
 
     ids: dict[bytes, int]
+    #: symbol -> how often it was seen
+    count: np.ndarray
     #: symbol -> factor of its state (0: none)
     back: np.ndarray
     #: pairs -> what the second gains after the first; factor of the pair's own state
@@ -301,13 +300,8 @@ def learn(train: DataFrame, counts: DataFrame, total: int, distinct: int, ends:
     spark = train.sparkSession
     z = total + 0.5 * (distinct + 1)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("key", pa.int64()), ("all", pa.int64())])
-        for b in batches:
-            yield arrays(out, [np.array([xxhash.xxh3_64_intdigest(w) for w in b.column(0).to_pylist()], np.uint64).view(np.int64), b.column(1)])
-
     marks = spark.createDataFrame([(BEGIN, ends), (END, ends)], "key long, all long")
-    vocabulary = materialize(counts.where(F.col("n") >= LEAST).mapInArrow(hashed, "key long, all long").unionByName(marks), "vocabulary")
+    vocabulary = materialize(counts.where(F.col("n") >= LEAST).select(F.xxhash64("word").alias("key"), F.col("n").alias("all")).unionByName(marks), "vocabulary")
     pairs = materialize(_count_grams(train, 2, Gate(vocabulary)), "grams")
     of = vocabulary.select(F.col("key").alias("tail"), (F.col("all") / total).alias("p"), ((F.col("all") + 0.5) / z).alias("below"))
     two = pairs.join(vocabulary.withColumnRenamed("key", "front"), "front").join(of, "tail")
@@ -335,14 +329,16 @@ def fit(train: DataFrame, counts: DataFrame, total: int, distinct: int, ends: in
 
 def _hot(counts: DataFrame, total: int, words: DataFrame, two: DataFrame, three: DataFrame) -> Tree:
     """What the most frequent words, and pairs and triples of these, weigh: at most 1 / HOT_SYMBOL and 1 / HOT_GRAM of each."""
-    frequent = counts.where(F.col("n") >= max(LEAST, HOT_SYMBOL * total)).orderBy(F.desc("n"), "word").collect()
-    ids = {bytes(r["word"]): FIRST + i for i, r in enumerate(frequent)}
+    frequent = counts.where(F.col("n") >= max(LEAST, HOT_SYMBOL * total)).orderBy(F.desc("n"), "word").select("word", "n", F.xxhash64("word").alias("h")).toArrow()
+    ids = {w: FIRST + i for i, w in enumerate(frequent["word"].to_pylist())}
     m = len(ids) + FIRST
-    number = [(END, END), (BEGIN, BEGIN)] + [(int(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64)), i) for w, i in ids.items()]
-    symbols = F.broadcast(words.sparkSession.createDataFrame(number, "h long, id long"))
+    count = np.concatenate([np.zeros(FIRST, np.int64), frequent["n"].to_numpy()])
+    h = np.concatenate([np.array([END, BEGIN], np.int64), frequent["h"].to_numpy()])
+    number = pa.table({"h": h, "id": np.concatenate([np.array([END, BEGIN], np.int64), np.arange(FIRST, m)])})
+    symbols = F.broadcast(words.sparkSession.createDataFrame(number))
     back = np.zeros(m)
-    for r in words.join(symbols, F.col("key") == F.col("h")).collect():
-        back[r["id"]] = r["back"]
+    states = words.join(symbols, F.col("key") == F.col("h")).select("id", "back").toArrow()
+    back[states["id"].to_numpy()] = states["back"].to_numpy()
 
     def hot(grams: DataFrame, order: int, *values: str) -> list[np.ndarray]:
         x = grams.where(F.col("n") >= max(LEAST, HOT_GRAM * total))
@@ -355,62 +351,65 @@ def _hot(counts: DataFrame, total: int, words: DataFrame, two: DataFrame, three:
         by = np.argsort(key)
         return [key[by], *[got[v].to_numpy()[by] for v in values]]
 
-    return Tree(ids, back, *hot(two, 2, "gain", "back"), *hot(three, 3, "gain"))
+    return Tree(ids, count, back, *hot(two, 2, "gain", "back"), *hot(three, 3, "gain"))
 
 
-SCORED = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, correction double, rare array<binary>, times array<int>, grams array<long>"
+_DOC = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("correction", pa.float64())])
+SCORED = "row long, key long, doc struct<doc_id: long, held_out: boolean, n_tokens: long, known: long, base: double, correction: double>"
 
 
-def _unjoined(s: np.ndarray, texts: list, known: tuple, gate: Gate, starts: np.ndarray) -> pa.ListArray:
-    """For each text the keys of its pairs and triples that may have a weight and are not in the tree."""
-    h = _hashes(texts)
+def _unjoined(h: np.ndarray, s: np.ndarray, known: tuple, gate: Gate) -> tuple[np.ndarray, np.ndarray]:
+    """Places and keys of the words that aren't in the tree, and of pairs and triples that aren't but may have a weight."""
     two = _key(h[:-1], h[1:])
     three = _key(two[:-1], h[2:])
     inside = s[1:] != BEGIN
+    rare = np.flatnonzero(s == OTHER)
     a = np.flatnonzero(inside & ~known[0] & gate.has(two))
     b = np.flatnonzero(inside[:-1] & inside[1:] & ~known[2] & gate.has(three))
-    place, key = np.concatenate([a, b]), np.concatenate([two[a], three[b]])
-    by = np.argsort(place, kind="stable")
-    offsets = np.append(np.searchsorted(place[by], starts), len(by)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[by].view(np.int64)))
+    return np.concatenate([rare, a, b]), np.concatenate([h[rare], two[a], three[b]])
 
 
 def _score_pass(rows: DataFrame, tree: Tree, logs: dict, gate: Gate) -> DataFrame:
-    """What frequent words and grams give each row; its rare words, and the grams to be joined, are handed on."""
+    """A row for each text, with what the tree knows of it, and a row for each key of it that is to be joined (doc is null there).
+
+    The words that the tree doesn't know are taken for unseen ones at first.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((tree, logs, gate))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        i, d = pa.int64(), pa.float64()
-        out = pa.schema([("doc_id", i), ("held_out", pa.bool_()), ("row", i), ("n_tokens", i), ("known", i), ("base", d), ("correction", d), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())), ("grams", pa.list_(i))])
+        out = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("doc", _DOC)])
         tree, logs, gate = shared.value
         root, known = logs["root"], logs["known"]
         for whole in batches:
             for b in pieces(whole):
-                rare: list[Counter] = []
                 texts = b.column(1).to_pylist()
-                s, starts = _symbols(texts, tree.ids, rare)
+                s, starts = _symbols(texts, tree.ids)
                 inner = s != BEGIN
-                base = np.where(inner & (s != OTHER), root[s], 0.0)
                 hot = tree.known(s)
-                sums = [np.add.reduceat(x, starts) for x in (base, tree.corrections(s, hot), (known[s] & inner).astype(np.int64))]
+                sums = [np.add.reduceat(x, starts) for x in (np.where(inner, root[s], 0.0), tree.corrections(s, hot), (known[s] & inner).astype(np.int64))]
                 n_tokens = np.diff(np.append(starts, len(s))) - 1
-                grams = _unjoined(s, texts, hot, gate, starts)
-                yield arrays(out, [b.column(0), b.column(2), b.column(3), n_tokens, sums[2], sums[0], sums[1], list(map(list, rare)), [list(c.values()) for c in rare], grams])
+                docs = pa.StructArray.from_arrays([b.column(0), b.column(2), pa.array(n_tokens), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1])], fields=list(_DOC))
+                row = b.column(3).to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column(3), b.column(3), docs], schema=out)
+                place, key = _unjoined(_hashes(texts), s, hot, gate)
+                mine = row[np.searchsorted(starts, place, "right") - 1]
+                for i in range(0, len(key), 100_000):
+                    part = key[i : i + 100_000].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[i : i + 100_000]), pa.array(part), pa.nulls(len(part), _DOC)], schema=out)
 
     return rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "text", "held_out", "row").mapInArrow(run, SCORED)
 
 
-def _word_backs(counts: DataFrame, words: DataFrame) -> DataFrame:
-    """word, n, back: counts with the factor of the word's own state (null: none)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("key", pa.int64())])
-        for b in batches:
-            yield arrays(out, [b.column(0), b.column(1), np.array([xxhash.xxh3_64_intdigest(w) for w in b.column(0).to_pylist()], np.uint64).view(np.int64)])
-
+def _weights(counts: DataFrame, model: Model | None, z: float, hot: float) -> DataFrame:
+    """key, gain, known, weight: of the words that do not travel what they gain over an unseen one, and their states' factors; of grams their weights."""
+    words = counts.where(F.col("n") < hot).select(F.xxhash64("word").alias("key"), "n")
+    gain = (F.log10((F.col("n") + 0.5) / F.lit(z)) - F.lit(float(np.log10(0.5 / z)))).alias("gain")
+    if model is None:
+        return words.select("key", gain, F.lit(1).alias("known"), F.lit(0.0).alias("weight"))
     # Only words seen LEAST times can be states; the others need no join.
-    often = counts.where(F.col("n") >= LEAST).mapInArrow(run, "word binary, n long, key long").join(words, "key", "left")
-    return often.select("word", "n", "back").unionByName(counts.where(F.col("n") < LEAST).withColumn("back", F.lit(None).cast("double")))
+    often = words.where(F.col("n") >= LEAST).join(model.words, "key", "left").select("key", gain, F.lit(1).alias("known"), F.coalesce("back", F.lit(0.0)).alias("weight"))
+    seldom = words.where(F.col("n") < LEAST).select("key", gain, F.lit(1).alias("known"), F.lit(0.0).alias("weight"))
+    return often.union(seldom).union(model.grams.select("key", F.lit(0.0).alias("gain"), F.lit(0).alias("known"), "weight"))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -432,34 +431,25 @@ def score(docs: DataFrame) -> DataFrame:
     if total:
         model = learn(train, counts, total, distinct, ends)
         tree, gate = model.tree, Gate(model.grams)
-        counted = _word_backs(counts, model.words)
     else:
         none, zero = np.zeros(0, np.int64), np.zeros(0)
-        tree, gate, model = Tree({}, np.zeros(FIRST), none, zero, zero, none, zero), Gate(rows.sparkSession.createDataFrame([], "key long")), None
-        counted = counts.withColumn("back", F.lit(None).cast("double"))
-    uni = np.zeros(tree.m)
+        tree, gate, model = Tree({}, np.zeros(FIRST, np.int64), np.zeros(FIRST), none, zero, zero, none, zero), Gate(rows.sparkSession.createDataFrame([], "key long")), None
+    uni = tree.count.copy()
     uni[END] = ends
-    for r in counts.where(F.col("n") >= max(LEAST, HOT_SYMBOL * total)).collect():
-        uni[tree.ids[bytes(r["word"])]] = r["n"]
     logs = {"root": np.log10((uni + 0.5) / z), "known": uni > 0}
-    scored = materialize(_score_pass(rows, tree, logs, gate), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    n = F.coalesce("n", F.lit(0))
-    # Each word is the context of what follows it, if only of the end.
-    back = F.col("times") * F.coalesce("back", F.lit(0.0))
-    each = rare.join(counted.hint("shuffle_hash"), "word", "left").select("row", (F.col("times") * F.log10((n + 0.5) / F.lit(z))).alias("base"), F.when(n > 0, F.col("times")).otherwise(0).alias("known"), back.alias("weight"))
-    if model:
-        grams = scored.select("row", F.explode("grams").alias("key")).join(model.grams.hint("shuffle_hash"), "key")
-        each = each.unionByName(grams.select("row", F.lit(0.0).alias("base"), F.lit(0).alias("known"), "weight"))
-    rest = each.groupBy("row").agg(F.sum("base").alias("rare_base"), F.sum("known").alias("rare_known"), F.sum("weight").alias("rare_weight"))
-    whole = scored.drop("rare", "times", "grams").join(rest, "row", "left")
-    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
+    hot = max(LEAST, HOT_SYMBOL * total)
+    # Neither side has a hot key: what is frequent has travelled. A text's own row meets no weight but by chance, which doesn't count.
+    joined = _score_pass(rows, tree, logs, gate).join(_weights(counts, model, z, hot).hint("shuffle_hash"), "key", "left")
+    is_key = F.col("doc").isNull()
+    add = lambda c: F.coalesce(F.sum(F.when(is_key, F.col(c))), F.lit(0)).alias(c)
+    whole = joined.groupBy("row").agg(F.first("doc", ignorenulls=True).alias("doc"), add("gain"), add("known"), add("weight"))
+    base = F.col("doc.base") + F.col("gain")
     return whole.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
+        "doc.doc_id",
+        "doc.held_out",
+        "doc.n_tokens",
+        (F.col("doc.known") + F.col("known")).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.col("correction") + F.coalesce("rare_weight", F.lit(0.0))).alias("score"),
+        (base + F.col("doc.correction") + F.col("weight")).alias("score"),
     )
