@@ -15,6 +15,7 @@ from lodestone.plans import library as L
 from lodestone.plans import search as S
 from lodestone.plans.syntax import parse
 from lodestone.schema import Index
+from lodestone.session import shared_folder
 from lodestone.sources import routing, snapshots
 from lodestone.streaming import watch
 
@@ -591,17 +592,22 @@ def event_sessions(spark, sf):
     return s.select("user_id", "started", "events", "event_type")
 
 
-@query("debounced_events", "SELECT user_id AS path, arg_max(event_type, (ts, event_id)) AS event FROM events GROUP BY user_id")
-def debounced_events(spark, sf):
-    """The events as a stream of one available batch, folded to the last one of each key."""
-    import uuid
+_QUIET = "10 minutes"
+
 
+@query("debounced_events", f"""WITH e AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL '{_QUIET}' THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e)
+SELECT user_id AS path, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event, count(*) AS events FROM s GROUP BY user_id, run
+HAVING max(ts) + INTERVAL '{_QUIET}' <= (SELECT max(ts) FROM events)""")
+def debounced_events(spark, sf):
+    """The events as a stream: a key's last event is emitted once the key was quiet long enough by the watermark; what is not yet due waits in the state."""
     e = L.table(spark, sf, "events")
-    src = spark.readStream.schema(e.schema).parquet(f"{sf}/events.parquet*")
-    name = f"events_{uuid.uuid4().hex}"
-    folded = src.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event"))
-    folded.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("user_id").alias("path"), "event")
+    src = spark.readStream.schema(e.schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    due = watch.sessions(src.withWatermark("ts", "0 seconds"), "user_id", _QUIET, "event_id", "event_type", "ts")
+    at = shared_folder(spark, "events")
+    out = due.select(F.col("user_id").alias("path"), "ts", F.col("event_type").alias("event"), "events")
+    out.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("covered_paths", L.sql("SELECT path, '/lib/' || source AS root FROM lib WHERE source IN ('src1', 'src2')", "lib"))

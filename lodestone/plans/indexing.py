@@ -16,13 +16,13 @@ from lodestone.functions import text as T
 COUNTERS = ("scanned", "indexed", "skipped", "deleted", "failed")
 
 
-def analysed(files: DataFrame, embed: dense.Embed | None = dense.hashed_words, staged: Callable[[DataFrame], DataFrame] = lambda df: df) -> Index:
+def analysed(files: DataFrame, embed: dense.Embed | None = dense.hashed_words, staged: Callable[[DataFrame], DataFrame] = lambda df: df, ocr: routing.Ocr | None = None) -> Index:
     """The index of the given files alone. files: path, size_bytes, mtime, sha256, content.
 
     staged: keeps the chunks and their words, from which all tables follow, so
-    that files are read once.
+    that files are read once. ocr: a function that reads the text in pictures.
     """
-    parsed = staged(lexical.analysed(routing.read_files(files)))
+    parsed = staged(lexical.analysed(routing.read_files(files, ocr)))
     documents = files.select(
         routing.document_id(F.col("path")).alias("doc_id"), "path", T.filename(F.col("path")).alias("filename"), T.extension(F.col("path")).alias("extension"),
         "sha256", "size_bytes", "mtime", F.current_timestamp().alias("indexed_at"),
@@ -34,7 +34,7 @@ def analysed(files: DataFrame, embed: dense.Embed | None = dense.hashed_words, s
     return Index(documents, chunks.drop("symbols", "tokens"), symbols, lexical.postings(chunks), dense.normalised(vectors))
 
 
-def index_folder(store: snapshots.Store, folder: str, embed: dense.Embed | None = dense.hashed_words, files: DataFrame | None = None) -> dict[str, int]:
+def index_folder(store: snapshots.Store, folder: str, embed: dense.Embed | None = dense.hashed_words, files: DataFrame | None = None, ocr: routing.Ocr | None = None) -> dict[str, int]:
     """Bring the index up to date with a folder: new and changed files are read, documents whose files are gone deleted.
 
     Returns the counters. Documents whose files still exist but are no longer
@@ -56,7 +56,7 @@ def index_folder(store: snapshots.Store, folder: str, embed: dense.Embed | None
     if indexed or deleted:
         # Companions may be unchanged themselves, so they are looked for among all files.
         whole = routing.with_companions(files).join(fresh.select("path"), "path", "left_semi")
-        store.apply(analysed(whole, embed, store.staged) if indexed else None, gone if deleted else None)
+        store.apply(analysed(whole, embed, store.staged, ocr) if indexed else None, gone if deleted else None)
         store.unstage()
     marks.unpersist()
     files.unpersist()
@@ -69,11 +69,11 @@ def remove_files(store: snapshots.Store, paths: list[str]) -> None:
     store.apply(gone=gone)
 
 
-def rebuild(store: snapshots.Store, folders: list[str], embed: dense.Embed | None = dense.hashed_words) -> dict[str, int]:
+def rebuild(store: snapshots.Store, folders: list[str], embed: dense.Embed | None = dense.hashed_words, ocr: routing.Ocr | None = None) -> dict[str, int]:
     """Clear, then index all folders; the counters are added up."""
     store.clear()
     total = dict.fromkeys(COUNTERS, 0)
     for f in folders:
-        for k, v in index_folder(store, f, embed).items():
+        for k, v in index_folder(store, f, embed, ocr=ocr).items():
             total[k] += v
     return total

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
@@ -28,21 +29,34 @@ class Chunk:
     symbols: list[Symbol] = field(default_factory=list)
 
 
+#: The text in a picture, given as the content of its file.
+Ocr = Callable[[bytes], str]
+
+
 @dataclass(frozen=True)
 class File:
-    """A file's content and what the listing knows of it; companions are subtitles beside a video."""
+    """A file's content and what the listing knows of it; companions are subtitles beside a video; ocr reads pictures, if given."""
 
     path: PurePosixPath
     content: bytes
     size: int
     mtime: float
     companions: tuple[tuple[str, bytes], ...] = ()
+    ocr: Ocr | None = None
 
     @property
     def text(self) -> str:
         return decoded(self.content)
 
 
+def recognised(ocr: Ocr, picture: bytes) -> str:
+    """What ocr reads; nothing if it fails, as one bad picture must not cost the file."""
+    try:
+        return (ocr(picture) or "").strip()
+    except Exception:  # noqa: BLE001
+        return ""
+
+
 def decoded(content: bytes, encoding: str = "utf-8", errors: str = "replace") -> str:
     """As text files are read: bad bytes replaced, line ends made one."""
     return content.decode(encoding, errors).replace("\r\n", "\n").replace("\r", "\n")

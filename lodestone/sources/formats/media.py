@@ -12,7 +12,7 @@ from pathlib import PurePosixPath
 from lodestone.functions.text import camel_parts
 
 from . import texts
-from .base import Chunk, File, decoded
+from .base import Chunk, File, decoded, recognised
 
 IMAGES = frozenset(".png .jpg .jpeg .webp .gif .bmp .tiff .svg".split())
 AUDIO = frozenset(".mp3 .wav .flac .ogg .m4a .aac .opus .wma".split())
@@ -81,12 +81,21 @@ def _picture(content: bytes, suffix: str) -> list[str]:
     return out + [f"{label}: {exif[k]}" for k, label in labels.items() if k in exif]
 
 
+# Least and most characters of the text in a picture.
+SAID_LEAST, SAID_MOST = 10, 3000
+
+
 # Fixed values, here and below: the labels that descriptions are made of.
 def image(f: File) -> list[Chunk]:
     if f.path.suffix.lower() == ".svg":
         return [_svg(f)]
     tags = path_tags(f.path)
-    return [_described([f"Görsel Dosyası: {f.path.name}", *([f"Etiketler ve Konum: {tags}"] if tags else []), *_picture(f.content, f.path.suffix)], f.path.name)]
+    out = _described([f"Görsel Dosyası: {f.path.name}", *([f"Etiketler ve Konum: {tags}"] if tags else []), *_picture(f.content, f.path.suffix)], f.path.name)
+    said = recognised(f.ocr, f.content) if f.ocr else ""
+    if len(said) >= SAID_LEAST:
+        out.text += f"\n\nGörsel İçi Okunan Metin (OCR):\n{said[:SAID_MOST]}"
+        out.end_line += said[:SAID_MOST].count("\n") + 2
+    return [out]
 
 
 # Tags of the audio formats and what they say.

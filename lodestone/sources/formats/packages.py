@@ -7,9 +7,10 @@ import re
 import tarfile
 import xml.etree.ElementTree as ET
 import zipfile
+from collections.abc import Iterator
 from functools import partial
 
-from .base import Chunk, File, cut, decoded
+from .base import Chunk, File, Ocr, cut, decoded, recognised
 
 OFFICE = frozenset(".docx .pptx .xlsx .odt .ods .odp .rtf .doc .ppt .xls".split())
 ARCHIVES = frozenset(".zip .tar .gz .tgz .bz2 .xz .epub".split())
@@ -28,10 +29,37 @@ def _stripped(nodes) -> list[str]:
     return [x for n in nodes if (x := (n.text or "").strip())]
 
 
+_MARKS = {f"{_WORD}tab": "\t", f"{_WORD}br": "\n", f"{_WORD}cr": "\n"}
+
+
+def _paragraph(p: ET.Element) -> str:
+    return "".join(e.text or "" if e.tag == f"{_WORD}t" else _MARKS.get(e.tag, "") for r in p.iter(f"{_WORD}r") for e in r).strip()
+
+
+def _rows(table: ET.Element) -> Iterator[str]:
+    """A line for each row: its cells that hold text. A cell over several columns counts in each, one over several rows in each of these."""
+    above: list[str] = []
+    for row in table.iterfind(f"{_WORD}tr"):
+        cells: list[str] = []
+        for cell in row.iterfind(f"{_WORD}tc"):
+            text = "\n".join(map(_paragraph, cell.iterfind(f"{_WORD}p"))).strip()
+            span = cell.find(f"{_WORD}tcPr/{_WORD}gridSpan")
+            down = cell.find(f"{_WORD}tcPr/{_WORD}vMerge")
+            if down is not None and down.get(f"{_WORD}val") != "restart" and len(cells) < len(above):
+                text = above[len(cells)]
+            cells += [text] * (1 if span is None else int(span.get(f"{_WORD}val", "1")))
+        above = cells
+        yield " | ".join(filter(None, cells))
+
+
 def _docx(z: zipfile.ZipFile, f: File) -> list[Chunk]:
+    """Paragraphs, then the rows of tables."""
     root = ET.fromstring(z.read("word/document.xml"))
-    paragraphs = ("".join(t.text or "" for t in p.iter(f"{_WORD}t")).strip() for p in root.iter(f"{_WORD}p"))
-    return OFFICE_CUT("\n\n".join(filter(None, paragraphs)), section_title=f.path.stem)
+    body = root.find(f"{_WORD}body")
+    body = root if body is None else body
+    blocks = [_paragraph(p) for p in body.iterfind(f"{_WORD}p")]
+    blocks += [r for t in body.iterfind(f"{_WORD}tbl") for r in _rows(t)]
+    return OFFICE_CUT("\n\n".join(filter(None, blocks)), section_title=f.path.stem)
 
 
 def _pptx(z: zipfile.ZipFile, f: File) -> list[Chunk]:
@@ -112,5 +140,20 @@ def pdf(f: File) -> list[Chunk]:
         return []
     out = []
     for n, page in enumerate(PdfReader(io.BytesIO(f.content)).pages, 1):
-        out += cut((page.extract_text() or "").strip(), page_number=n, section_title=f"Page {n}")
+        text = (page.extract_text() or "").strip()
+        if f.ocr and len(text) < SCANNED:
+            text = with_scans(text, [i.data for i in page.images], f.ocr)
+        out += cut(text, page_number=n, section_title=f"Page {n}")
     return out
+
+
+# Below so many characters a page counts as scanned; least and most characters of a picture, most of a page; the label.
+SCANNED, SCAN_LEAST, SCAN_MOST, PAGE_MOST = 30, 15, 2000, 4000
+SCAN_LABEL = "[OCR Sayfa Metni]:"
+
+
+def with_scans(text: str, pictures: list[bytes], ocr: Ocr) -> str:
+    """A page's text with what is read from its pictures."""
+    seen = (recognised(ocr, p) for p in pictures)
+    said = "\n".join(s[:SCAN_MOST] for s in seen if len(s) >= SCAN_LEAST)[:PAGE_MOST]
+    return f"{text}\n\n{SCAN_LABEL}\n{said}".strip() if said else text

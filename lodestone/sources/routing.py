@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.sources.formats import code, media, packages, texts
-from lodestone.sources.formats.base import Chunk, File
+from lodestone.sources.formats.base import Chunk, File, Ocr
 
 #: Families in the order in which they are asked; their suffixes don't overlap.
 FAMILIES: dict[str, tuple[frozenset[str], Callable[[File], list[Chunk]]]] = {
@@ -69,15 +69,15 @@ def with_companions(files: DataFrame) -> DataFrame:
     return files.join(found, "path", "left")
 
 
-def read_files(files: DataFrame) -> DataFrame:
-    """PARSED rows. files: path, content, size_bytes, mtime (and companions, if any)."""
+def read_files(files: DataFrame, ocr: Ocr | None = None) -> DataFrame:
+    """PARSED rows. files: path, content, size_bytes, mtime (and companions, if any). ocr: reads pictures and scanned pages, on the executors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
                 beside = tuple((c["name"], c["content"]) for c in (r.companions if r.companions is not None else ()))
-                for n, c in enumerate(read_file(File(PurePosixPath(r.path), r.content or b"", int(r.size_bytes), float(r.mtime), beside))):
+                for n, c in enumerate(read_file(File(PurePosixPath(r.path), r.content or b"", int(r.size_bytes), float(r.mtime), beside, ocr))):
                     rows.append((r.doc_id, n, c.text, c.page_number, c.section_title, c.code_type, c.symbol_name, c.start_line, c.end_line, [vars(s) for s in c.symbols]))
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text", "page_number", "section_title", "code_type", "symbol_name", "start_line", "end_line", "symbols"]).astype({"page_number": "Int32", "start_line": "Int32", "end_line": "Int32"})
 

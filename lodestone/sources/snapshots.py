@@ -16,18 +16,22 @@ that it read.
 from __future__ import annotations
 
 import json
+import logging
 import threading
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import dense, lexical
 from lodestone.schema import TABLES, WATCHED, Index
 
+log = logging.getLogger(__name__)
+
 POINTER = "CURRENT"
 #: Segments beyond which a commit compacts.
 SEGMENTS = 12
@@ -97,11 +101,24 @@ class Store:
             return {"segments": [], "deletions": []}
         return json.loads(self.spark.read.text(self._manifest_path(v), wholetext=True).first()[0])
 
+    def _segment(self, at: str, name: str) -> DataFrame | None:
+        """A segment's rows; None for vectors that are damaged or missing, as a search goes on without them."""
+        try:
+            return self.spark.read.parquet(f"{self.root}/segments/{at}/{name}")
+        except (PySparkException, Py4JJavaError) as e:
+            if name != "vectors":
+                raise
+            log.warning("vectors of segment %s can't be read, going on without them: %s", at, str(e).split("\n")[0])
+            return None
+
     def _stored(self, name: str, manifest: dict) -> DataFrame | None:
         """All rows of a table that count, with doc_id; None without a segment."""
         out = None
         for n, at in manifest["segments"]:
-            df = self.spark.read.parquet(f"{self.root}/segments/{at}/{name}").withColumn("_segment", F.lit(n))
+            df = self._segment(at, name)
+            if df is None:
+                continue
+            df = df.withColumn("_segment", F.lit(n))
             out = df if out is None else out.unionByName(df)
         if out is None:
             return None

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.plans import indexing
 from lodestone.plans import search as S
 from lodestone.sources import listing, routing
+from lodestone.sources.formats import packages
 from lodestone.sources.formats.base import File
 from lodestone.sources.snapshots import Store, changes
 from lodestone.streaming import watch
@@ -86,7 +87,14 @@ def test_texts():
 def test_packages():
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     a = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
-    assert read("r.docx", zipped(word__document_DOT_xml=f"<w:d {w}><w:p><w:t>One</w:t><w:t> two</w:t></w:p><w:p><w:t>three</w:t></w:p></w:d>"))[0].text == "One two\n\nthree"
+    assert read("r.docx", zipped(word__document_DOT_xml=f"<w:d {w}><w:p><w:r><w:t>One</w:t><w:t> two</w:t></w:r></w:p><w:p><w:r><w:t>three</w:t></w:r></w:p></w:d>"))[0].text == "One two\n\nthree"
+    p = lambda t: f"<w:p><w:pPr><w:tabs><w:tab/></w:tabs></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>"
+    cell = lambda t, how="": f"<w:tc><w:tcPr>{how}</w:tcPr>{p(t)}</w:tc>"
+    down = "<w:vMerge w:val='restart'/>", "<w:vMerge/>"
+    rows = [cell("a") + cell("") + cell("b"), cell("both", "<w:gridSpan w:val='2'/>") + cell("c"), cell("x", down[0]) + cell("y"), cell("", down[1]) + cell("z"), cell("")]
+    table = "".join(f"<w:tr>{r}</w:tr>" for r in rows)
+    found = read("t.docx", zipped(word__document_DOT_xml=f"<w:d {w}><w:body>{p('before')}<w:tbl>{table}</w:tbl>{p('after')}</w:body></w:d>"))
+    assert found[0].text == "before\n\nafter\n\na | b\n\nboth | both | c\n\nx | y\n\nx | z"
     slides = read("r.pptx", zipped(ppt__slides__slide10_DOT_xml=f"<p {a}><a:t>ten</a:t></p>", ppt__slides__slide2_DOT_xml=f"<p {a}><a:t>two</a:t></p>"))
     assert [(c.text, c.page_number, c.section_title) for c in slides] == [("two", 1, "Slide 1"), ("ten", 2, "Slide 2")]
     s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -130,6 +138,27 @@ def tree(tmp_path):
     return d
 
 
+def test_text_in_pictures():
+    f = lambda name, ocr: File(PurePosixPath(f"/d/{name}"), b"pixels", 6, 0.0, (), ocr)
+    said = routing.read_file(f("a.png", lambda content: f" {content.decode()} say\nhello "))[0]
+    assert said.text.endswith("\n\nGörsel İçi Okunan Metin (OCR):\npixels say\nhello") and said.end_line == said.text.count("\n")
+    plain = routing.read_file(f("a.png", None))[0].text
+    assert "OCR" not in plain
+    assert routing.read_file(f("a.png", lambda content: "short"))[0].text == plain
+    assert routing.read_file(f("a.png", lambda content: 1 / 0))[0].text == plain
+    assert packages.with_scans("p. 3", [b"1", b"2", b"3"], lambda b: "x" * 14 if b == b"1" else "y" * 5000) == "p. 3\n\n[OCR Sayfa Metni]:\n" + ("y" * 2000 + "\n" + "y" * 2000)[:4000]
+    assert packages.with_scans("p. 3", [b"1"], lambda b: "") == "p. 3"
+
+
+def test_damaged_vectors(spark, tree, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    indexing.index_folder(store, str(tree))
+    n = store.index.chunks.count()
+    for part in (tmp_path / "store").glob("segments/*/vectors/*"):
+        part.unlink() if part.name.startswith((".", "_")) else part.write_bytes(b"no parquet")
+    assert store.index.vectors.count() == 0 and store.index.chunks.count() == n
+
+
 def test_listing(spark, tree):
     got = {os.path.relpath(r.path, tree): r for r in listing.folder(spark, str(tree)).collect()}
     assert set(got) == {"__init__.py", "notes.md", "sub/film.mkv", "sub/film.srt"}
