@@ -1,10 +1,8 @@
-"""Registered queries and their SQL oracles."""
+"""Queries over the synthetic tables and their SQL oracles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import config
@@ -12,7 +10,9 @@ from lodestone.functions import text as T
 from lodestone.functions.chunking import chunked
 from lodestone.operators import dense, lexical, lookup
 from lodestone.plans import library as L
+from lodestone.plans import readers  # noqa: F401  it registers its queries
 from lodestone.plans import search as S
+from lodestone.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from lodestone.plans.syntax import parse
 from lodestone.schema import Index
 from lodestone.session import shared_folder
@@ -23,18 +23,6 @@ WORDS = "thanti ores enin"
 TERMS = WORDS.split()
 NOW = L.EPOCH + 900 * 3600.0
 FLAGSHIP = "hybrid_search"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return add
 
 
 def _exact(df: DataFrame, *columns: str) -> DataFrame:
