@@ -420,7 +420,29 @@ def human_sizes(spark, sf):
 # -- reading files ---------------------------------------------------------------------
 
 
-@query("chunks")
+_SEEN = "CAST(greatest(1, floor(len(regexp_extract_all({0}, '\\S+')) * 1.3::DOUBLE)) AS INTEGER)"
+_MOST, _AGAIN = config.CHUNK_TOKENS, config.CHUNK_OVERLAP
+#: Packs of paragraphs, and of sentences where a paragraph is too long, by one recursion each.
+_CHUNKS = f"""WITH RECURSIVE pars AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
+par AS (SELECT doc_id, p, t, {_SEEN.format('t')} AS n FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS p FROM pars)),
+lists AS (SELECT doc_id, p, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM par WHERE n > {_MOST}),
+sen AS (SELECT doc_id, p, s, t, {_SEEN.format('t')} AS n, s = len(l) AS ends FROM (SELECT doc_id, p, l, unnest(l) AS t, generate_subscripts(l, 1) AS s FROM lists)),
+bys AS (SELECT doc_id, p, s, ends, NULL::VARCHAR[] AS given, [t] AS pack, [n] AS held FROM sen WHERE s = 1 UNION ALL
+ SELECT b.doc_id, b.p, x.s, x.ends, CASE WHEN f THEN b.pack END, list_append(CASE WHEN f THEN b.pack[-2:] ELSE b.pack END, x.t), list_append(CASE WHEN f THEN b.held[-2:] ELSE b.held END, x.n)
+ FROM (SELECT b.*, list_sum(b.held) + x.n > {_MOST} AS f FROM bys b JOIN sen x ON x.doc_id = b.doc_id AND x.p = b.p AND x.s = b.s + 1) b JOIN sen x ON x.doc_id = b.doc_id AND x.p = b.p AND x.s = b.s + 1),
+byp AS (SELECT doc_id, 0::BIGINT AS p, NULL::VARCHAR[] AS given, []::VARCHAR[] AS pack, []::INTEGER[] AS held FROM pars UNION ALL
+ SELECT doc_id, p + 1, CASE WHEN f THEN pack END, CASE WHEN n > {_MOST} THEN [] ELSE list_append(CASE WHEN NOT f THEN pack WHEN a THEN pack[-1:] ELSE [] END, t) END,
+ CASE WHEN n > {_MOST} THEN [] ELSE list_append(CASE WHEN NOT f THEN held WHEN a THEN held[-1:] ELSE [] END, n) END
+ FROM (SELECT b.*, x.n, x.t, len(pack) > 0 AND (x.n > {_MOST} OR list_sum(held) + x.n > {_MOST}) AS f, x.n <= {_MOST} AND len(pack) > 1 AND held[-1] <= {_AGAIN} AS a FROM byp b JOIN par x ON x.doc_id = b.doc_id AND x.p = b.p + 1)),
+packs AS (SELECT doc_id, p, 0 AS s, array_to_string(given, chr(10) || chr(10)) AS text FROM byp WHERE given IS NOT NULL
+ UNION ALL SELECT doc_id, p, s, array_to_string(given, ' ') FROM bys WHERE given IS NOT NULL
+ UNION ALL SELECT doc_id, p, s + 1, array_to_string(pack, ' ') FROM bys WHERE ends
+ UNION ALL SELECT doc_id, p + 1, 0, array_to_string(pack, chr(10) || chr(10)) FROM byp JOIN (SELECT doc_id, len(l) AS p FROM pars) USING (doc_id, p) WHERE len(pack) > 0),
+counted AS (SELECT *, row_number() OVER w AS i, len(string_split(text, chr(10))) AS lines, sum(len(string_split(text, chr(10)))) OVER w AS upto FROM packs WINDOW w AS (PARTITION BY doc_id ORDER BY p, s))
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, text, CAST(upto - lines + 1 AS INTEGER) AS start_line, CAST(upto AS INTEGER) AS end_line FROM counted"""
+
+
+@query("chunks", _CHUNKS)
 def chunks(spark, sf):
     """Documents cut along paragraphs and sentences (sequential within a text, so by an Arrow function)."""
 

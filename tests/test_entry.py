@@ -3,11 +3,14 @@
 import glob
 import math
 import os
+import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
+from lodestone.functions.chunking import chunked
 from lodestone.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +47,15 @@ def test_query_without_an_oracle_gives_rows(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_oracle_of_chunks_packs_paragraphs_as_the_chunker():
+    r = random.Random(5)
+    sentence = lambda: " ".join("w" * r.randint(1, 9) for _ in range(r.choice((3, 20, 60, 500)))) + r.choice((".", "!", "", "?"))
+    paragraph = lambda: r.choice((" ", "\n", "  ")).join(sentence() for _ in range(r.choice((1, 1, 2, 9))))
+    texts = ["", " \n\n ", *(r.choice(("\n\n", "\n \n\n")).join(paragraph() for _ in range(r.randint(1, 9))) for _ in range(60))]
+    docs = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    c = duckdb.connect()
+    c.register("documents", docs)
+    want = [(d, n, *x) for d, t in enumerate(texts) for n, x in enumerate(chunked(t))]
+    assert sorted(c.sql(catalog.ORACLES["chunks"]).project("doc_id, chunk_index, text, start_line, end_line").fetchall()) == want
