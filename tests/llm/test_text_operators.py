@@ -316,6 +316,30 @@ def test_quality_sees_the_vocabulary_of_the_whole_text():
     assert of(few[: 6 * 100])["least_distinct"] < 0.9
 
 
+def test_quality_fits_on_all_labelled_rows(spark):
+    rng = np.random.default_rng(8)
+    n = 9000  # more than the 4,096 rows that were once the most
+    table = np.column_stack([np.full(n, 100.0), np.full((n, 4), 0.0), rng.normal(0.3, 0.02, (n, len(quality.FEATURES)))])
+    good = np.arange(n) % 6 > 0
+    table[~good, 5] += rng.normal(0.05, 0.03, n - good.sum())
+    rows = [(i, *map(int, r[:5]), *map(float, r[5:])) for i, r in enumerate(table)]
+    measured = spark.createDataFrame([*rows, (n, 10, *rows[0][2:]), (None, *rows[1][1:])], quality.SCHEMA).repartition(5)
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)] + [(n, 1)], "doc_id long, quality int")
+    judge = quality.fit(measured, labels)
+    x = table[:, 5:]
+    forest = quality.Forest.grow(x[good], np.array([x.min(0), x.max(0)]))
+    assert (forest.cut == judge.forest.cut).all() and (forest.feature == judge.forest.feature).all()
+    score = forest.score(x)
+    assert judge.threshold == quality.calibrate(score[good], score[~good])
+    # By the definition: the best of all thresholds that lose at most that share of all good rows.
+    lost = lambda c: (score[good] > c).mean()
+    gain = lambda c: (score[~good] > c).mean() - lost(c)
+    assert lost(judge.threshold) <= quality.MOST_LOST and gain(judge.threshold) == max(gain(c) for c in score if lost(c) <= quality.MOST_LOST)
+    # Each good row is in every tree.
+    counts = quality.Cuts.draw(np.array([x.min(0), x.max(0)])).count(x[good])
+    assert (counts.sum(1) == good.sum()).all()
+
+
 def test_forest_parts_junk_from_prose():
     rng = np.random.default_rng(2)
     good, bad = rng.normal(0.3, 0.02, (600, 5)), rng.normal(0.3, 0.02, (200, 5))
