@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrays, discard, materialize, pieces
+from .common import Gate, arrays, discard, materialize, pieces
 from .components import components
 
 WORDS = 5
@@ -288,9 +288,10 @@ def _relieve(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> tuple[Data
     # Dealt by the class: what the few leaders hold travels to every bucket, each class to one.
     pairs = materialize(tried.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct().withColumn("node", F.xxhash64("a")), "tried")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(_sets(docs, classes.select("id", "doc_id", "text_key").join(wanted, "id")), "sets")
+    wanted = materialize(classes.select("id", "doc_id", "text_key").join(wanted, "id"), "wanted")
+    sets = materialize(_sets(docs, wanted), "sets")
     sure = materialize(_confirm(pairs, sets), "links")
-    discard(sets)
+    discard(sets, wanted)
     same = tried.join(sure.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.lit(True).alias("sure")), ["id", "leader"], "left")
     linked = same.where("sure or id = leader").select("node", "id", "leader")
     leads = linked.where("id = leader").select("node", F.col("id").alias("lead"))
@@ -469,8 +470,22 @@ def _compare(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.select(bucket, "node", "id", "part", "n_shingles", "signature").groupBy("bucket").applyInPandas(run, "a long, b long, node long, dense boolean")
 
 
+def _gated(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text, text_key of the rows of docs that a gate of the wanted ones lets through: all of these, and few others."""
+    of = lambda x: F.xxhash64(x["doc_id"], x["text_key"])
+    shared = docs.sparkSession.sparkContext.broadcast(Gate(wanted.select(of(wanted).alias("key"))))
+
+    @F.pandas_udf("boolean")
+    def let(key: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.has(key.to_numpy().view(np.uint64)))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.where(let(of(rows)))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, set (sorted 64-bit hashes) of the wanted classes, each from one row of docs."""
+    """id, set (sorted 64-bit hashes) of the wanted classes, each from one row of docs. Only texts that may be wanted are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("id", pa.int64()), ("set", pa.binary())])
@@ -478,8 +493,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for b in pieces(whole):
                 yield arrays(out, [b.column(0), [shingles(t or "").tobytes() for t in b.column(1).to_pylist()]])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = _gated(docs, wanted)
     same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_key"] == wanted["text_key"])
     return rows.join(wanted.hint("shuffle_hash"), same).select("id", "text").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrays, discard, materialize, pieces
+from .common import Gate, arrays, discard, materialize, pieces
 
 #: Shares of all tokens from which words, and pairs and triples of such words, travel to the workers: at most the inverse of each.
 HOT_SYMBOL = 2e-6
@@ -39,8 +39,6 @@ LEAST = 3
 DISCOUNT = 0.75
 #: Distinct keys that a task counts before it hands them on.
 HOLD = 150_000
-#: log2 of a gate's bits.
-GATE_BITS = 27
 
 END, OTHER, BEGIN, FIRST = 0, 1, 2, 3
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -120,29 +118,6 @@ def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Gate:
-    """A bitmap of keys by their first bits: has() is true for all of them, and for few others while it is sparse."""
-
-    def __init__(self, keys: DataFrame):
-        """keys: key (a 64-bit hash). The bitmap is made in parts, one for each of the first byte's values."""
-
-        def run(part: pa.Table) -> pa.Table:
-            slot = part.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - GATE_BITS)
-            bits = np.zeros(1 << (GATE_BITS - 8), np.uint8)
-            bits[(slot & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
-            return pa.table({"part": pa.array([int(slot[0]) >> (GATE_BITS - 8)], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-        parts = keys.select(F.shiftrightunsigned("key", 56).alias("part"), "key").groupBy("part").applyInArrow(run, "part int, bits binary").toArrow()
-        whole = np.zeros((256, 1 << (GATE_BITS - 11)), np.uint8)
-        for part, bits in zip(parts.column(0).to_pylist(), parts.column(1), strict=True):
-            whole[part] = np.frombuffer(bits.as_buffer(), np.uint8)
-        self.bits = whole.reshape(-1)
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        slot = keys >> np.uint64(64 - GATE_BITS)
-        return (self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of wanted are among the sorted keys, and where."""
     if not len(keys):

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -208,6 +209,26 @@ def test_near_dedup_beside_a_large_group(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.groups(df).collect()) == _groups(rows)
 
 
+def test_near_dedup_shuffles_only_texts_that_may_be_wanted(spark):
+    docs = spark.createDataFrame([(i if i else None, f"text number {i}") for i in range(3000)], "doc_id long, text string").repartition(3)
+    keyed = docs.withColumn("id", F.expr("coalesce(doc_id, 0) + 7")).withColumn("text_key", F.xxhash64("text"))
+    wanted = materialize(keyed.where("id in (7, 8, 507)").select("id", "doc_id", "text_key"))
+    through = {r.text for r in neardup._gated(docs, wanted).collect()}
+    assert {"text number 0", "text number 1", "text number 500"} <= through and len(through) < 6
+    got = {r.id: r.set for r in neardup._sets(docs, wanted).collect()}
+    assert got == {i + 7: neardup.shingles(f"text number {i}").tobytes() for i in (0, 1, 500)}
+    assert neardup._gated(docs, wanted.where("id < 0")).count() == 0
+
+
+def test_materialize_leaves_no_shuffle_files(spark):
+    spark.sparkContext._jvm.System.gc()
+    blocks = lambda: sum(p.stat().st_size for p in Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*.data"))
+    before = blocks()
+    table = materialize(spark.range(200_000).select(F.col("id") % 70_001, F.xxhash64("id").alias("x")).repartition(5, "x"))
+    assert table.count() == 200_000
+    assert blocks() - before < 100_000
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(i, i + 1) for i in range(100, 300)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1500, (300, 2)) if a != b] + [(5000, i) for i in range(5001, 5400)]
