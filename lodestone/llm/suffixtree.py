@@ -19,6 +19,7 @@ from being joined: it lets too many through, never too few.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,6 +38,8 @@ HOT_GRAM = 1e-6
 #: Occurrences that a state's next word needs, at least.
 LEAST = 3
 DISCOUNT = 0.75
+#: Parts of the rows that are scored one after the other, so that one part's keys are on disk at a time.
+PARTS = 2
 #: Distinct keys that a task counts before it hands them on.
 HOLD = 150_000
 
@@ -46,7 +49,19 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPARK_SEED = 42
 #: Hashes of words that a worker remembers.
 _REMEMBER = 500_000
-_known: dict[bytes, int] = {}
+
+
+class _Hashes(dict):
+    """word -> its hash, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > _REMEMBER:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, SPARK_SEED)
+        return h
+
+
+_known = _Hashes()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -91,21 +106,12 @@ def _symbols(texts: list, ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array(starts, np.int64)
 
 
-def _hash(word: bytes) -> int:
-    h = _known.get(word)
-    if h is None:
-        if len(_known) > _REMEMBER:
-            _known.clear()
-        h = _known[word] = xxhash.xxh64_intdigest(word, SPARK_SEED)
-    return h
-
-
 def _hashes(texts: list) -> np.ndarray:
     """All texts' words as 64-bit hashes, BEGIN before and END after each: places as in `_symbols`."""
     out: list[int] = []
     for t in texts:
         out.append(BEGIN)
-        out.extend(map(_hash, words_of(t)))
+        out.extend(map(_known.__getitem__, words_of(t)))
         out.append(END)
     return np.array(out, np.uint64)
 
@@ -287,13 +293,14 @@ def learn(train: DataFrame, counts: DataFrame, total: int, distinct: int, ends:
     three = triples.join(pairs.select(F.col("key").alias("front"), F.col("n").alias("all")), "front").join(shorter, "tail")
     two_words = materialize(_states(three), "states")
     three = materialize(_gains(three, two_words), "gains")
+    gains = two
     two = two.join(two_words.withColumnRenamed("front", "key"), "key", "left").withColumn("back", F.coalesce("back", F.lit(0.0)))
     two = materialize(two.select("g0", "g1", "key", "n", "gain", "back"), "gains")
     weights = two.select("key", (F.col("gain") + F.col("back")).alias("weight")).union(three.select("key", F.col("gain").alias("weight")))
     grams = materialize(weights.where("weight != 0"), "weights")
     words = one_word.withColumnRenamed("front", "key")
     model = Model(words, grams, _hot(counts, total, words, two, three))
-    discard(vocabulary, pairs, triples, two_words)
+    discard(vocabulary, pairs, triples, two_words, gains, two, three)
     return model
 
 
@@ -387,6 +394,25 @@ def _weights(counts: DataFrame, model: Model | None, z: float, hot: float) -> Da
     return often.union(seldom).union(model.grams.select("key", F.lit(0.0).alias("gain"), F.lit(0).alias("known"), "weight"))
 
 
+def _scored(rows: DataFrame, tree: Tree, logs: dict, gate: Gate, weights: DataFrame, total: int) -> DataFrame:
+    """The scores of rows, as `score` gives them."""
+    # Neither side has a hot key: what is frequent has travelled. A text's own row meets no weight but by chance, which doesn't count.
+    joined = _score_pass(rows, tree, logs, gate).join(weights.hint("shuffle_hash"), "key", "left")
+    is_key = F.col("doc").isNull()
+    add = lambda c: F.coalesce(F.sum(F.when(is_key, F.col(c))), F.lit(0)).alias(c)
+    whole = joined.groupBy("row").agg(F.first("doc", ignorenulls=True).alias("doc"), add("gain"), add("known"), add("weight"))
+    base = F.col("doc.base") + F.col("gain")
+    return whole.select(
+        "doc.doc_id",
+        "doc.held_out",
+        "doc.n_tokens",
+        (F.col("doc.known") + F.col("known")).cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
+        (base + F.col("doc.correction") + F.col("weight")).alias("score"),
+    )
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
 
@@ -413,18 +439,8 @@ def score(docs: DataFrame) -> DataFrame:
     uni[END] = ends
     logs = {"root": np.log10((uni + 0.5) / z), "known": uni > 0}
     hot = max(LEAST, HOT_SYMBOL * total)
-    # Neither side has a hot key: what is frequent has travelled. A text's own row meets no weight but by chance, which doesn't count.
-    joined = _score_pass(rows, tree, logs, gate).join(_weights(counts, model, z, hot).hint("shuffle_hash"), "key", "left")
-    is_key = F.col("doc").isNull()
-    add = lambda c: F.coalesce(F.sum(F.when(is_key, F.col(c))), F.lit(0)).alias(c)
-    whole = joined.groupBy("row").agg(F.first("doc", ignorenulls=True).alias("doc"), add("gain"), add("known"), add("weight"))
-    base = F.col("doc.base") + F.col("gain")
-    return whole.select(
-        "doc.doc_id",
-        "doc.held_out",
-        "doc.n_tokens",
-        (F.col("doc.known") + F.col("known")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("doc.correction") + F.col("weight")).alias("score"),
-    )
+    weights = _weights(counts, model, z, hot)
+    # By what a row holds: its place may differ from one reading to the next.
+    parts = [materialize(_scored(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == k), tree, logs, gate, weights, total), "scored") for k in range(PARTS)]
+    discard(counts, *([model.grams] if model else []))
+    return functools.reduce(DataFrame.unionByName, parts)

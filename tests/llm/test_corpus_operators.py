@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import components, linededup, neardup, suffixtree, topk
+from lodestone.llm import common, components, linededup, neardup, suffixtree, topk
 from lodestone.llm.common import materialize
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -343,6 +343,17 @@ def test_suffix_tree_base(docs, no_docs, rows):
     assert suffixtree.score(no_docs).count() == 0
 
 
+def test_suffix_tree_in_parts_leaves_only_what_its_result_reads(docs, monkeypatch):
+    got = []
+    for parts in (1, 3):
+        monkeypatch.setattr(suffixtree, "PARTS", parts)
+        before = set(common._written)
+        got.append(Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in suffixtree.score(docs).collect()))
+        left = Counter(p.rsplit("/", 1)[1].split("-")[0] for p in common._written - before)
+        assert left == {"scored": parts, "states": 1}
+    assert got[0] == got[1] and got[0].total() == docs.count()
+
+
 def test_suffix_tree_only_held_out_rows(spark):
     i = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = suffixtree.score(spark.createDataFrame([(i, "a b")], "doc_id long, text string")).first()
