@@ -15,6 +15,9 @@ corpus. Weights of the most frequent words, pairs and triples travel to the
 workers and need no join (`HOT_SYMBOL`, `HOT_GRAM`: no score depends on them),
 and a bitmap of fixed size (`GATE_BITS`) keeps most grams that have no weight
 from being joined: it lets too many through, never too few.
+
+Grams and keys are too many for a row each: tasks deal them to buckets by hash
+and hand on one value a bucket (`_dealt`), which holds them column by column.
 """
 
 from __future__ import annotations
@@ -48,7 +51,10 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: With this seed xxh64 gives what Spark's xxhash64 does.
 SPARK_SEED = 42
 #: Hashes of words that a worker remembers.
-_REMEMBER = 500_000
+_REMEMBER = 250_000
+#: Training tokens for each bucket of grams, and of keys that are scored.
+GRAM_TOKENS = 1 << 20
+KEY_TOKENS = 1 << 21
 
 
 class _Hashes(dict):
@@ -124,6 +130,32 @@ def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _buckets(tokens: int, each: int) -> int:
+    return max(8, -(-tokens // each))
+
+
+def _dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+    """The buckets that occur, and what each gets of the columns (in their order): a column's values, then the next one's."""
+    by = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+    bucket, columns = bucket[by], [c[by] for c in columns]
+    ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], np.ones(min(len(bucket), 1), bool))) + 1
+    at = np.append(0, ends)[:-1]
+    return bucket[at].astype(np.int32), [b"".join(c[i:j].tobytes() for c in columns) for i, j in zip(at, ends, strict=True)]
+
+
+def _columns(values: list[bytes], types: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of values that `_dealt` made, one after the other; how many rows each value has."""
+    types = [np.dtype(t) for t in types]
+    rows = [len(x) // sum(t.itemsize for t in types) for x in values]
+    parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in types]
+    for x, n in zip(values, rows, strict=True):
+        at = 0
+        for t, part in zip(types, parts, strict=True):
+            part.append(np.frombuffer(x, t, n, at))
+            at += n * t.itemsize
+    return [np.concatenate(x) for x in parts], np.array(rows, np.int64)
+
+
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of wanted are among the sorted keys, and where."""
     if not len(keys):
@@ -170,31 +202,36 @@ class Tree:
         return total
 
 
-def _count_grams(train: DataFrame, order: int, gate: Gate) -> DataFrame:
-    """g0, g1(, g2), n of the grams of `order` words seen at least LEAST times, as hashes.
+def _deal_grams(train: DataFrame, order: int, gate: Gate, buckets: int) -> DataFrame:
+    """bucket, data (the words' hashes and the count) of the grams of `order` words; each task adds up what it holds.
 
-    gate: has the grams that are a word shorter and that often, for no other
+    gate: has the grams that are a word shorter and frequent enough, for no other
     can be part of one.
     """
-    names = [f"g{k}" for k in range(order)]
     shared = train.sparkSession.sparkContext.broadcast(gate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([(x, pa.int64()) for x in [*names, "n"]])
+        out = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+        gate = shared.value
         held: list[np.ndarray] = []
 
         def merged() -> np.ndarray:
-            g = np.concatenate(held, axis=1) if held else np.zeros((order + 2, 0), np.uint64)
+            g = np.concatenate(held, axis=1)
             _, first, at = np.unique(g[0], return_index=True, return_inverse=True)
             n = np.bincount(at, g[-1], len(first)).astype(np.uint64)
             return np.vstack([g[:-1, first], n])
 
+        def handed(g: np.ndarray) -> pa.RecordBatch:
+            # By the first word, so that it is written once when compressed.
+            g = g[:, np.argsort(g[1])]
+            return arrays(out, [*_dealt(g[0] % np.uint64(buckets), [*g[1:-1], g[-1].astype(np.uint32)])])
+
         for whole in batches:
             for b in pieces(whole):
                 h = _hashes(b.column(0).to_pylist())
                 shorter = h if order == 2 else _key(h[:-1], h[1:])
                 last = h[order - 1 :]
-                ok = gate_has(shorter)
+                ok = gate.has(shorter)
                 ok = ok[:-1] & ok[1:]
                 # A gram doesn't reach over a text's end.
                 for k in range(1, order):
@@ -206,31 +243,30 @@ def _count_grams(train: DataFrame, order: int, gate: Gate) -> DataFrame:
                 if sum(x.shape[1] for x in held) > 4 * HOLD:
                     held = [merged()]
                     if held[0].shape[1] > 2 * HOLD:
-                        yield arrays(out, list(held[0][1:].view(np.int64)))
+                        yield handed(held[0])
                         held = []
         if held:
-            yield arrays(out, list(merged()[1:].view(np.int64)))
-
-    def gate_has(keys: np.ndarray) -> np.ndarray:
-        return shared.value.has(keys)
+            yield handed(merged())
 
-    counted = train.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("n"))
-    return _keyed(counted.where(F.col("n") >= LEAST), order)
+    return train.select("text").mapInArrow(run, "bucket int, data binary")
 
 
-def _keyed(grams: DataFrame, order: int) -> DataFrame:
-    """grams with their key, and that of what comes before (front) and without the first word (tail)."""
-    names = [f"g{k}" for k in range(order)]
+def _count_grams(train: DataFrame, order: int, gate: Gate, buckets: int) -> DataFrame:
+    """g0, g1(, g2), n of the grams of `order` words seen at least LEAST times, as hashes; their key, and that of what comes before (front) and without the first word (tail)."""
+    names = [*[f"g{k}" for k in range(order)], "n", "key", "front", "tail"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([(x, pa.int64()) for x in [*names, "n", "key", "front", "tail"]])
-        for b in batches:
-            g = [b.column(k).to_numpy().view(np.uint64) for k in range(order)]
-            front = g[0] if order == 2 else _key(g[0], g[1])
-            tail = g[1] if order == 2 else _key(g[1], g[2])
-            yield arrays(out, [*b.columns, *(x.view(np.int64) for x in (_key(front, g[-1]), front, tail))])
+    def add(t: pa.Table) -> pa.Table:
+        (*g, n), _ = _columns(t.column("data").to_pylist(), [np.uint64] * order + [np.uint32])
+        key = _key(g[0] if order == 2 else _key(g[0], g[1]), g[-1])
+        _, first, at = np.unique(key, return_index=True, return_inverse=True)
+        n = np.bincount(at, n, len(first)).astype(np.int64)
+        first, n = first[n >= LEAST], n[n >= LEAST]
+        g = [x[first] for x in g]
+        front = g[0] if order == 2 else _key(g[0], g[1])
+        tail = g[1] if order == 2 else _key(g[1], g[2])
+        return pa.table([pa.array(x.view(np.int64)) for x in (*g, n, key[first], front, tail)], names)
 
-    return grams.select(*names, "n").mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "n", "key", "front", "tail"]))
+    return _deal_grams(train, order, gate, buckets).groupBy("bucket").applyInArrow(add, ", ".join(f"{x} long" for x in names))
 
 
 def _states(grams: DataFrame) -> DataFrame:
@@ -283,12 +319,12 @@ def learn(train: DataFrame, counts: DataFrame, total: int, distinct: int, ends:
 
     marks = spark.createDataFrame([(BEGIN, ends), (END, ends)], "key long, all long")
     vocabulary = materialize(counts.where(F.col("n") >= LEAST).select(F.xxhash64("word").alias("key"), F.col("n").alias("all")).unionByName(marks), "vocabulary")
-    pairs = materialize(_count_grams(train, 2, Gate(vocabulary)), "grams")
+    pairs = materialize(_count_grams(train, 2, Gate(vocabulary), _buckets(total, GRAM_TOKENS)), "grams")
     of = vocabulary.select(F.col("key").alias("tail"), (F.col("all") / total).alias("p"), ((F.col("all") + 0.5) / z).alias("below"))
     two = pairs.join(vocabulary.withColumnRenamed("key", "front"), "front").join(of, "tail")
     one_word = materialize(_states(two), "states")
     two = materialize(_gains(two, one_word), "gains")
-    triples = materialize(_count_grams(train, 3, Gate(pairs)), "grams")
+    triples = materialize(_count_grams(train, 3, Gate(pairs), _buckets(total, GRAM_TOKENS)), "grams")
     shorter = two.select(F.col("key").alias("tail"), (F.col("n") / F.col("all")).alias("p"), F.col("prob").alias("below"))
     three = triples.join(pairs.select(F.col("key").alias("front"), F.col("n").alias("all")), "front").join(shorter, "tail")
     two_words = materialize(_states(three), "states")
@@ -337,7 +373,8 @@ def _hot(counts: DataFrame, total: int, words: DataFrame, two: DataFrame, three:
 
 
 _DOC = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("correction", pa.float64())])
-SCORED = "row long, key long, doc struct<doc_id: long, held_out: boolean, n_tokens: long, known: long, base: double, correction: double>"
+_DEALT = pa.schema([("bucket", pa.int32()), ("row", pa.int64()), ("data", pa.binary()), ("doc", _DOC)])
+DEALT = "bucket int, row long, data binary, doc struct<doc_id: long, held_out: boolean, n_tokens: long, known: long, base: double, correction: double>"
 
 
 def _unjoined(h: np.ndarray, s: np.ndarray, known: tuple, gate: Gate) -> tuple[np.ndarray, np.ndarray]:
@@ -351,15 +388,19 @@ def _unjoined(h: np.ndarray, s: np.ndarray, known: tuple, gate: Gate) -> tuple[n
     return np.concatenate([rare, a, b]), np.concatenate([h[rare], two[a], three[b]])
 
 
-def _score_pass(rows: DataFrame, tree: Tree, logs: dict, gate: Gate) -> DataFrame:
-    """A row for each text, with what the tree knows of it, and a row for each key of it that is to be joined (doc is null there).
+def _row_bucket(row: np.ndarray, buckets: int) -> np.ndarray:
+    """Rows beside each other are brought together."""
+    return (row >> 6) % buckets
+
+
+def _score_pass(rows: DataFrame, tree: Tree, logs: dict, gate: Gate, buckets: int) -> DataFrame:
+    """A row for each text, with what the tree knows of it, and for each bucket the keys that are to be joined (doc is null there) with their texts' rows, counted from `row`.
 
     The words that the tree doesn't know are taken for unseen ones at first.
     """
     shared = rows.sparkSession.sparkContext.broadcast((tree, logs, gate))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("doc", _DOC)])
         tree, logs, gate = shared.value
         root, known = logs["root"], logs["known"]
         for whole in batches:
@@ -372,45 +413,85 @@ def _score_pass(rows: DataFrame, tree: Tree, logs: dict, gate: Gate) -> DataFram
                 n_tokens = np.diff(np.append(starts, len(s))) - 1
                 docs = pa.StructArray.from_arrays([b.column(0), b.column(2), pa.array(n_tokens), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1])], fields=list(_DOC))
                 row = b.column(3).to_numpy()
-                yield pa.RecordBatch.from_arrays([b.column(3), b.column(3), docs], schema=out)
+                yield arrays(_DEALT, [_row_bucket(row, buckets), row, pa.nulls(len(row), pa.binary()), docs])
                 place, key = _unjoined(_hashes(texts), s, hot, gate)
-                mine = row[np.searchsorted(starts, place, "right") - 1]
-                for i in range(0, len(key), 100_000):
-                    part = key[i : i + 100_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(mine[i : i + 100_000]), pa.array(part), pa.nulls(len(part), _DOC)], schema=out)
+                by = np.argsort(place)
+                after = (row - row[0]).astype(np.uint32)[np.searchsorted(starts, place[by], "right") - 1]
+                bucket, data = _dealt(key[by] % np.uint64(buckets), [after, key[by]])
+                yield arrays(_DEALT, [bucket, np.full(len(bucket), row[0]), data, pa.nulls(len(bucket), _DOC)])
 
-    return rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "text", "held_out", "row").mapInArrow(run, SCORED)
+    return rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "text", "held_out", "row").mapInArrow(run, DEALT)
+
+
+def _deal_weights(weights: DataFrame, buckets: int) -> DataFrame:
+    """bucket, data (key, gain, weight) of the weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+        held: list[pa.RecordBatch] = []
+
+        def handed() -> pa.RecordBatch:
+            key, gain, weight = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3))
+            key = key.view(np.uint64)
+            return arrays(out, [*_dealt(key % np.uint64(buckets), [key, gain, weight])])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) > HOLD:
+                yield handed()
+                held = []
+        if held:
+            yield handed()
+
+    return weights.select("key", "gain", "weight").mapInArrow(run, "bucket int, data binary")
 
 
 def _weights(counts: DataFrame, model: Model | None, z: float, hot: float) -> DataFrame:
-    """key, gain, known, weight: of the words that do not travel what they gain over an unseen one, and their states' factors; of grams their weights."""
+    """key, gain, weight: of the words that do not travel what they gain over an unseen one (more than 0), and their states' factors; of grams (gain 0) their weights."""
     words = counts.where(F.col("n") < hot).select(F.xxhash64("word").alias("key"), "n")
     gain = (F.log10((F.col("n") + 0.5) / F.lit(z)) - F.lit(float(np.log10(0.5 / z)))).alias("gain")
     if model is None:
-        return words.select("key", gain, F.lit(1).alias("known"), F.lit(0.0).alias("weight"))
+        return words.select("key", gain, F.lit(0.0).alias("weight"))
     # Only words seen LEAST times can be states; the others need no join.
-    often = words.where(F.col("n") >= LEAST).join(model.words, "key", "left").select("key", gain, F.lit(1).alias("known"), F.coalesce("back", F.lit(0.0)).alias("weight"))
-    seldom = words.where(F.col("n") < LEAST).select("key", gain, F.lit(1).alias("known"), F.lit(0.0).alias("weight"))
-    return often.union(seldom).union(model.grams.select("key", F.lit(0.0).alias("gain"), F.lit(0).alias("known"), "weight"))
-
-
-def _scored(rows: DataFrame, tree: Tree, logs: dict, gate: Gate, weights: DataFrame, total: int) -> DataFrame:
-    """The scores of rows, as `score` gives them."""
-    # Neither side has a hot key: what is frequent has travelled. A text's own row meets no weight but by chance, which doesn't count.
-    joined = _score_pass(rows, tree, logs, gate).join(weights.hint("shuffle_hash"), "key", "left")
-    is_key = F.col("doc").isNull()
-    add = lambda c: F.coalesce(F.sum(F.when(is_key, F.col(c))), F.lit(0)).alias(c)
-    whole = joined.groupBy("row").agg(F.first("doc", ignorenulls=True).alias("doc"), add("gain"), add("known"), add("weight"))
-    base = F.col("doc.base") + F.col("gain")
-    return whole.select(
-        "doc.doc_id",
-        "doc.held_out",
-        "doc.n_tokens",
-        (F.col("doc.known") + F.col("known")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("doc.correction") + F.col("weight")).alias("score"),
-    )
+    often = words.where(F.col("n") >= LEAST).join(model.words, "key", "left").select("key", gain, F.coalesce("back", F.lit(0.0)).alias("weight"))
+    seldom = words.where(F.col("n") < LEAST).select("key", gain, F.lit(0.0).alias("weight"))
+    return often.union(seldom).union(model.grams.select("key", F.lit(0.0).alias("gain"), "weight"))
+
+
+def _scored(rows: DataFrame, tree: Tree, logs: dict, gate: Gate, weights: DataFrame, buckets: int, total: int) -> DataFrame:
+    """The scores of rows, as `score` gives them. weights: as `_deal_weights` deals them."""
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        """What the bucket's weights add to each text, dealt by the texts' rows; texts go on as they are."""
+        texts = left.filter(left.column("doc").is_valid()).cast(_DEALT)
+        asked = left.filter(left.column("doc").is_null())
+        (key, gain, weight), _ = _columns(right.column("data").to_pylist(), [np.uint64, np.float64, np.float64])
+        # Keys that meet count together.
+        key, at = np.unique(key, return_inverse=True)
+        known, gain, weight = (np.bincount(at, x, len(key)) for x in (gain > 0, gain, weight))
+        (after, wanted), n = _columns(asked.column("data").to_pylist(), [np.uint32, np.uint64])
+        found, at = _found(key, wanted)
+        row, mine = np.unique((np.repeat(asked.column("row").to_numpy(), n) + after)[found], return_inverse=True)
+        at = at[found]
+        known, gain, weight = (np.bincount(mine, x[at], len(row)) for x in (known, gain, weight))
+        bucket, data = _dealt(_row_bucket(row, buckets), [row, known.astype(np.uint32), gain, weight])
+        sums = arrays(_DEALT, [bucket, np.zeros(len(bucket), np.int64), data, pa.nulls(len(bucket), _DOC)])
+        return pa.concat_tables([texts, pa.Table.from_batches([sums])])
+
+    def add(t: pa.Table) -> pa.Table:
+        texts, sums = t.filter(t.column("doc").is_valid()), t.filter(t.column("doc").is_null())
+        doc, row = texts.column("doc").combine_chunks(), texts.column("row").to_numpy()
+        (of, *more), _ = _columns(sums.column("data").to_pylist(), [np.int64, np.uint32, np.float64, np.float64])
+        by = np.argsort(row)
+        at = by[np.searchsorted(row[by], of)] if len(of) else np.zeros(0, np.int64)
+        known, gain, weight = (np.bincount(at, x, len(row)) for x in more)
+        base = doc.field("base").to_numpy() + gain
+        columns = {"doc_id": doc.field("doc_id"), "held_out": doc.field("held_out"), "n_tokens": doc.field("n_tokens"), "n_known": doc.field("known").to_numpy() + known.astype(np.int64)}
+        return pa.table(columns | {"train_tokens": np.full(len(row), total, np.int64), "base_score": base, "score": base + doc.field("correction").to_numpy() + weight})
+
+    # No bucket has a hot key: what is frequent has travelled.
+    summed = _score_pass(rows, tree, logs, gate, buckets).groupBy("bucket").cogroup(weights.groupBy("bucket")).applyInArrow(look_up, DEALT)
+    return summed.groupBy("bucket").applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -439,8 +520,10 @@ def score(docs: DataFrame) -> DataFrame:
     uni[END] = ends
     logs = {"root": np.log10((uni + 0.5) / z), "known": uni > 0}
     hot = max(LEAST, HOT_SYMBOL * total)
-    weights = _weights(counts, model, z, hot)
-    # By what a row holds: its place may differ from one reading to the next.
-    parts = [materialize(_scored(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == k), tree, logs, gate, weights, total), "scored") for k in range(PARTS)]
+    buckets = _buckets(total, KEY_TOKENS)
+    weights = materialize(_deal_weights(_weights(counts, model, z, hot), buckets), "weights")
     discard(counts, *([model.grams] if model else []))
+    # By what a row holds: its place may differ from one reading to the next.
+    parts = [materialize(_scored(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == k), tree, logs, gate, weights, buckets, total), "scored") for k in range(PARTS)]
+    discard(weights)
     return functools.reduce(DataFrame.unionByName, parts)

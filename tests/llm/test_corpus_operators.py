@@ -423,6 +423,33 @@ def test_suffix_tree_keeps_grams_of_rare_words(spark, monkeypatch):
     assert all(abs(again[i].score - r.score) < 1e-6 for i, r in got.items())
 
 
+def test_suffix_tree_hands_on_a_value_for_each_bucket(spark):
+    """No row for each gram, key or weight: they travel in buckets, and come back as they were."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, 500)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    words = spark.createDataFrame([(f"w{k}",) for k in range(300)], "word string").select(F.xxhash64("word").alias("key"))
+    gate = common.Gate(words.union(spark.createDataFrame([(suffixtree.BEGIN,), (suffixtree.END,)], "key long")))
+    dealt = suffixtree._deal_grams(docs, 2, gate, 16).collect()
+    assert len(dealt) <= 2 * 16 and {r.bucket for r in dealt} == set(range(16))
+    (a, b, n), rows = suffixtree._columns([bytes(r.data) for r in dealt], [np.uint64, np.uint64, np.uint32])
+    assert (suffixtree._key(a, b) % np.uint64(16) == np.repeat([r.bucket for r in dealt], rows)).all()
+    count = Counter()
+    for t in texts:
+        h = suffixtree._hashes([t]).tolist()
+        count.update(zip(h, h[1:], strict=False))
+    got = Counter()
+    for x, y, k in zip(a.tolist(), b.tolist(), n.tolist(), strict=True):
+        got[x, y] += k
+    assert got == count
+    often = {(*(x % 2**64 for x in (r.g0, r.g1)), r.n) for r in suffixtree._count_grams(docs, 2, gate, 16).collect()}
+    assert often == {(*g, k) for g, k in count.items() if k >= suffixtree.LEAST}
+    weights = spark.createDataFrame([(k - 500, k / 7, -k / 3) for k in range(1000)], "key long, gain double, weight double").repartition(1)
+    dealt = suffixtree._deal_weights(weights, 8).collect()
+    (key, gain, weight), _ = suffixtree._columns([bytes(r.data) for r in dealt], [np.int64, np.float64, np.float64])
+    assert len(dealt) == 8 and set(zip(key.tolist(), gain.tolist(), weight.tolist(), strict=True)) == {tuple(r) for r in weights.collect()}
+
+
 # -- pipeline -----------------------------------------------------------------
 
 
